@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforetime.operators import history
+from aforetime.functions.months import clean_month
+from aforetime.functions.numbers import bare, finite_number
+from aforetime.functions.timetext import instant_us
+from aforetime.operators import grid, history, known, snapdiff
 from aforetime.sources.tables import table
 
 VERSION_KEYS = ("ref_area", "series_id", "period")
@@ -21,6 +24,75 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The UTC instant of every time text that names one."""
+    texts = {
+        "panel_rows": "usable_timestamp",
+        "retrieval_record": "retrieved_at_utc",
+        "series_audit": "earliest_valid_from",
+    }
+    parts = [
+        table(spark, folder, name).select(
+            F.lit(name).alias("table_name"),
+            "row_id",
+            instant_us(F.col(column), F.col("clock_zone"), F.col("locale_tag")).alias("instant_us"),
+        )
+        for name, column in texts.items()
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("instant_us").isNotNull())
+
+
+def p5_as_of(spark: SparkSession, folder: str) -> DataFrame:
+    """The vintage row that each event may use."""
+    return known.as_known(
+        table(spark, folder, "event_cutoff"),
+        table(spark, folder, "vintage_value"),
+        ("ref_area", "source_series_id"),
+        event_id="event_id",
+        event_time="state_cutoff_timestamp",
+        change_time="first_usable_timestamp",
+        period="observation_period",
+        value="value",
+    ).select("event_id", "row_id", "observation_period", "value")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The vintage row of each event, and the panel rows whose value was not yet known at their origin."""
+    as_of = p5_as_of(spark, folder).select(F.lit("as_of").alias("case_kind"), "event_id", "row_id")
+    known_at = instant_us(F.col("usable_timestamp"), F.col("clock_zone"), F.col("locale_tag"))
+    leaks = (
+        table(spark, folder, "panel_rows")
+        .withColumn("known_us", known_at)
+        .where(F.col("known_us") >= F.unix_micros("origin_timestamp"))
+        .select(F.lit("leak").alias("case_kind"), F.lit("").alias("event_id"), "row_id")
+    )
+    return as_of.unionByName(leaks)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys added, removed or changed from one full snapshot to the next."""
+    return snapdiff.snapshot_changes(
+        table(spark, folder, "panel_snapshot"),
+        "snapshot_no",
+        {
+            "panel_id": F.col("panel_id"),
+            "series_id": F.upper(bare(F.col("series_id"))),
+            "origin_month": F.coalesce(clean_month(F.col("origin_month")), bare(F.col("origin_month"))),
+        },
+        finite_number(F.col("transformed_value")),
+    )
+
+
+def p7_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Every source's monthly series with smoothed values and gap kinds."""
+    return grid.regular_grid(table(spark, folder, "panel_rows"), ("panel_id", "series_id"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The cells without a fresh reading."""
+    return p7_grid(spark, folder).where(F.col("gap").isNotNull()).select("panel_id", "series_id", "origin_month", "gap")
+
+
 P1_SQL = """
 WITH at_instant AS (
   SELECT ref_area, series_id, period, usable_at, row_id,
@@ -39,5 +111,82 @@ SELECT ref_area, series_id, period, epoch_us(usable_at) AS valid_from_us, coales
 FROM spans WHERE state <> 'deleted'
 """
 
-QUERIES = {"p1_found": p1_found}
-ORACLES = {"p1_found": P1_SQL}
+P5_SQL = """
+WITH latest AS (
+  SELECT e.event_id, v.row_id, v.observation_period, v.value
+  FROM event_cutoff e JOIN vintage_value v
+    ON v.ref_area = e.ref_area AND v.source_series_id = e.source_series_id
+   AND v.first_usable_timestamp < e.state_cutoff_timestamp
+  QUALIFY row_number() OVER (PARTITION BY e.event_id, v.observation_period
+                             ORDER BY v.first_usable_timestamp DESC, v.row_id DESC) = 1)
+SELECT event_id, row_id, observation_period, value FROM latest
+WHERE value IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY observation_period DESC) = 1
+"""
+
+MONTH_SQL = """CASE
+  WHEN regexp_full_match({0}, '[0-9]{{4}}-(0[1-9]|1[0-2])') THEN {0}
+  WHEN regexp_full_match({0}, '[0-9]{{4}}[-/]?[0-9]{{1,2}}([-/]?[0-9]{{1,2}})?')
+    THEN regexp_extract({0}, '^([0-9]{{4}})', 1) || '-' || lpad(regexp_extract({0}, '^[0-9]{{4}}[-/]?([0-9]{{1,2}})', 1), 2, '0')
+  WHEN regexp_full_match({0}, 'month-[0-9]{{4}}-[0-9]{{2}}') THEN right({0}, 7)
+  WHEN regexp_full_match({0}, '[0-9]{{1,2}}[-/][0-9]{{4}}')
+    THEN right({0}, 4) || '-' || lpad(regexp_extract({0}, '^([0-9]{{1,2}})', 1), 2, '0')
+  WHEN regexp_full_match({0}, '[A-Z][a-z]{{2}}-[0-9]{{4}}')
+    THEN right({0}, 4) || '-' || lpad(cast((strpos('JanFebMarAprMayJunJulAugSepOctNovDec', left({0}, 3)) + 2) // 3 AS VARCHAR), 2, '0')
+  END"""
+
+P6_SQL = f"""
+WITH clean AS (
+  SELECT snapshot_no, panel_id, upper(trim(series_id)) AS series_id, {MONTH_SQL.format("origin_month")} AS origin_month,
+         row_id,
+         CASE WHEN regexp_full_match(trim(transformed_value), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+              THEN CAST(trim(transformed_value) AS DOUBLE) END AS num
+  FROM panel_snapshot),
+held AS (
+  SELECT * FROM clean
+  QUALIFY row_number() OVER (PARTITION BY snapshot_no, panel_id, series_id, origin_month ORDER BY row_id DESC) = 1),
+pairs AS (SELECT snapshot_no AS new_no, lag(snapshot_no) OVER (ORDER BY snapshot_no) AS old_no
+          FROM (SELECT DISTINCT snapshot_no FROM panel_snapshot)),
+new_rows AS (SELECT p.new_no, h.* FROM pairs p JOIN held h ON h.snapshot_no = p.new_no WHERE p.old_no IS NOT NULL),
+old_rows AS (SELECT p.new_no, h.* FROM pairs p JOIN held h ON h.snapshot_no = p.old_no)
+SELECT coalesce(n.new_no, o.new_no) AS snapshot_no, coalesce(n.panel_id, o.panel_id) AS panel_id,
+       coalesce(n.series_id, o.series_id) AS series_id, coalesce(n.origin_month, o.origin_month) AS origin_month,
+       CASE WHEN o.new_no IS NULL THEN 'added' WHEN n.new_no IS NULL THEN 'removed' ELSE 'changed' END AS change_kind
+FROM new_rows n FULL JOIN old_rows o
+  ON n.new_no = o.new_no AND n.panel_id = o.panel_id AND n.series_id = o.series_id AND n.origin_month = o.origin_month
+WHERE o.new_no IS NULL OR n.new_no IS NULL OR n.num IS DISTINCT FROM o.num
+"""
+
+P7_SQL = f"""
+WITH typed AS (
+  SELECT panel_id, series_id, {MONTH_SQL.format("origin_month")} AS origin_month,
+         {MONTH_SQL.format("observation_period")} AS seen_month,
+         lower(is_missing) IN ('0', 'false') AND transformed_value IS NOT NULL AS reading
+  FROM panel_rows),
+cells AS (
+  SELECT panel_id, series_id, CAST(origin_month || '-01' AS DATE) AS origin, bool_or(reading) AS reading,
+         max(CASE WHEN reading THEN seen_month END) AS seen_month
+  FROM typed GROUP BY ALL),
+ends AS (
+  SELECT panel_id, series_id, min(origin) AS lo, max(origin) AS hi FROM cells WHERE reading GROUP BY ALL),
+months AS (
+  SELECT panel_id, series_id, CAST(unnest(generate_series(lo, hi, INTERVAL 1 MONTH)) AS DATE) AS origin FROM ends),
+judged AS (
+  SELECT m.panel_id, m.series_id, m.origin,
+         CASE WHEN c.origin IS NULL THEN 'absent' WHEN NOT c.reading THEN 'missing'
+              WHEN c.seen_month <= max(c.seen_month) OVER (PARTITION BY m.panel_id, m.series_id ORDER BY m.origin
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 'stale' END AS gap
+  FROM months m LEFT JOIN cells c ON c.panel_id = m.panel_id AND c.series_id = m.series_id AND c.origin = m.origin)
+SELECT panel_id, series_id, strftime(origin, '%Y-%m') AS origin_month, gap FROM judged WHERE gap IS NOT NULL
+"""
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p5_as_of": p5_as_of,
+    "p5_found": p5_found,
+    "p6_found": p6_found,
+    "p7_found": p7_found,
+    "p7_grid": p7_grid,
+}
+ORACLES = {"p1_found": P1_SQL, "p5_as_of": P5_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
