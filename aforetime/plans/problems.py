@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from aforetime.functions.months import clean_month
 from aforetime.functions.numbers import bare, finite_number
 from aforetime.functions.timetext import instant_us
-from aforetime.operators import grid, history, known, snapdiff
+from aforetime.operators import grid, history, known, profile, snapdiff
 from aforetime.sources.tables import table
 
 VERSION_KEYS = ("ref_area", "series_id", "period")
@@ -42,6 +42,76 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("instant_us").isNotNull())
 
 
+PANEL_COLUMNS = (
+    "panel_id", "origin_month", "origin_timestamp", "series_id", "observation_period", "usable_timestamp",
+    "transformed_value", "is_missing", "missing_reason", "source_response_sha256",
+)
+# The reasons that a missing cell may give.
+MISSING_REASONS = (
+    "no_explicit_release_mapped_observation",
+    "insufficient_transformation_lookback",
+    "no_strictly_prior_observation",
+)
+#: A registry above this many rows is joined by shuffle, not broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if its rows are counted to be few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def snapshot_cell_violations(spark: SparkSession, folder: str) -> DataFrame:
+    """(row_id, snapshot_no, column_name) of the snapshot cells that break their column's form."""
+    registry = (
+        table(spark, folder, "series_registry")
+        .groupBy(F.upper(bare(F.col("series_id"))).alias("_series"))
+        .agg(F.min("min_possible").alias("_low"), F.max("max_possible").alias("_high"), F.collect_set("series_id").alias("_names"))
+    )
+    rows = table(spark, folder, "panel_snapshot").withColumn("_series", F.upper(bare(F.col("series_id"))))
+    rows = rows.join(small_side(registry), "_series", "left")
+    value, reason = F.col("transformed_value"), F.col("missing_reason")
+    number = finite_number(value)
+    blank = value.isNull() | (bare(value) == "")
+    inside = F.coalesce(number >= F.col("_low"), F.lit(True)) & F.coalesce(number <= F.col("_high"), F.lit(True))
+    stamp = F.col("usable_timestamp")
+    day = F.substring(stamp, 9, 2).cast("int")
+    year, month = F.substring(stamp, 1, 4).cast("int"), F.substring(stamp, 6, 2).cast("int")
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    month_days = F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
+    time_form = r"^[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01])T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9][+-](0[0-9]|1[0-4]):[0-5][0-9]$"
+    rules = {
+        "origin_month": F.col("origin_month").rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])$"),
+        "series_id": F.array_contains("_names", F.col("series_id")),
+        "observation_period": F.col("observation_period").isNull()
+        | F.col("observation_period").rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])(-[0-9]{2})?$"),
+        "usable_timestamp": stamp.isNull() | F.when(stamp.rlike(time_form), (year > 0) & (day <= month_days)),
+        "transformed_value": blank | F.when(number.isNotNull(), inside),
+        "is_missing": F.col("is_missing") == F.when(blank, "1").otherwise("0"),
+        "missing_reason": F.when(blank, reason.isin(*MISSING_REASONS)).otherwise(reason.isNull()),
+        "source_response_sha256": F.col("source_response_sha256").rlike("^[0-9a-f]{64}$"),
+    }
+    return profile.violations(rows, "row_id", rules, "snapshot_no")
+
+
+def p4_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile of every PanelRow column per snapshot."""
+    return profile.column_profile(
+        table(spark, folder, "panel_snapshot"), "snapshot_no", PANEL_COLUMNS, numeric=("transformed_value",)
+    )
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Cells that break their column's form, and the loads at which a column changed."""
+    cells = snapshot_cell_violations(spark, folder).select(
+        F.lit("cell").alias("scope"), F.col("row_id").alias("case_key"), "column_name"
+    )
+    loads = profile.changed_loads(p4_profile(spark, folder), "snapshot_no").select(
+        F.lit("load").alias("scope"), F.col("snapshot_no").cast("bigint").alias("case_key"), "column_name"
+    )
+    return cells.unionByName(loads)
+
+
 def p5_as_of(spark: SparkSession, folder: str) -> DataFrame:
     """The vintage row that each event may use."""
     return known.as_known(
@@ -180,13 +250,63 @@ judged AS (
 SELECT panel_id, series_id, strftime(origin, '%Y-%m') AS origin_month, gap FROM judged WHERE gap IS NOT NULL
 """
 
+_REASON_LIST = ", ".join(f"'{r}'" for r in MISSING_REASONS)
+_LOAD_PARTS = "\n  UNION ALL ".join(
+    f"SELECT snapshot_no AS s, '{c}' AS column_name, CASE WHEN trim({c}) <> '' THEN {c} END AS cell FROM panel_snapshot"
+    for c in PANEL_COLUMNS
+)
+P4_SQL = f"""
+WITH registry AS (
+  SELECT upper(trim(series_id)) AS k, min(min_possible) AS lo, max(max_possible) AS hi, list(series_id) AS names
+  FROM series_registry GROUP BY 1),
+typed AS (
+  SELECT p.*, r.lo, r.hi, r.names,
+         (transformed_value IS NULL OR trim(transformed_value) = '') AS blank,
+         CASE WHEN regexp_full_match(trim(transformed_value), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+              THEN CAST(trim(transformed_value) AS DOUBLE) END AS num
+  FROM panel_snapshot p LEFT JOIN registry r ON r.k = upper(trim(p.series_id))),
+judged AS (
+  SELECT row_id, unnest([
+    CASE WHEN NOT coalesce(regexp_full_match(origin_month, '[0-9]{{4}}-(0[1-9]|1[0-2])'), false) THEN 'origin_month' END,
+    CASE WHEN NOT coalesce(list_contains(names, series_id), false) THEN 'series_id' END,
+    CASE WHEN NOT regexp_full_match(observation_period, '[0-9]{{4}}-(0[1-9]|1[0-2])(-[0-9]{{2}})?') THEN 'observation_period' END,
+    CASE WHEN usable_timestamp IS NOT NULL AND NOT (
+           regexp_full_match(usable_timestamp, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9][+-](0[0-9]|1[0-4]):[0-5][0-9]')
+           AND try_cast(left(usable_timestamp, 10) AS DATE) IS NOT NULL) THEN 'usable_timestamp' END,
+    CASE WHEN NOT blank AND (num IS NULL OR num < lo OR num > hi) THEN 'transformed_value' END,
+    CASE WHEN is_missing IS DISTINCT FROM (CASE WHEN blank THEN '1' ELSE '0' END) THEN 'is_missing' END,
+    CASE WHEN CASE WHEN blank THEN coalesce(missing_reason NOT IN ({_REASON_LIST}), true)
+                   ELSE missing_reason IS NOT NULL END THEN 'missing_reason' END,
+    CASE WHEN NOT coalesce(regexp_full_match(source_response_sha256, '[0-9a-f]{{64}}'), false) THEN 'source_response_sha256' END
+  ]) AS column_name FROM typed),
+cells AS ({_LOAD_PARTS}),
+loads AS (SELECT s, lag(s) OVER (ORDER BY s) AS before FROM (SELECT DISTINCT s FROM cells)),
+filled AS (SELECT s, column_name, count(cell) AS n, 1 - count(cell) / count(*) AS empty_share FROM cells GROUP BY ALL),
+share AS (SELECT c.s, c.column_name, c.cell, count(*) / any_value(f.n) AS share
+          FROM cells c JOIN filled f USING (s, column_name) WHERE c.cell IS NOT NULL GROUP BY ALL),
+signed AS (
+  SELECT l.s, x.column_name, x.cell, x.share AS d FROM loads l JOIN share x ON x.s = l.s WHERE l.before IS NOT NULL
+  UNION ALL SELECT l.s, x.column_name, x.cell, -x.share FROM loads l JOIN share x ON x.s = l.before),
+texts AS (SELECT DISTINCT s, column_name FROM (SELECT s, column_name, cell, abs(sum(d)) AS d FROM signed GROUP BY ALL) WHERE d > 0.2),
+empties AS (SELECT l.s, a.column_name FROM loads l JOIN filled a ON a.s = l.s
+            JOIN filled b ON b.s = l.before AND b.column_name = a.column_name WHERE abs(a.empty_share - b.empty_share) > 0.2),
+quartile AS (SELECT snapshot_no AS s, quantile_disc(abs(num), 0.75) AS q FROM typed WHERE num IS NOT NULL GROUP BY ALL),
+moved AS (SELECT l.s, 'transformed_value' AS column_name FROM loads l JOIN quartile a ON a.s = l.s JOIN quartile b ON b.s = l.before
+          WHERE greatest(a.q, b.q) > 10 * least(a.q, b.q))
+SELECT 'cell' AS scope, row_id AS case_key, column_name FROM judged WHERE column_name IS NOT NULL
+UNION ALL
+SELECT 'load', CAST(s AS BIGINT), column_name FROM (SELECT * FROM texts UNION SELECT * FROM empties UNION SELECT * FROM moved)
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_profile": p4_profile,
     "p5_as_of": p5_as_of,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p7_found": p7_found,
     "p7_grid": p7_grid,
 }
-ORACLES = {"p1_found": P1_SQL, "p5_as_of": P5_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
+ORACLES = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_as_of": P5_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
