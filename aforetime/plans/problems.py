@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aforetime.functions.months import clean_month
+from aforetime.functions.months import clean_month, month_index
 from aforetime.functions.numbers import bare, finite_number
 from aforetime.functions.timetext import instant_us
-from aforetime.operators import grid, history, known, profile, snapdiff
+from aforetime.operators import grid, history, known, profile, snapdiff, spikes
 from aforetime.sources.tables import table
 
 VERSION_KEYS = ("ref_area", "series_id", "period")
@@ -24,6 +24,38 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def p2_cases(spark: SparkSession, folder: str) -> DataFrame:
+    """Implausible rows of both tables with the kind of case."""
+    registry = table(spark, folder, "series_registry")
+    panel = spikes.implausible(
+        table(spark, folder, "panel_rows"),
+        ("panel_id", "series_id"),
+        period=month_index(F.col("origin_month")),
+        value="transformed_value",
+        order="origin_timestamp",
+        series="series_id",
+        registry=registry,
+    )
+    versions = spikes.implausible(
+        table(spark, folder, "versioned_value"),
+        ("ref_area", "series_id"),
+        period=month_index(F.col("period")),
+        value="value",
+        order="usable_at",
+        series="series_id",
+        registry=registry,
+        versions=True,
+    )
+    return panel.withColumn("table_name", F.lit("panel_rows")).unionByName(
+        versions.withColumn("table_name", F.lit("versioned_value"))
+    )
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows that hold jumps, frozen stretches or impossible numbers."""
+    return p2_cases(spark, folder).select("table_name", "row_id").distinct()
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     """The UTC instant of every time text that names one."""
     texts = {
@@ -300,6 +332,8 @@ SELECT 'load', CAST(s AS BIGINT), column_name FROM (SELECT * FROM texts UNION SE
 
 QUERIES = {
     "p1_found": p1_found,
+    "p2_cases": p2_cases,
+    "p2_found": p2_found,
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_profile": p4_profile,
