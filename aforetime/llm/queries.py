@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aforetime.llm import bpe, leaks
+from aforetime.llm import abuse, bpe, leaks
 from aforetime.sources.tables import table
 
 
@@ -30,5 +31,31 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.leaks(p9_scores(spark, folder)).select("doc_id", "item_id")
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_scores": p9_scores, "p9_found": p9_found}
+def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """A score for abusive, hateful or sexual content of every document."""
+    documents = table(spark, folder, "documents")
+    model = abuse.fit_reviewed(documents, table(spark, folder, "review_label"))
+    return abuse.score(documents, model, keep=("source",))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents with such content."""
+    return p10_scores(spark, folder).where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+def p10_rates(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents, toxic documents and their rate per source."""
+    toxic = (F.col("score") >= abuse.THRESHOLD).cast("int")
+    return (
+        p10_scores(spark, folder)
+        .groupBy("source")
+        .agg(F.count("*").alias("n_documents"), F.sum(toxic).alias("n_toxic"), F.avg(toxic).alias("toxic_rate"))
+    )
+
+
+QUERIES = {"p8_ids": p8_ids, "p9_scores": p9_scores, "p9_found": p9_found,
+    "p10_scores": p10_scores,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
+}
 ORACLES: dict[str, str] = {}
