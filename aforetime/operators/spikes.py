@@ -24,8 +24,9 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from statistics import NormalDist
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from statistics import NormalDist, median
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aforetime.functions.numbers import bare, twelve_digits
-from aforetime.storage import BLOCK, ordered_blocks
+from aforetime.groups import whole_groups
+from aforetime.storage import BLOCK, ordered_blocks, written
 
 HOT_READINGS = 50_000
 HALO = 16
@@ -41,6 +43,8 @@ TREND_WINDOW = 7
 ALPHA = 0.05
 #: With fewer readings the test isn't made; all are candidates.
 FEWEST = 8
+#: How many readings before and after a period are looked through for two neighbours.
+REACH = 8
 #: How many times the largest normal move a spike is away from its neighbours.
 MOVES = 2.0
 #: A move this many times the next largest one is no normal move (a change of level).
@@ -51,55 +55,76 @@ STUCK_REPEATS = 0.2
 RANGE, SPIKE, STUCK = "range", "spike", "stuck"
 
 
-def _t_quantile(p: float, df: int) -> float:
-    """Quantile of Student's t by the Cornish–Fisher expansion."""
-    z = NormalDist().inv_cdf(p)
-    return (
-        z
-        + (z**3 + z) / (4 * df)
-        + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
-        + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
-    )
+@lru_cache(maxsize=4096)
+def _limits(n: int, alpha: float) -> tuple[float, ...]:
+    """Critical values of the generalised ESD test for 1 … n/4 outliers.
+
+    Student's t comes from the Cornish–Fisher expansion.
+    """
+    out = []
+    for i in range(1, n // 4 + 1):
+        z, df = NormalDist().inv_cdf(1 - alpha / (2 * (n - i + 1))), n - i - 1
+        t = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
+        t += (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
+        out.append((n - i) * t / ((n - i - 1 + t * t) * (n - i + 1)) ** 0.5)
+    return tuple(out)
 
 
 def decompose(month: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Robust trend, seasonal figure and residual of readings in order."""
-    half = TREND_WINDOW // 2
-    padded = np.pad(value, half, constant_values=np.nan)
-    trend = np.nanmedian(np.lib.stride_tricks.sliding_window_view(padded, TREND_WINDOW), axis=1)
+    n, half = len(value), TREND_WINDOW // 2
+    padded = np.pad(value, half, mode="reflect" if n > half else "edge")
+    trend = np.median(np.lib.stride_tricks.sliding_window_view(padded, TREND_WINDOW), axis=1)
     loose = value - trend
-    seasonal = np.zeros(len(value))
-    for m in range(12):
-        at = month % 12 == m
-        if at.sum() >= 3:
-            seasonal[at] = np.median(loose[at])
-    seasonal -= np.median(seasonal)
+    season = month % 12
+    order = np.lexsort((loose, season))
+    count = np.bincount(season, minlength=12)
+    first = np.cumsum(count) - count
+    ranked = loose[order]
+    low, high = np.minimum(first + np.maximum(count - 1, 0) // 2, n - 1), np.minimum(first + count // 2, n - 1)
+    figure = np.where(count >= 3, (ranked[low] + ranked[high]) / 2, 0.0)
+    seasonal = figure[season]
+    seasonal = seasonal - np.median(seasonal)
     return trend, seasonal, loose - seasonal
 
 
 def extreme_deviates(residual: np.ndarray, alpha: float = ALPHA) -> np.ndarray:
-    """Mask of the outliers that the generalised ESD test finds among at most a quarter of the residuals."""
+    """Mask of the outliers that the generalised ESD test finds among at most a quarter of the residuals.
+
+    What is left after each removal is a stretch of the sorted residuals; its
+    sums are accumulated outward from the middle, so removed spikes leave no
+    rounding behind.
+    """
     n = len(residual)
     flagged = np.zeros(n, bool)
     if n < FEWEST:
         return ~flagged  # too few for the test: all are candidates
-    left = np.arange(n)
-    removed: list[int] = []
-    found = 0
-    for i in range(1, n // 4 + 1):
-        part = residual[left]
-        spread = part.std(ddof=1)
-        worst = int(np.abs(part - part.mean()).argmax())
-        deviate = abs(part[worst] - part.mean())
-        removed.append(int(left[worst]))
-        left = np.delete(left, worst)
-        t = _t_quantile(1 - alpha / (2 * (n - i + 1)), n - i - 1)
-        limit = (n - i) * t / np.sqrt((n - i - 1 + t * t) * (n - i + 1))
-        if deviate > limit * spread:
-            found = i
+    order = np.argsort(residual, kind="stable")
+    centred = residual[order] - residual[order[n // 2]]
+    middle = n // 2
+    up, down = centred[middle:], centred[:middle][::-1]
+    sums = [[0.0, *np.cumsum(x**k).tolist()] for x in (up, down) for k in (1, 2)]
+    up1, up2, down1, down2 = sums
+    line = centred.tolist()
+    low, high, found = 0, n, (0, n)
+    for limit in _limits(n, alpha):
+        m = high - low
+        mean = (up1[high - middle] + down1[middle - low]) / m
+        square = (up2[high - middle] + down2[middle - low]) / m - mean * mean
+        spread = (max(square, 0.0) * m / (m - 1)) ** 0.5
+        from_low, from_high = mean - line[low], line[high - 1] - mean
+        if from_low > from_high:
+            low += 1
+        else:
+            high -= 1
+        if max(from_low, from_high) > limit * spread:
+            found = (low, high)
         if spread == 0:
             break
-    flagged[removed[:found]] = True
+        if not low < middle < high:
+            break
+    flagged[order[: found[0]]] = True
+    flagged[order[found[1] :]] = True
     return flagged
 
 
@@ -135,18 +160,19 @@ def _start(value: np.ndarray, candidate: np.ndarray) -> np.ndarray:
 def _spikes_in_order(value: np.ndarray, candidate: np.ndarray) -> np.ndarray:
     """Single or double readings off both neighbours, which are level with each other."""
     spike = _start(value, candidate)
+    line, at = value.tolist(), np.flatnonzero(candidate).tolist()
+    chosen = set(at)
     for _ in range(20):
         limit = _limit(value, spike)
         now = np.zeros(len(value), bool)
-        for length in (1, 2):
-            for i in range(1, len(value) - length):
-                part = value[i : i + length]
-                if not candidate[i : i + length].all():
+        for i in at:
+            for end in (i + 1, i + 2) if i + 1 in chosen else (i + 1,):
+                if i == 0 or end >= len(line):
                     continue
-                before, after = value[i - 1], value[i + length]
-                off = min(np.abs(part - before).min(), np.abs(part - after).min())
+                before, after = line[i - 1], line[end]
+                off = min(min(abs(x - before), abs(x - after)) for x in line[i:end])
                 if off > limit and abs(after - before) <= min(limit, off):
-                    now[i : i + length] = True
+                    now[i:end] = True
         if (now == spike).all():
             break
         spike = now
@@ -154,26 +180,32 @@ def _spikes_in_order(value: np.ndarray, candidate: np.ndarray) -> np.ndarray:
 
 
 def _spikes_among_versions(period: np.ndarray, value: np.ndarray, candidate: np.ndarray) -> np.ndarray:
-    """Readings off all other readings of their period and of the periods around it."""
+    """Readings off all other readings of their period and the nearest ones before and after it."""
     spike = _start(value, candidate)
-    periods = np.unique(period)
-    place = np.searchsorted(periods, period)
-    rows = [np.flatnonzero(place == k) for k in range(len(periods))]
+    at = np.flatnonzero(candidate).tolist()
+    # readings are sorted by period; those of a period are one stretch
+    new = np.flatnonzero(np.diff(period, prepend=period[0] - 1))
+    place = np.searchsorted(new, np.arange(len(value)), side="right") - 1
+    edges = [*new.tolist(), len(value)]
+    line, places = value.tolist(), place.tolist()
+    last = len(edges) - 2
     first_limit = _limit(value, spike)
-    for i in np.flatnonzero(candidate):  # a candidate level with most of its neighbours is none
-        near = np.concatenate(rows[max(0, place[i] - 1) : place[i] + 2])
-        near = near[near != i]
-        spike[i] = len(near) == 0 or abs(np.median(value[near]) - value[i]) > first_limit
+    for i in at:  # a candidate level with most of its neighbours is none
+        low, high = edges[max(0, places[i] - 2)], edges[min(last, places[i] + 2) + 1]
+        near = [*line[low:i], *line[i + 1 : high]]
+        spike[i] = not near or abs(median(near) - line[i]) > first_limit
     for _ in range(20):
         limit = _limit(value, spike)
+        off = spike.tolist()
         now = np.zeros(len(value), bool)
-        for i in np.flatnonzero(candidate):
-            k = place[i]
-            sides = [[j for j in rows[q] if j != i and not spike[j]] if 0 <= q < len(rows) else [] for q in (k - 1, k, k + 1)]
-            around = [*sides[0], *sides[1], *sides[2]]
-            if len(around) < 2 or not (sides[1] or (sides[0] and sides[2])):
-                continue
-            now[i] = np.abs(value[around] - value[i]).min() > limit
+        for i in at:
+            begin, end = edges[places[i]], edges[places[i] + 1]
+            same = [line[j] for j in range(begin, end) if j != i and not off[j]]
+            before = [line[j] for j in range(max(0, begin - REACH), begin) if not off[j]][-2:]
+            after = [line[j] for j in range(end, min(len(line), end + REACH)) if not off[j]][:2]
+            around = [*same, *before, *after]
+            if len(around) >= 2 and (same or (before and after)):
+                now[i] = min(abs(x - line[i]) for x in around) > limit
         if (now == spike).all():
             break
         spike = now
@@ -204,17 +236,22 @@ def _stuck(value: np.ndarray) -> np.ndarray:
 
 
 def _judge(versions: bool, names: list[str]):
-    def run(readings: pd.DataFrame) -> pd.DataFrame:
-        readings = readings.sort_values(["period", "at", "digits"], kind="stable")
-        value, period = readings["value"].to_numpy(dtype=float), readings["period"].to_numpy(dtype=np.int64)
-        candidate = extreme_deviates(decompose(period, value)[2])
-        if versions:
-            spike, stuck = _spikes_among_versions(period, value, candidate), np.zeros(len(value), bool)
-        else:
-            spike, stuck = _spikes_in_order(value, candidate), _stuck(value)
-        kind = np.where(spike, SPIKE, np.where(stuck, STUCK, ""))
-        own = (kind != "") & ~readings["halo"].to_numpy(dtype=bool)
-        return readings.loc[own, [*names, "period", "digits"]].assign(kind=kind[own])
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts in whole_groups(batches, names):
+            values = frame["value"].to_numpy(dtype=float)
+            periods = frame["period"].to_numpy(dtype=np.int64)
+            kind = np.full(len(frame), "", dtype=object)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(frame)], strict=True):
+                value, period = values[a:b], periods[a:b]
+                candidate = extreme_deviates(decompose(period, value)[2])
+                if versions:
+                    kind[a:b][_spikes_among_versions(period, value, candidate)] = SPIKE
+                else:
+                    kind[a:b][_stuck(value)] = STUCK
+                    kind[a:b][_spikes_in_order(value, candidate)] = SPIKE
+            own = (kind != "") & ~frame["halo"].to_numpy(dtype=bool)
+            if own.any():
+                yield frame.loc[own, [*names, "period", "digits"]].assign(kind=kind[own])
 
     return run
 
@@ -258,28 +295,34 @@ def implausible(
     typed = typed.withColumn("bad", F.coalesce(bad, F.lit(False))).withColumn("digits", twelve_digits(v))
     out_of_range = typed.where("bad").select("row_id", F.lit(RANGE).alias("kind"))
     within = typed.where(~F.col("bad") & F.col("period").isNotNull())
-    readings = within.groupBy(*names, "period", "digits").agg(
-        F.min("at").alias("at"), F.min_by("value", "row_id").alias("value")
+    readings = written(
+        within.groupBy(*names, "period", "digits").agg(F.min("at").alias("at"), F.min_by("value", "row_id").alias("value")),
+        "readings",
     )
     sizes = readings.groupBy(*names).agg(F.count("*").alias("n_readings"))
     large = sizes.where(F.col("n_readings") > HOT_READINGS).select(*names)
     hot = large.count()  # at most one source per HOT_READINGS readings
     types = ", ".join(f"{n} {readings.schema[n].dataType.simpleString()}" for n in names)
     schema = f"{types}, period int, digits string, kind string"
-    judge = _judge(versions, names)
+    inner = ["period", "at", "digits"]
+
+    def judged(df: DataFrame, group: list[str]) -> DataFrame:
+        ready = df.repartition(*group).sortWithinPartitions(*group, *inner)
+        return ready.mapInPandas(_judge(versions, group), schema if group == names else f"{schema}, stretch int").drop("stretch")
+
 
     def matches(other: DataFrame) -> list[Column]:
         return [readings[n].eqNullSafe(other[n]) for n in names]
 
     usual = readings.join(F.broadcast(large), matches(large), "left_anti") if hot else readings
-    found = usual.withColumn("halo", F.lit(False)).groupBy(*names).applyInPandas(judge, schema)
+    found = judged(usual.withColumn("halo", F.lit(False)), names)
     if hot:
         big = readings.join(F.broadcast(large), matches(large), "left_semi")
-        blocks = ordered_blocks(big, [*names, "period", "at", "digits"], "spikes")
+        blocks = ordered_blocks(big, [*names, *inner], "spikes")
         ends = Window.partitionBy(BLOCK)
-        inner = [*names, "period", "at", "digits"]
-        placed = blocks.withColumn("from_start", F.row_number().over(ends.orderBy(*inner))).withColumn(
-            "from_end", F.row_number().over(ends.orderBy(*[F.desc(c) for c in inner]))
+        line = [*names, *inner]
+        placed = blocks.withColumn("from_start", F.row_number().over(ends.orderBy(*line))).withColumn(
+            "from_end", F.row_number().over(ends.orderBy(*[F.desc(c) for c in line]))
         )
         copies = F.array_compact(
             F.array(
@@ -288,7 +331,7 @@ def implausible(
         )
         stretched = placed.withColumn("shift", F.explode(copies)).withColumn("stretch", F.col(BLOCK) + F.col("shift"))
         stretched = stretched.withColumn("halo", F.col("shift") != 0).drop(BLOCK, "shift", "from_start", "from_end")
-        found = found.unionByName(stretched.groupBy(*names, "stretch").applyInPandas(judge, schema))
+        found = found.unionByName(judged(stretched, [*names, "stretch"]))
     same = [within[c].eqNullSafe(found[c]) for c in [*names, "period", "digits"]]
     held = within.join(found, same).select(within["row_id"], found["kind"])
     return out_of_range.unionByName(held)
