@@ -105,7 +105,7 @@ def gaussian_hmm(value: np.ndarray, states: int = 2, steps: int = 40) -> tuple[n
         trace.append(float(np.log(scale).sum() + top.sum()))
         weight = forward * backward
         weight /= weight.sum(1, keepdims=True)
-        pairs = np.einsum("ti,ij,tj->ij", forward[:-1], move, (likely * backward)[1:] / scale[1:, None]) * move / move
+        pairs = np.einsum("ti,ij,tj->ij", forward[:-1], move, (likely * backward)[1:] / scale[1:, None])
         held = weight * seen[:, None]
         mean = (held * x[:, None]).sum(0) / np.maximum(held.sum(0), 1e-12)
         variance = np.maximum((held * (x[:, None] - mean) ** 2).sum(0) / np.maximum(held.sum(0), 1e-12), floor)

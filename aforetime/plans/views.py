@@ -65,15 +65,16 @@ VERSIONS_SQL = """versions AS (
 
 
 def monthly_prices(spark: SparkSession, folder: str) -> DataFrame:
-    """(month, series, value): mean order price per priority and month, rounded to cents."""
+    """(month, series, value): mean order price in thousands per priority and month, cut to whole cents."""
     return (
         table(spark, folder, "orders")
         .groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"), F.col("o_orderpriority").alias("series"))
-        .agg(F.round(F.avg("o_totalprice") / 1000, 5).alias("value"))
+        .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"), F.count("*").alias("n"))
+        .select("month", "series", (F.floor(F.col("cents") / F.col("n")) / 100_000).alias("value"))
     )
 
 
 PRICES_SQL = """prices AS (
   SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month, o_orderpriority AS series,
-         round(avg(o_totalprice) / 1000, 5) AS value
+         floor(sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*)) / 100000 AS value
   FROM orders GROUP BY ALL)"""
