@@ -45,7 +45,7 @@ RATE = 0.5
 DECAY = 1e-5
 #: Weight of the positive part of the risk, against the unlabelled part's 1.
 POSITIVE_WEIGHT = 0.3
-WINDOW = 40
+WINDOW = 24
 #: Segments per reviewed document that the model is fitted on, at most.
 SEGMENTS_AT_MOST = 5_000
 #: Score from which a document counts as toxic.
