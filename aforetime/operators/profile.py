@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aforetime.functions.numbers import bare, finite_number
-from aforetime.storage import BLOCK, ordered_blocks
+from aforetime.storage import BLOCK, ordered_blocks, shuffle_parts, small_side
 
 QUANTILES = (0.25, 0.5, 0.75)
 NUMBER, MAGNITUDE = "#number", "#magnitude"
@@ -144,10 +144,13 @@ def column_profile(rows: DataFrame, load: str, columns: Sequence[str], numeric:
     prefix = per_block.select(
         BLOCK, "column_name", "load", F.coalesce(F.sum("n_block").over(earlier), F.lit(0)).alias("n_before")
     ).join(totals.select("column_name", "load", "load_no", "filled"), ["column_name", "load"])
+    # a column begins in one block, so blocks and columns bound the rows of the prefix table per load
+    n_loads = rows.select(load).distinct().count()
+    most = (shuffle_parts(rows.sparkSession) + len(columns) + 2 * len(numeric)) * n_loads
     placed = (
         blocks.where(filled)
         .withColumn("vid", F.dense_rank().over(Window.partitionBy(BLOCK).orderBy(*order)))
-        .join(F.broadcast(prefix), [BLOCK, "column_name", "load"])
+        .join(small_side(prefix, most), [BLOCK, "column_name", "load"])
         .select(BLOCK, "column_name", "vid", "num", "load_no", "n", "n_before", "filled", (F.col("n") / F.col("filled")).alias("share"))
     )
     curves = placed.mapInPandas(

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from aforetime.functions.numbers import bare, twelve_digits
 from aforetime.groups import whole_groups
-from aforetime.storage import BLOCK, ordered_blocks, written
+from aforetime.storage import BLOCK, ordered_blocks, small_side, written
 
 HOT_READINGS = 50_000
 HALO = 16
@@ -314,10 +314,10 @@ def implausible(
     def matches(other: DataFrame) -> list[Column]:
         return [readings[n].eqNullSafe(other[n]) for n in names]
 
-    usual = readings.join(F.broadcast(large), matches(large), "left_anti") if hot else readings
+    usual = readings.join(small_side(large, hot), matches(large), "left_anti") if hot else readings
     found = judged(usual.withColumn("halo", F.lit(False)), names)
     if hot:
-        big = readings.join(F.broadcast(large), matches(large), "left_semi")
+        big = readings.join(small_side(large, hot), matches(large), "left_semi")
         blocks = ordered_blocks(big, [*names, *inner], "spikes")
         ends = Window.partitionBy(BLOCK)
         line = [*names, *inner]

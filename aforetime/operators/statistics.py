@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from aforetime.storage import running_sums, small_side
+
 
 def effective_size(weight: Column) -> Column:
     """(Σw)² / Σw², 0 where there is no weight."""
@@ -19,16 +21,22 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.sum(used * value) / F.nullif(F.sum(used), F.lit(0.0))
 
 
-def average_rank(value: str, group: Sequence[str]) -> Column:
-    """1-based rank, ties averaged."""
-    ordered = Window.partitionBy(*group).orderBy(value)
-    return F.rank().over(ordered) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2.0
+def average_ranks(df: DataFrame, group: Sequence[str], column: str, name: str) -> DataFrame:
+    """df with the 1-based rank of a column within its group, ties averaged.
+
+    Values are counted first and their counts summed in blocks, so a group may
+    hold most of all rows.
+    """
+    counts = df.groupBy(*group, column).agg(F.count("*").alias("_n"))
+    upto = running_sums(counts, group, [column], {"_upto": "_n"}, "ranks")
+    ranks = upto.select(*group, column, (F.col("_upto") - (F.col("_n") - 1) / 2.0).alias(name))
+    return df.join(ranks, [*group, column])
 
 
 def rank_correlation(pairs: DataFrame, group: Sequence[str], left: str, right: str) -> DataFrame:
-    """(group, n, pearson, spearman) of two columns; null where one doesn't vary."""
-    both = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull())
-    ranked = both.withColumns({"_l": average_rank(left, group), "_r": average_rank(right, group)})
+    """(group, n, pearson, spearman) of two columns; null where one doesn't vary. Rows with a null group are left out."""
+    both = pairs.where(F.col(left).isNotNull() & F.col(right).isNotNull()).dropna(subset=list(group))
+    ranked = average_ranks(average_ranks(both, group, left, "_l"), group, right, "_r")
     varies = (F.stddev_pop(left) > 0) & (F.stddev_pop(right) > 0)
     return ranked.groupBy(*group).agg(
         F.count("*").alias("n"),
@@ -62,7 +70,7 @@ def kernel_effective_size(queries: DataFrame, observations: DataFrame, on: Seque
     return pairs.groupBy(*on, query).agg(effective_size(weight).alias("effective_size"))
 
 
-def policy_metrics(scored: DataFrame, thresholds: DataFrame, *, score: str, harm: str, cost: float, group: Sequence[str] = ()) -> DataFrame:
+def policy_metrics(scored: DataFrame, thresholds: DataFrame, *, score: str, harm: str, cost: float, group: Sequence[str]) -> DataFrame:
     """Per threshold: coverage, false authorisations, selective risk and mean loss of authorising below it.
 
     Scores are aggregated to distinct values first and thresholds met by running
@@ -74,11 +82,10 @@ def policy_metrics(scored: DataFrame, thresholds: DataFrame, *, score: str, harm
     )
     cuts = thresholds.select(*keys, F.col("threshold").alias(score), F.lit(0).cast("bigint").alias("_n"), F.lit(0).cast("bigint").alias("_bad"), F.lit(True).alias("_cut"))
     line = per_score.withColumn("_cut", F.lit(False)).unionByName(cuts)
-    upto = Window.partitionBy(*keys).orderBy(score).rangeBetween(Window.unboundedPreceding, 0)
-    total = Window.partitionBy(*keys)
-    summed = line.select(
-        *keys, score, "_cut", F.sum("_n").over(upto).alias("a"), F.sum("_bad").over(upto).alias("bad"), F.sum("_n").over(total).alias("n")
-    ).where("_cut")
+    # at equal scores the threshold comes after the scores it admits
+    sums = running_sums(line.groupBy(*keys, score, "_cut").agg(F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad")), keys, [score, "_cut"], {"a": "_n", "bad": "_bad"}, "policy")
+    totals = per_score.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    summed = sums.where("_cut").join(small_side(totals), keys)
     return summed.select(
         *keys,
         F.col(score).alias("threshold"),

@@ -10,6 +10,7 @@ from aforetime.functions.numbers import bare, finite_number
 from aforetime.functions.timetext import instant_us
 from aforetime.operators import grid, history, known, profile, snapdiff, spikes
 from aforetime.sources.tables import table
+from aforetime.storage import small_side
 
 VERSION_KEYS = ("ref_area", "series_id", "period")
 
@@ -84,14 +85,6 @@ MISSING_REASONS = (
     "insufficient_transformation_lookback",
     "no_strictly_prior_observation",
 )
-#: A registry above this many rows is joined by shuffle, not broadcast.
-BROADCAST_ROWS = 1_000_000
-
-
-def small_side(df: DataFrame) -> DataFrame:
-    """df marked for broadcast if its rows are counted to be few."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
 
 def snapshot_cell_violations(spark: SparkSession, folder: str) -> DataFrame:
     """(row_id, snapshot_no, column_name) of the snapshot cells that break their column's form."""

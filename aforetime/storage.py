@@ -23,6 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK = "_blk"
+#: A side of at most this many rows may be broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+_written: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,9 +49,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}.parquet"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Delete the tables that `written` made in this session; results that still read them can't be computed afterwards."""
+    for path in _written:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.clear()
+
+
+def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df marked for broadcast if its rows (counted, unless an upper bound is given) are few."""
+    if rows is None:
+        rows = df.limit(BROADCAST_ROWS + 1).count()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
@@ -92,3 +111,26 @@ def neighbour(
     for c in keys:
         same = same & F.col(f"_near.k.{c}").eqNullSafe(F.col(c))
     return seen.withColumn(name, F.when(same, F.col("_near.p"))).drop("_near", "_edge")
+
+
+def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: dict[str, str], label: str) -> DataFrame:
+    """df with running sums (new name → column) by `order` within each group, however large a group is.
+
+    Rows are sorted in blocks; a block's sums start from the totals of the
+    group's earlier blocks. Rows equal in group and order must be aggregated
+    before.
+    """
+    group, order = list(group), list(order)
+    blocks = ordered_blocks(df, [*group, *order], label)
+    totals = blocks.groupBy(BLOCK, *group).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in columns.items()])
+    earlier = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        F.col(BLOCK).alias("_b"), *[F.col(g).alias(f"_g_{g}") for g in group],
+        *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in columns],
+    )
+    same = F.col("_b") == F.col(BLOCK)
+    for g in group:
+        same = same & F.col(f"_g_{g}").eqNullSafe(F.col(g))
+    inside = Window.partitionBy(BLOCK, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = blocks.withColumns({f"_s_{n}": F.sum(c).over(inside) for n, c in columns.items()}).join(small_side(before), same)
+    return summed.select(*df.columns, *[(F.col(f"_s_{n}") + F.col(f"_t_{n}")).alias(n) for n in columns])

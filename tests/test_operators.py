@@ -332,3 +332,18 @@ def test_subspace_distance_ignores_rotation():
     basis = np.linalg.qr(rng.normal(size=(6, 2)))[0]
     turned = basis @ np.linalg.qr(rng.normal(size=(2, 2)))[0]
     assert kernels.subspace_distance(basis, turned) == pytest.approx((1, 0), abs=1e-7)
+
+
+def test_running_sums_and_ranks_over_blocks(spark):
+    from aforetime.operators import statistics
+    from aforetime.storage import running_sums
+
+    draw = random.Random(9)
+    rows = [("hot" if draw.random() < 0.8 else draw.choice(["a", "b"]), draw.randint(0, 40)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "g string, x int")
+    counted = df.groupBy("g", "x").agg(F.count("*").alias("n"))
+    for r in running_sums(counted, ["g"], ["x"], {"upto": "n"}, "test").collect():
+        assert r["upto"] == sum(g == r["g"] and x <= r["x"] for g, x in rows)
+    for r in statistics.average_ranks(df, ["g"], "x", "rank").distinct().collect():
+        below, equal = (sum(g == r["g"] and f(x) for g, x in rows) for f in (lambda x: x < r["x"], lambda x: x == r["x"]))
+        assert r["rank"] == below + (equal + 1) / 2
