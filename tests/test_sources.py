@@ -91,3 +91,16 @@ def test_streams(spark, tmp_path):
     assert len(run(lambda s: streams.unrepeated(s, ["k"], "t", "1 day"), "once", "append")) == len(rows)
     levels = run(lambda s: streams.windowed_levels(s, ["k"], "t", "v", window="5 hours", lateness="1 hour"), "levels", "complete")
     assert sum(r["n"] for r in levels) == len(rows) + 1
+
+
+def test_workbook_cells(spark, tmp_path):
+    from aforetime.sources.workbooks import workbook_cells
+
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>date</t></si><si><r><t>va</t></r><r><t>lue</t></r></si></sst>")
+        z.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="One" r:id="r1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="AB1" t="s"><v>1</v></c></row><row r="3"><c r="A3"><v>4.5</v></c><c r="B3" t="inlineStr"><is><t>x</t></is></c></row></sheetData></worksheet>')
+    rows = workbook_cells(spark, str(tmp_path / "b.xlsx")).select("sheet", "row_no", "column_no", "text").collect()
+    assert {tuple(r) for r in rows} == {("One", 0, 0, "date"), ("One", 0, 27, "value"), ("One", 2, 0, "4.5"), ("One", 2, 1, "x")}
