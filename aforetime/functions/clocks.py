@@ -32,7 +32,9 @@ def month_start(day: Column) -> Column:
 def month_calendar(spark: SparkSession, first: str, last: str, zone: str, *, month_end: bool = False) -> DataFrame:
     """(month, cutoff) per month: its first or last day at 23:59:59 local."""
     months = spark.range(1).select(
-        F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))).alias("month")
+        F.explode(
+            F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month"))
+        ).alias("month")
     )
     day = F.last_day("month") if month_end else F.col("month")
     return months.withColumn("cutoff", local_instant(day, 23, 59, 59, zone))

@@ -79,7 +79,9 @@ def lagged_change(
     return newest_period(typed, keys, period, ["change", "known_at"])
 
 
-def step_function(decisions: DataFrame, steps: DataFrame, on: Sequence[str], *, decision: str, effective: str) -> DataFrame:
+def step_function(
+    decisions: DataFrame, steps: DataFrame, on: Sequence[str], *, decision: str, effective: str
+) -> DataFrame:
     """The last step effective strictly before each decision; steps become intervals by `lead`."""
     until = F.lead(effective).over(Window.partitionBy(*on).orderBy(effective))
     spans = steps.withColumn("_until", until)

@@ -58,7 +58,9 @@ def _gated(y: np.ndarray) -> np.ndarray:
     return out
 
 
-def _smooth(time: np.ndarray, y: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _smooth(
+    time: np.ndarray, y: np.ndarray, ratio: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Filter and smoother of many padded series at once; time, y: (series, steps), y NaN where unobserved.
 
     Returns level, its variance in units of the noise variance, the noise

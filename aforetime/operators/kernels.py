@@ -75,7 +75,9 @@ def best_split_1d(value: np.ndarray, k: int) -> tuple[float, list[float]]:
     return float(cost[k, n]), centres[::-1]
 
 
-def gaussian_hmm(value: np.ndarray, states: int = 2, steps: int = 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
+def gaussian_hmm(
+    value: np.ndarray, states: int = 2, steps: int = 40
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[float]]:
     """Expectation maximisation of a Gaussian hidden Markov chain with pseudo-counts: means, variances, transitions, log likelihoods.
 
     Starts from quantile bins; NaN values are integrated out.
@@ -173,7 +175,9 @@ def change_points(value: np.ndarray, limit: float = 4.0, least: int = 12) -> np.
     return segment
 
 
-def block_means(values: DataFrame, keys: Sequence[str], array: str, *, replicates: int, block: int, seed: int) -> DataFrame:
+def block_means(
+    values: DataFrame, keys: Sequence[str], array: str, *, replicates: int, block: int, seed: int
+) -> DataFrame:
     """(keys, replicate, mean, p90) of circular moving-block resamples; replicates are rows, so they spread over tasks.
 
     `array` holds a group's values in order. A replicate's seed depends only on
@@ -194,7 +198,9 @@ def block_means(values: DataFrame, keys: Sequence[str], array: str, *, replicate
             yield batch[[*keys, "replicate"]].assign(mean=means, p90=tops)
 
     plan = values.where(F.size(array) > 0).select(
-        *keys, F.col(array).alias("_x"), F.xxhash64(*keys).alias("_mix"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("replicate")
+        *keys, F.col(array).alias("_x"), F.xxhash64(*keys).alias("_mix"), F.explode(
+            F.sequence(F.lit(0), F.lit(replicates - 1))
+        ).alias("replicate")
     )
     types = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys)
     return plan.mapInPandas(run, f"{types}, replicate int, mean double, p90 double")

@@ -50,10 +50,14 @@ def amend(base: DataFrame, update: DataFrame, keys: Sequence[str], columns: Sequ
     new = update.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = base.join(new, list(keys), "left")
     replaced = {c: F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in columns}
-    return joined.withColumns(replaced).withColumn("is_amended", F.coalesce("_hit", F.lit(False))).select(*base.columns, "is_amended")
+    return joined.withColumns(replaced).withColumn(
+        "is_amended", F.coalesce("_hit", F.lit(False))
+    ).select(*base.columns, "is_amended")
 
 
-def audit(panel: DataFrame, keys: Sequence[str], *, value: str, known: str | None = None, origin: str | None = None) -> DataFrame:
+def audit(
+    panel: DataFrame, keys: Sequence[str], *, value: str, known: str | None = None, origin: str | None = None
+) -> DataFrame:
     """One row: rows, keys, duplicate keys, missing values, non-finite values and point-in-time violations."""
     per_key = panel.groupBy(*keys).agg(
         F.count("*").alias("n"),

@@ -58,7 +58,9 @@ def value_counts(rows: DataFrame, load: str, columns: Sequence[str], numeric: Se
         *[F.when(bare(F.col(c)) != "", F.col(c)).alias(c) for c in columns],
         *[finite_number(F.col(c)).alias(f"_{c}") for c in numeric],
     )
-    stacked = typed.select("load", F.stack(F.lit(len(parts)), *[x for p in parts for x in p]).alias("column_name", "cell", "num"))
+    stacked = typed.select(
+        "load", F.stack(F.lit(len(parts)), *[x for p in parts for x in p]).alias("column_name", "cell", "num")
+    )
     return stacked.groupBy("column_name", "load", "cell", "num").agg(F.count("*").alias("n"))
 
 
@@ -97,7 +99,9 @@ def _curves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush() -> pd.DataFrame:
         whole = pd.concat(pending, ignore_index=True)
-        cut = np.flatnonzero((whole[BLOCK].diff() != 0) | (whole["column_name"] != whole["column_name"].shift())).tolist()
+        cut = np.flatnonzero(
+            (whole[BLOCK].diff() != 0) | (whole["column_name"] != whole["column_name"].shift())
+        ).tolist()
         parts = zip(cut, [*cut[1:], len(whole)], strict=True)
         return pd.DataFrame([row for a, b in parts for row in segment(whole.iloc[a:b])], columns=names)
 
@@ -151,7 +155,10 @@ def column_profile(rows: DataFrame, load: str, columns: Sequence[str], numeric:
         blocks.where(filled)
         .withColumn("vid", F.dense_rank().over(Window.partitionBy(BLOCK).orderBy(*order)))
         .join(small_side(prefix, most), [BLOCK, "column_name", "load"])
-        .select(BLOCK, "column_name", "vid", "num", "load_no", "n", "n_before", "filled", (F.col("n") / F.col("filled")).alias("share"))
+        .select(
+            BLOCK, "column_name", "vid", "num", "load_no", "n", "n_before", "filled",
+            (F.col("n") / F.col("filled")).alias("share")
+        )
     )
     curves = placed.mapInPandas(
         _curves,
@@ -163,7 +170,9 @@ def column_profile(rows: DataFrame, load: str, columns: Sequence[str], numeric:
         curves.withColumn("offset", offset)
         .groupBy("column_name", "load_no")
         .agg(
-            F.max(F.greatest(F.abs(F.col("offset") + F.col("high")), F.abs(F.col("offset") + F.col("low")))).alias("ks_distance"),
+            F.max(
+                F.greatest(F.abs(F.col("offset") + F.col("high")), F.abs(F.col("offset") + F.col("low")))
+            ).alias("ks_distance"),
             F.max("jump").alias("value_share_change"),
             *[F.max(F.when(F.col("q") == q, F.col("value"))).alias(f"q{round(q * 100)}") for q in QUANTILES],
         )

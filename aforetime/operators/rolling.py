@@ -46,15 +46,21 @@ def future_any(flag: Column, group: Sequence[str], order: str, horizon: int) ->
     return F.when(F.lead(F.lit(1), horizon).over(ahead).isNotNull(), any_ahead)
 
 
-def lag_one_coefficient(panel: DataFrame, group: Sequence[str], order: str, value: str, limit: float = 0.98) -> DataFrame:
+def lag_one_coefficient(
+    panel: DataFrame, group: Sequence[str], order: str, value: str, limit: float = 0.98
+) -> DataFrame:
     """(group, phi, n_pairs): autoregression of order one without intercept, clipped."""
     w = Window.partitionBy(*group).orderBy(order)
     pairs = panel.withColumn("_lag", F.lag(value).over(w)).where(F.col(value).isNotNull() & F.col("_lag").isNotNull())
     phi = F.sum(F.col(value) * F.col("_lag")) / F.sum(F.col("_lag") ** 2)
-    return pairs.groupBy(*group).agg(F.greatest(F.least(phi, F.lit(limit)), F.lit(-limit)).alias("phi"), F.count("*").alias("n_pairs"))
+    return pairs.groupBy(*group).agg(
+        F.greatest(F.least(phi, F.lit(limit)), F.lit(-limit)).alias("phi"), F.count("*").alias("n_pairs")
+    )
 
 
-def breach_episodes(panel: DataFrame, group: Sequence[str], order: str, breach: str, *, onset: int = 3, recovery: int = 3) -> DataFrame:
+def breach_episodes(
+    panel: DataFrame, group: Sequence[str], order: str, breach: str, *, onset: int = 3, recovery: int = 3
+) -> DataFrame:
     """Episodes of persistent breaches: (group, episode, first, last, n_breaches, is_open).
 
     An episode starts with the first of `onset` consecutive breaches and ends
@@ -65,7 +71,9 @@ def breach_episodes(panel: DataFrame, group: Sequence[str], order: str, breach:
     keys = list(group)
     w = Window.partitionBy(*keys).orderBy(order)
     flagged = panel.select(*keys, order, F.coalesce(breach, F.lit(False)).alias("_b"))
-    numbered = flagged.withColumn("_i", F.row_number().over(w))
+    numbered = flagged.withColumn("_i", F.row_number().over(w)).withColumn(
+        "_n", F.count("*").over(Window.partitionBy(*keys))
+    )
     run_id = F.col("_i") - F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order))
     runs = numbered.withColumn("_run", run_id)
     run_window = Window.partitionBy(*keys, "_b", "_run")
@@ -73,13 +81,17 @@ def breach_episodes(panel: DataFrame, group: Sequence[str], order: str, breach:
     separator = ~F.col("_b") & (F.col("_size") >= recovery)
     segment = F.sum((separator & (F.col("_i") == F.col("_at"))).cast("int")).over(w)
     cut = sized.withColumn("_segment", segment).where(~separator)
-    opens = F.min(F.when(F.col("_b") & (F.col("_size") >= onset), F.col("_i"))).over(Window.partitionBy(*keys, "_segment"))
+    opens = F.min(
+        F.when(F.col("_b") & (F.col("_size") >= onset), F.col("_i"))
+    ).over(Window.partitionBy(*keys, "_segment"))
     total = F.max("_i").over(Window.partitionBy(*keys, "_segment"))
-    whole = numbered.groupBy(*keys).agg(F.max("_i").alias("_n"))
     inside = cut.withColumn("_open", opens).withColumn("_end", total).where(F.col("_i") >= F.col("_open"))
     found = inside.groupBy(*keys, "_segment").agg(
-        F.min(order).alias("first"), F.max(order).alias("last"), F.sum(F.col("_b").cast("bigint")).alias("n_breaches"), F.max("_end").alias("_end")
-    )
-    joined = found.join(whole, keys) if keys else found.crossJoin(whole)
+        F.min(order).alias("first"), F.max(order).alias("last"), F.sum(F.col("_b").cast("bigint")).alias("n_breaches"),
+        F.max("_end").alias("_end"), F.max("_n").alias("_n"),
+    )
     episode = F.row_number().over(Window.partitionBy(*keys).orderBy("first"))
-    return joined.select(*keys, episode.alias("episode"), "first", "last", "n_breaches", (F.col("_end") == F.col("_n")).alias("is_open"))
+    return found.select(
+        *keys, episode.alias("episode"), "first", "last", "n_breaches",
+        (F.col("_end") == F.col("_n")).alias("is_open")
+    )

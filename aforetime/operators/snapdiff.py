@@ -97,11 +97,17 @@ def snapshot_changes(
     `keys` gives each key column's name and its clean form, `value` is a number.
     """
     names = list(keys)
-    marked = [F.coalesce(F.concat(F.lit("1"), c.cast("string")), F.lit("0")).alias(f"k{i}") for i, c in enumerate(keys.values())]
+    marked = [
+        F.coalesce(F.concat(F.lit("1"), c.cast("string")), F.lit("0")).alias(f"k{i}") for i,
+        c in enumerate(keys.values())
+    ]
     columns = [f"k{i}" for i in range(len(names))]
     clean = (
         rows.where(F.col(snapshot).isNotNull())
-        .select(F.col(snapshot).cast("int").alias("at"), *marked, value.alias("value"), F.coalesce(F.col(tie), F.lit(-1)).alias("tie"))
+        .select(
+            F.col(snapshot).cast("int").alias("at"), *marked, value.alias("value"),
+            F.coalesce(F.col(tie), F.lit(-1)).alias("tie")
+        )
         .groupBy("at", *columns)
         .agg(F.max_by("value", "tie").alias("value"))
     )
@@ -110,7 +116,9 @@ def snapshot_changes(
     schema = pa.schema([("at", pa.int32()), *[(c, pa.string()) for c in columns], ("change_kind", pa.string())])
     ranges = clean.repartitionByRange(shuffle_parts(rows.sparkSession), *columns).sortWithinPartitions("at", *columns)
     found = ranges.select("at", *columns, "value").mapInArrow(
-        _merge_range(names, sorted(snapshots), schema), ", ".join(["at int", *[f"{c} string" for c in columns], "change_kind string"])
+        _merge_range(names, sorted(snapshots), schema), ", ".join(
+            ["at int", *[f"{c} string" for c in columns], "change_kind string"]
+        )
     )
     return found.select(
         F.col("at").alias(snapshot), *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)], "change_kind"

@@ -296,7 +296,9 @@ def implausible(
     out_of_range = typed.where("bad").select("row_id", F.lit(RANGE).alias("kind"))
     within = typed.where(~F.col("bad") & F.col("period").isNotNull())
     readings = written(
-        within.groupBy(*names, "period", "digits").agg(F.min("at").alias("at"), F.min_by("value", "row_id").alias("value")),
+        within.groupBy(*names, "period", "digits").agg(
+            F.min("at").alias("at"), F.min_by("value", "row_id").alias("value")
+        ),
         "readings",
     )
     sizes = readings.groupBy(*names).agg(F.count("*").alias("n_readings"))
@@ -308,7 +310,9 @@ def implausible(
 
     def judged(df: DataFrame, group: list[str]) -> DataFrame:
         ready = df.repartition(*group).sortWithinPartitions(*group, *inner)
-        return ready.mapInPandas(_judge(versions, group), schema if group == names else f"{schema}, stretch int").drop("stretch")
+        return ready.mapInPandas(
+            _judge(versions, group), schema if group == names else f"{schema}, stretch int"
+        ).drop("stretch")
 
 
     def matches(other: DataFrame) -> list[Column]:

@@ -59,18 +59,24 @@ def gram(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) ->
     pairs = [(a, b) for k, a in enumerate(columns) for b in list(columns)[k:]]
     x = {c: F.coalesce(c, F.lit(0.0)) for c in columns}
     sums = wide.groupBy(*group).agg(*[(F.sum(x[a] * x[b]) / F.count("*")).alias(f"{a}|{b}") for a, b in pairs])
-    cells = F.array(*[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"`{a}|{b}`").alias("moment")) for a, b in pairs])
+    cells = F.array(
+        *[F.struct(F.lit(a).alias("i"), F.lit(b).alias("j"), F.col(f"`{a}|{b}`").alias("moment")) for a, b in pairs]
+    )
     return sums.select(*group, F.explode(cells).alias("m")).select(*group, "m.i", "m.j", "m.moment")
 
 
-def kernel_effective_size(queries: DataFrame, observations: DataFrame, on: Sequence[str], query: str, observed: str, bandwidth: float) -> DataFrame:
+def kernel_effective_size(
+    queries: DataFrame, observations: DataFrame, on: Sequence[str], query: str, observed: str, bandwidth: float
+) -> DataFrame:
     """Effective number of observations around each query under a Gaussian kernel, within equal `on` keys."""
     pairs = queries.join(observations, list(on))
     weight = F.exp(-0.5 * F.pow((F.col(query) - F.col(observed)) / bandwidth, 2))
     return pairs.groupBy(*on, query).agg(effective_size(weight).alias("effective_size"))
 
 
-def policy_metrics(scored: DataFrame, thresholds: DataFrame, *, score: str, harm: str, cost: float, group: Sequence[str]) -> DataFrame:
+def policy_metrics(
+    scored: DataFrame, thresholds: DataFrame, *, score: str, harm: str, cost: float, group: Sequence[str]
+) -> DataFrame:
     """Per threshold: coverage, false authorisations, selective risk and mean loss of authorising below it.
 
     Scores are aggregated to distinct values first and thresholds met by running
@@ -80,10 +86,16 @@ def policy_metrics(scored: DataFrame, thresholds: DataFrame, *, score: str, harm
     per_score = scored.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
         F.count("*").alias("_n"), F.sum(F.col(harm).cast("bigint")).alias("_bad")
     )
-    cuts = thresholds.select(*keys, F.col("threshold").alias(score), F.lit(0).cast("bigint").alias("_n"), F.lit(0).cast("bigint").alias("_bad"), F.lit(True).alias("_cut"))
+    cuts = thresholds.select(
+        *keys, F.col("threshold").alias(score), F.lit(0).cast("bigint").alias("_n"),
+        F.lit(0).cast("bigint").alias("_bad"), F.lit(True).alias("_cut")
+    )
     line = per_score.withColumn("_cut", F.lit(False)).unionByName(cuts)
     # at equal scores the threshold comes after the scores it admits
-    sums = running_sums(line.groupBy(*keys, score, "_cut").agg(F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad")), keys, [score, "_cut"], {"a": "_n", "bad": "_bad"}, "policy")
+    sums = running_sums(
+        line.groupBy(*keys, score, "_cut").agg(F.sum("_n").alias("_n"), F.sum("_bad").alias("_bad")), keys,
+        [score, "_cut"], {"a": "_n", "bad": "_bad"}, "policy"
+    )
     totals = per_score.groupBy(*keys).agg(F.sum("_n").alias("n"))
     summed = sums.where("_cut").join(small_side(totals), keys)
     return summed.select(

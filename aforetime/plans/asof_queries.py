@@ -33,7 +33,9 @@ known AS (
 def known_at_events(spark: SparkSession, folder: str) -> DataFrame:
     """(event_id, observation_period, value, known_from): all periods each event knew."""
     intervals = asof.validity_intervals(
-        table(spark, folder, "vintage_value").select("row_id", *KEYS, "observation_period", "value", "first_usable_timestamp"),
+        table(spark, folder, "vintage_value").select(
+            "row_id", *KEYS, "observation_period", "value", "first_usable_timestamp"
+        ),
         [*KEYS, "observation_period"],
         at="first_usable_timestamp",
         tie="row_id",
@@ -45,7 +47,9 @@ def known_at_events(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@R.query(f"WITH {_VINTAGE_SQL} SELECT event_id, observation_period, value, epoch_us(known_from) AS known_from_us FROM known")
+@R.query(
+    f"WITH {_VINTAGE_SQL} SELECT event_id, observation_period, value, epoch_us(known_from) AS known_from_us FROM known"
+)
 def asof_interval_form(spark: SparkSession, folder: str) -> DataFrame:
     return known_at_events(spark, folder).select(
         "event_id", "observation_period", "value", F.unix_micros("known_from").alias("known_from_us")
@@ -104,10 +108,19 @@ WHERE NOT s.is_delete GROUP BY ALL""")
 def asof_versioned_delete(spark: SparkSession, folder: str) -> DataFrame:
     """What each source looked like at the start of every year, deletes respected."""
     keys = ["ref_area", "series_id", "period"]
-    spans = asof.validity_intervals(versions(spark, folder), keys, at="usable_at", tie="row_id", deleted=F.col("is_delete"))
+    spans = asof.validity_intervals(
+        versions(spark, folder), keys, at="usable_at", tie="row_id", deleted=F.col("is_delete")
+    )
     years = F.sequence(F.lit("2006-01-01").cast("date"), F.lit("2017-01-01").cast("date"), F.expr("interval 1 year"))
     # a version meets the year starts inside its interval, no join is needed
-    origin = F.explode(F.filter(years, lambda d: (F.col("known_from") < d.cast("timestamp")) & (F.col("known_to").isNull() | (d.cast("timestamp") <= F.col("known_to")))))
+    origin = F.explode(
+        F.filter(
+            years,
+            lambda d: (F.col("known_from") < d.cast("timestamp")) & (
+                F.col("known_to").isNull() | (d.cast("timestamp") <= F.col("known_to"))
+            )
+        )
+    )
     return spans.withColumn("origin", origin).groupBy("origin", "ref_area", "series_id").agg(
         F.count("*").alias("n_periods"), F.max("period").alias("last_period"), F.round(F.sum("value"), 4).alias("sum_value")
     )
@@ -120,7 +133,9 @@ def asof_tie_conflicts(spark: SparkSession, folder: str) -> DataFrame:
     found = asof.tie_conflicts(
         table(spark, folder, "vintage_value"), [*KEYS, "observation_period"], "first_usable_timestamp", "value"
     )
-    return found.select(*KEYS, "observation_period", F.unix_micros("first_usable_timestamp").alias("known_us"), "n_values", "n_rows")
+    return found.select(
+        *KEYS, "observation_period", F.unix_micros("first_usable_timestamp").alias("known_us"), "n_values", "n_rows"
+    )
 
 
 _STEPS_SQL = f"""{PANEL_SQL},
@@ -145,7 +160,9 @@ FROM panel p JOIN spans s ON s.panel_id = p.panel_id AND s.effective < p.month A
 def asof_step_function(spark: SparkSession, folder: str) -> DataFrame:
     """The policy rate in force strictly before each panel month."""
     decisions = panel(spark, folder).select("panel_id", "series_id", "month")
-    return asof.step_function(decisions, _rate_steps(spark, folder), ["panel_id"], decision="month", effective="effective")
+    return asof.step_function(
+        decisions, _rate_steps(spark, folder), ["panel_id"], decision="month", effective="effective"
+    )
 
 
 @R.query(f"""WITH {_STEPS_SQL}
@@ -157,7 +174,9 @@ def step_function_validation(spark: SparkSession, folder: str) -> DataFrame:
     rates = panel(spark, folder).where((F.col("series_id") == "MM_POLICY_RATE") & F.col("value").isNotNull())
     until = F.lead("effective").over(Window.partitionBy("panel_id").orderBy("effective"))
     spans = _rate_steps(spark, folder).withColumn("until", until).withColumnRenamed("panel_id", "_panel")
-    inside = (F.col("_panel") == F.col("panel_id")) & (F.col("effective") <= F.col("month")) & (F.col("until").isNull() | (F.col("month") < F.col("until")))
+    inside = (F.col("_panel") == F.col("panel_id")) & (F.col("effective") <= F.col("month")) & (
+        F.col("until").isNull() | (F.col("month") < F.col("until"))
+    )
     return rates.join(spans, inside, "left").groupBy("panel_id").agg(
         F.count("*").alias("n_months"),
         F.count(F.when(~F.col("value").eqNullSafe(F.col("rate")), 1)).alias("n_conflicts"),
@@ -186,10 +205,14 @@ FROM daily d JOIN daily p ON p.event_type = d.event_type AND p.day = CAST(d.day
 WHERE d.value > 0 AND p.value > 0""")
 def end_of_period_log_change(spark: SparkSession, folder: str) -> DataFrame:
     """Log change of each type's last value of a day."""
-    daily = table(spark, folder, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.max_by("value", "ts").alias("value"))
+    daily = table(spark, folder, "events").groupBy(
+        "event_type", F.to_date("ts").alias("day")
+    ).agg(F.max_by("value", "ts").alias("value"))
     before = daily.select("event_type", F.date_add("day", 1).alias("day"), F.col("value").alias("before"))
     both = daily.join(before, ["event_type", "day"]).where((F.col("value") > 0) & (F.col("before") > 0))
-    return both.select("event_type", "day", F.round(100 * F.log(F.col("value") / F.col("before")), 8).alias("log_change"))
+    return both.select(
+        "event_type", "day", F.round(100 * F.log(F.col("value") / F.col("before")), 8).alias("log_change")
+    )
 
 
 @R.query("""WITH daily AS (
@@ -203,8 +226,12 @@ FROM decisions d JOIN published p ON p.event_type = d.event_type AND p.day < d.d
 QUALIFY row_number() OVER (PARTITION BY d.event_type, d.decision_day ORDER BY p.day DESC) = 1""")
 def asof_daily_publication_lag(spark: SparkSession, folder: str) -> DataFrame:
     """The newest daily level that was published before each decision; publication is the next business day at noon."""
-    daily = table(spark, folder, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("level"))
-    noon = F.timestamp_micros(F.unix_date(next_business_day(F.col("day"))).cast("bigint") * 86_400_000_000 + 12 * 3_600_000_000)
+    daily = table(spark, folder, "events").groupBy(
+        "event_type", F.to_date("ts").alias("day")
+    ).agg(F.round(F.avg("value"), 6).alias("level"))
+    noon = F.timestamp_micros(
+        F.unix_date(next_business_day(F.col("day"))).cast("bigint") * 86_400_000_000 + 12 * 3_600_000_000
+    )
     published = daily.withColumn("usable", noon)
     decisions = daily.select(
         "event_type", F.col("day").alias("decision_day"),
@@ -214,7 +241,9 @@ def asof_daily_publication_lag(spark: SparkSession, folder: str) -> DataFrame:
     newest = published.groupBy("event_type", "usable").agg(F.max_by(F.struct("day", "level"), "day").alias("p"))
     steps = newest.select("event_type", "usable", F.col("p.day").alias("known_day"), F.col("p.level").alias("level"))
     found = asof.step_function(decisions, steps, ["event_type"], decision="decision", effective="usable")
-    return found.where(F.col("known_day") < F.col("decision_day")).select("event_type", "decision_day", "known_day", "level")
+    return found.where(F.col("known_day") < F.col("decision_day")).select(
+        "event_type", "decision_day", "known_day", "level"
+    )
 
 
 @R.query("""SELECT event_id, epoch_us(event_timestamp) AS event_us,
@@ -245,7 +274,11 @@ def _snapshot_ends(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     first, last = rows.agg(F.min("snapshot_no"), F.max("snapshot_no")).first()
     clean = (
         rows.where(F.col("snapshot_no").isin(first, last))
-        .select("snapshot_no", "panel_id", F.upper(bare(F.col("series_id"))).alias("series_id"), clean_month(F.col("origin_month")).alias("origin_month"), "row_id", "missing_reason", finite_number(F.col("transformed_value")).alias("num"))
+        .select(
+            "snapshot_no", "panel_id", F.upper(bare(F.col("series_id"))).alias("series_id"),
+            clean_month(F.col("origin_month")).alias("origin_month"), "row_id", "missing_reason",
+            finite_number(F.col("transformed_value")).alias("num")
+        )
         .groupBy("snapshot_no", "panel_id", "series_id", "origin_month")
         .agg(F.max_by(F.struct("missing_reason", "num"), "row_id").alias("r"))
         .select("snapshot_no", "panel_id", "series_id", "origin_month", "r.missing_reason", "r.num")
@@ -294,7 +327,10 @@ def panel_amend_series(spark: SparkSession, folder: str) -> DataFrame:
     """The first snapshot with one series taken from the last; all other rows as they were."""
     old, new = _snapshot_ends(spark, folder)
     keys = ["panel_id", "series_id", "origin_month"]
-    return panels.amend(old.select(*keys, "num"), new.where(F.col("series_id") == "MM_POLICY_RATE").select(*keys, "num"), keys, ["num"])
+    return panels.amend(
+        old.select(*keys, "num"), new.where(F.col("series_id") == "MM_POLICY_RATE").select(*keys, "num"), keys,
+        ["num"]
+    )
 
 
 _REVISED_SQL = f"""WITH {VERSIONS_SQL},
@@ -303,7 +339,10 @@ ends AS (SELECT ref_area, series_id, period, arg_min(value, usable_at) AS first_
 
 
 def _revised(spark: SparkSession, folder: str) -> DataFrame:
-    held = asof.validity_intervals(versions(spark, folder), ["ref_area", "series_id", "period"], at="usable_at", tie="row_id", deleted=F.col("is_delete"))
+    held = asof.validity_intervals(
+        versions(spark, folder), ["ref_area", "series_id", "period"], at="usable_at", tie="row_id",
+        deleted=F.col("is_delete")
+    )
     return held.where(F.col("value").isNotNull()).groupBy("ref_area", "series_id", "period").agg(
         F.min_by("value", "known_from").alias("first_value"), F.max_by("value", "known_from").alias("last_value"), F.count("*").alias("n")
     )
@@ -348,7 +387,10 @@ def matched_period_vintage_join(spark: SparkSession, folder: str) -> DataFrame:
     """Yearly change of the latest and of the first published values, matched by period."""
     ends = _revised(spark, folder)
     keys = ["ref_area", "series_id", "period"]
-    base = ends.select("ref_area", "series_id", F.add_months("period", 12).alias("period"), F.col("first_value").alias("f0"), F.col("last_value").alias("l0"))
+    base = ends.select(
+        "ref_area", "series_id", F.add_months("period", 12).alias("period"), F.col("first_value").alias("f0"),
+        F.col("last_value").alias("l0")
+    )
     both = ends.join(base, keys).where((F.col("f0") != 0) & (F.col("l0") != 0))
     return both.select(
         *keys,

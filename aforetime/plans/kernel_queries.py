@@ -32,7 +32,9 @@ def exact_1d_kmeans(spark: SparkSession, folder: str) -> DataFrame:
         loss, centres = kernels.best_split_1d(x, 2)
         return [(OK, loss, centres[0], centres[1])]
 
-    return kernels.per_group(_observed(spark, folder), SOURCE, ["month"], fit, "status string, loss double, low double, high double")
+    return kernels.per_group(
+        _observed(spark, folder), SOURCE, ["month"], fit, "status string, loss double, low double, high double"
+    )
 
 
 @R.query()
@@ -78,7 +80,10 @@ def em_pca_rank(spark: SparkSession, folder: str) -> DataFrame:
         rank, criterion = kernels.choose_rank(matrix, min(3, matrix.shape[1] - 1))
         return [(OK, rank, criterion)]
 
-    return kernels.per_group(_observed(spark, folder), ["panel_id"], ["month", "series_id"], fit, "status string, rank int, criterion double")
+    return kernels.per_group(
+        _observed(spark, folder), ["panel_id"], ["month", "series_id"], fit,
+        "status string, rank int, criterion double"
+    )
 
 
 def _moments(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple[int, int]]]:
@@ -118,7 +123,9 @@ def gram_geometry(spark: SparkSession, folder: str) -> DataFrame:
             out.append(kernels.subspace_distance(*spaces))
         return pd.DataFrame(out, columns=["smallest_cosine", "projector_distance"])
 
-    return moments.withColumn("g", geometry("expanding", "recent")).select("panel_id", "month", "g.smallest_cosine", "g.projector_distance")
+    return moments.withColumn("g", geometry("expanding", "recent")).select(
+        "panel_id", "month", "g.smallest_cosine", "g.projector_distance"
+    )
 
 
 @R.query()
@@ -137,13 +144,21 @@ def geometry_summary(spark: SparkSession, folder: str) -> DataFrame:
 @R.query()
 def block_bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
     """95 % block-bootstrap intervals of every source's mean and upper decile."""
-    listed = _observed(spark, folder).groupBy(*SOURCE).agg(F.array_sort(F.collect_list(F.struct("month", "value"))).alias("cells"))
+    listed = _observed(spark, folder).groupBy(*SOURCE).agg(
+        F.array_sort(F.collect_list(F.struct("month", "value"))).alias("cells")
+    )
     listed = listed.select(*SOURCE, F.transform("cells", lambda c: c["value"]).alias("x"))
     draws = kernels.block_means(listed, SOURCE, "x", replicates=199, block=12, seed=20_231)
     ends = F.array(F.lit(0.025), F.lit(0.975))
     return draws.groupBy(*SOURCE).agg(
         F.count("*").alias("n_draws"), F.percentile("mean", ends).alias("m"), F.percentile("p90", ends).alias("t")
-    ).select(*SOURCE, "n_draws", *[F.col(c)[i].alias(f"{n}_{e}") for c, n in (("m", "mean"), ("t", "p90")) for i, e in enumerate(("low", "high"))])
+    ).select(
+        *SOURCE, "n_draws",
+        *[
+            F.col(c)[i].alias(f"{n}_{e}") for c, n in (("m", "mean"), ("t", "p90")) for i,
+            e in enumerate(("low", "high"))
+        ]
+    )
 
 
 @R.query("""WITH s AS (SELECT l_shipmode AS g, x, y, avg(x) OVER w AS mx, avg(y) OVER w AS my, count(*) OVER w AS n FROM (
@@ -158,8 +173,13 @@ def ols_hc3(spark: SparkSession, folder: str) -> DataFrame:
         F.concat("l_returnflag", "l_linestatus").alias("grp"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y")
     )
     means = rows.groupBy("grp").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n"))
-    centred = rows.join(means, "grp").select("grp", "n", (F.col("x") - F.col("mx")).alias("dx"), (F.col("y") - F.col("my")).alias("dy"))
-    slopes = centred.groupBy("grp").agg((F.sum(F.col("dx") * F.col("dy")) / F.sum(F.col("dx") ** 2)).alias("slope"), F.sum(F.col("dx") ** 2).alias("sxx"))
+    centred = rows.join(means, "grp").select(
+        "grp", "n", (F.col("x") - F.col("mx")).alias("dx"), (F.col("y") - F.col("my")).alias("dy")
+    )
+    slopes = centred.groupBy("grp").agg(
+        (F.sum(F.col("dx") * F.col("dy")) / F.sum(F.col("dx") ** 2)).alias("slope"),
+        F.sum(F.col("dx") ** 2).alias("sxx")
+    )
     left = 1 - 1 / F.col("n") - F.col("dx") ** 2 / F.col("sxx")
     part = F.col("dx") ** 2 * (F.col("dy") - F.col("slope") * F.col("dx")) ** 2 / left**2
     return centred.join(slopes, "grp").groupBy("grp").agg(
@@ -190,7 +210,12 @@ SECRET_PATTERNS = {
 }
 
 
-@R.query("SELECT source, " + ", ".join(f"count(*) FILTER (regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')) AS {n}" for n, p in SECRET_PATTERNS.items()) + ", count(*) AS n_documents FROM documents GROUP BY ALL")
+@R.query(
+    "SELECT source, " + ", ".join(
+        f"count(*) FILTER (regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')) AS {n}" for n,
+        p in SECRET_PATTERNS.items()
+    ) + ", count(*) AS n_documents FROM documents GROUP BY ALL"
+)
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Documents per source that show each pattern."""
     hits = [F.count(F.when(F.col("text").rlike(p), 1)).alias(n) for n, p in SECRET_PATTERNS.items()]
@@ -207,5 +232,7 @@ def token_entropy(spark: SparkSession, folder: str) -> DataFrame:
     chars = tokens.select("token", F.explode(F.split("token", "")).alias("c")).where(F.col("c") != "")
     freq = chars.groupBy("token", "c").agg(F.count("*").alias("n"))
     return freq.groupBy("token").agg(
-        F.sum("n").alias("n_chars"), F.round(-F.sum(F.col("n") * F.log2(F.col("n") / F.length("token"))) / F.max(F.length("token")), 6).alias("entropy")
+        F.sum("n").alias("n_chars"), F.round(
+            -F.sum(F.col("n") * F.log2(F.col("n") / F.length("token"))) / F.max(F.length("token")), 6
+        ).alias("entropy")
     )

@@ -129,19 +129,18 @@ def state_support_grouping_sets(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.query("""WITH g AS (SELECT l_linestatus AS state, l_returnflag AS feature, sum(l_quantity * l_discount) / sum(l_quantity) AS m FROM lineitem WHERE l_discount IS NOT NULL GROUP BY ALL),
 t AS (SELECT l_returnflag AS feature, sum(l_quantity * l_discount) / sum(l_quantity) AS m FROM lineitem GROUP BY ALL)
-SELECT s.state, t.feature, round(coalesce(g.m, t.m), 8) AS profile FROM (SELECT DISTINCT l_linestatus AS state FROM lineitem) s
+SELECT s.state, t.feature, round(coalesce(g.m, t.m), 8) AS profile FROM (VALUES ('F'), ('O')) s(state)
 CROSS JOIN t LEFT JOIN g ON g.state = s.state AND g.feature = t.feature""")
 def state_profiles(spark: SparkSession, folder: str) -> DataFrame:
     """Weighted mean per state and feature; a feature unseen in a state takes its global mean."""
     rows = table(spark, folder, "lineitem").select(
         F.col("l_linestatus").alias("state"), F.col("l_returnflag").alias("feature"), F.col("l_quantity").alias("w"), F.col("l_discount").alias("x")
     )
-    own = rows.groupBy("state", "feature").agg(statistics.weighted_mean(F.col("x"), F.col("w")).alias("own"))
-    overall = rows.groupBy("feature").agg(statistics.weighted_mean(F.col("x"), F.col("w")).alias("overall"))
-    # a row per state and feature, of which there are few
-    states = own.groupBy().agg(F.collect_set("state").alias("states"))
-    spine = overall.join(F.broadcast(states)).select("feature", "overall", F.explode("states").alias("state"))
-    return spine.join(own, ["state", "feature"], "left").select("state", "feature", F.round(F.coalesce("own", "overall"), 8).alias("profile"))
+    mean = statistics.weighted_mean(F.col("x"), F.col("w"))
+    own = rows.groupBy("feature").pivot("state", ["F", "O"]).agg(mean)
+    both = own.join(rows.groupBy("feature").agg(mean.alias("overall")), "feature")
+    long = both.unpivot(["feature", "overall"], ["F", "O"], "state", "own")
+    return long.select("state", "feature", F.round(F.coalesce("own", "overall"), 8).alias("profile"))
 
 
 @R.query("""SELECT event_type, count(*) AS n, round(corr(value, user_id), 8) AS pearson, round(corr(rv, ru), 8) AS spearman FROM (
@@ -151,7 +150,9 @@ GROUP BY ALL""")
 def pearson_spearman(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "events").select("event_type", "value", F.col("user_id").cast("double").alias("user"))
     found = statistics.rank_correlation(rows, ["event_type"], "value", "user")
-    return found.select("event_type", "n", F.round("pearson", 8).alias("pearson"), F.round("spearman", 8).alias("spearman"))
+    return found.select(
+        "event_type", "n", F.round("pearson", 8).alias("pearson"), F.round("spearman", 8).alias("spearman")
+    )
 
 
 _CHANGES_SQL = f"""{PANEL_SQL},
@@ -160,7 +161,9 @@ changes AS (SELECT *, value - lag(value) OVER (PARTITION BY panel_id, series_id
 
 def _changes(spark: SparkSession, folder: str) -> DataFrame:
     w = Window.partitionBy("panel_id", "series_id").orderBy("month")
-    return panel(spark, folder).where(F.col("value").isNotNull()).withColumn("move", F.col("value") - F.lag("value").over(w))
+    return panel(spark, folder).where(F.col("value").isNotNull()).withColumn(
+        "move", F.col("value") - F.lag("value").over(w)
+    )
 
 
 @R.query(f"""WITH {_CHANGES_SQL}
@@ -187,7 +190,9 @@ def sign_materiality(spark: SparkSession, folder: str) -> DataFrame:
     moves = _changes(spark, folder)
     base = moves.where(F.col("series_id") == "MM_POLICY_RATE").select("panel_id", "month", F.col("move").alias("r"))
     pairs = moves.where(F.col("series_id") != "MM_POLICY_RATE").join(base, ["panel_id", "month"])
-    return pairs.groupBy("series_id").agg(F.count("*").alias("n"), *statistics.sign_disagreement(F.col("move"), F.col("r"), 0.25))
+    return pairs.groupBy("series_id").agg(
+        F.count("*").alias("n"), *statistics.sign_disagreement(F.col("move"), F.col("r"), 0.25)
+    )
 
 
 def _wide_prices(spark: SparkSession, folder: str) -> DataFrame:
@@ -249,7 +254,11 @@ def policy_metrics(spark: SparkSession, folder: str) -> DataFrame:
     scored = _scored(spark, folder)
     cuts = scored.select("grp", F.col("score").alias("threshold")).distinct()
     found = statistics.policy_metrics(scored, cuts, score="score", harm="harm", cost=0.25, group=["grp"])
-    return found.select("grp", F.round("threshold", 6).alias("threshold"), F.round("coverage", 8).alias("coverage"), "false_authorisations", F.round("selective_risk", 8).alias("selective_risk"), F.round("mean_loss", 8).alias("mean_loss"))
+    return found.select(
+        "grp", F.round("threshold", 6).alias("threshold"), F.round("coverage", 8).alias("coverage"),
+        "false_authorisations", F.round("selective_risk", 8).alias("selective_risk"),
+        F.round("mean_loss", 8).alias("mean_loss")
+    )
 
 
 @R.query(f"""WITH {_SCORED_SQL}, cuts AS (SELECT DISTINCT grp, score AS threshold FROM scored),
@@ -272,17 +281,27 @@ def scenario_dedup_hash(spark: SparkSession, folder: str) -> DataFrame:
     """Sources of equal content, by hash of their ordered cells."""
     value = F.coalesce(F.format_string("%.11e", F.col("value")), F.lit(""))
     cell = F.struct("month", F.when(F.col("value").isNull(), "").otherwise(value).alias("v"))
-    listed = panel(spark, folder).groupBy("panel_id", "series_id").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
-    text = F.array_join(F.transform("cells", lambda c: F.concat(F.date_format(c["month"], "yyyy-MM"), F.lit("="), c["v"])), "|")
+    listed = panel(spark, folder).groupBy("panel_id", "series_id").agg(
+        F.array_sort(F.collect_list(cell)).alias("cells")
+    )
+    text = F.array_join(
+        F.transform("cells", lambda c: F.concat(F.date_format(c["month"], "yyyy-MM"), F.lit("="), c["v"])), "|"
+    )
     hashed = listed.withColumn("hash", F.sha2(text, 256))
-    return hashed.groupBy("hash").agg(F.min(F.concat("panel_id", F.lit("/"), "series_id")).alias("representative"), F.count("*").alias("n_members"))
+    return hashed.groupBy("hash").agg(
+        F.min(F.concat("panel_id", F.lit("/"), "series_id")).alias("representative"), F.count("*").alias("n_members")
+    )
 
 
-@R.query("""SELECT r.channel, r.series_id, round(r.sign / sqrt(count(*) OVER (PARTITION BY r.channel)), 10) AS weight FROM series_registry r""")
+@R.query(
+    """SELECT r.channel, r.series_id, round(r.sign / sqrt(count(*) OVER (PARTITION BY r.channel)), 10) AS weight FROM series_registry r"""
+)
 def channel_map(spark: SparkSession, folder: str) -> DataFrame:
     """Signed equal weights of a channel's series."""
     size = F.count("*").over(Window.partitionBy("channel"))
-    return table(spark, folder, "series_registry").select("channel", "series_id", F.round(F.col("sign") / F.sqrt(size), 10).alias("weight"))
+    return table(spark, folder, "series_registry").select(
+        "channel", "series_id", F.round(F.col("sign") / F.sqrt(size), 10).alias("weight")
+    )
 
 
 @R.query("""SELECT full_series_key, count(*) AS n_rows, count(DISTINCT pilot_id) AS n_pilots, min(earliest_observation_period) AS first_period,
@@ -334,8 +353,14 @@ QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY total DESC, c_cust
 def top_leverage(spark: SparkSession, folder: str) -> DataFrame:
     """The ten largest contributors per segment (a top-k report)."""
     totals = (
-        table(spark, folder, "customer").join(table(spark, folder, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total")), F.col("c_custkey") == F.col("o_custkey"))
-        .select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("customer"), F.round("total", 2).alias("leverage"))
+        table(spark, folder, "customer").join(
+            table(spark, folder, "orders").groupBy("o_custkey").agg(F.sum("o_totalprice").alias("total")),
+            F.col("c_custkey") == F.col("o_custkey")
+        )
+        .select(
+            F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("customer"),
+            F.round("total", 2).alias("leverage")
+        )
     )
     w = Window.partitionBy("segment").orderBy(F.desc("leverage"), "customer")
     return totals.withColumn("_n", F.row_number().over(w)).where("_n <= 10").drop("_n")
@@ -349,10 +374,14 @@ SELECT u.panel_id, coalesce(i.n, 0) AS n_both, u.n AS n_either, round(coalesce(i
 def breach_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Overlap of the months with a missing reason and the months with a missing flag."""
     rows = table(spark, folder, "panel_rows").groupBy("panel_id", "origin_month").agg(
-        F.bool_or(F.col("missing_reason").isNotNull()).alias("a"), F.bool_or(F.coalesce(F.lower("is_missing").isin("1", "true"), F.lit(False))).alias("b")
+        F.bool_or(F.col("missing_reason").isNotNull()).alias("a"), F.bool_or(
+            F.coalesce(F.lower("is_missing").isin("1", "true"), F.lit(False))
+        ).alias("b")
     )
     both, either = F.count(F.when(F.col("a") & F.col("b"), 1)), F.count("*")
-    return rows.where("a or b").groupBy("panel_id").agg(both.alias("n_both"), either.alias("n_either"), F.round(both / either, 8).alias("jaccard"))
+    return rows.where("a or b").groupBy("panel_id").agg(
+        both.alias("n_both"), either.alias("n_either"), F.round(both / either, 8).alias("jaccard")
+    )
 
 
 @R.query("""WITH hull AS (SELECT l_returnflag AS g, min(l_discount) AS dl, max(l_discount) AS dh, min(l_tax) AS tl, max(l_tax) AS th
@@ -361,7 +390,15 @@ SELECT l_returnflag AS state, count(*) AS n, count(*) FILTER (l_discount BETWEEN
 FROM lineitem JOIN hull ON g = l_returnflag GROUP BY ALL""")
 def joint_support_rectangle(spark: SparkSession, folder: str) -> DataFrame:
     """Lines inside the margins that the small lines of their flag span."""
-    rows = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("state"), "l_quantity", "l_discount", "l_tax")
-    margins = rows.where("l_quantity <= 5").groupBy("state").agg(*[f(c).alias(f"{n}_{c}") for c in ("l_discount", "l_tax") for f, n in ((F.min, "lo"), (F.max, "hi"))])
-    inside = F.col("l_discount").between(F.col("lo_l_discount"), F.col("hi_l_discount")) & F.col("l_tax").between(F.col("lo_l_tax"), F.col("hi_l_tax"))
-    return rows.join(margins, "state").groupBy("state").agg(F.count("*").alias("n"), F.count(F.when(inside, 1)).alias("n_supported"))
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("state"), "l_quantity", "l_discount", "l_tax"
+    )
+    margins = rows.where("l_quantity <= 5").groupBy("state").agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("l_discount", "l_tax") for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    )
+    inside = F.col("l_discount").between(
+        F.col("lo_l_discount"), F.col("hi_l_discount")
+    ) & F.col("l_tax").between(F.col("lo_l_tax"), F.col("hi_l_tax"))
+    return rows.join(margins, "state").groupBy("state").agg(
+        F.count("*").alias("n"), F.count(F.when(inside, 1)).alias("n_supported")
+    )

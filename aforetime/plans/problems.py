@@ -91,7 +91,10 @@ def snapshot_cell_violations(spark: SparkSession, folder: str) -> DataFrame:
     registry = (
         table(spark, folder, "series_registry")
         .groupBy(F.upper(bare(F.col("series_id"))).alias("_series"))
-        .agg(F.min("min_possible").alias("_low"), F.max("max_possible").alias("_high"), F.collect_set("series_id").alias("_names"))
+        .agg(
+            F.min("min_possible").alias("_low"), F.max("max_possible").alias("_high"),
+            F.collect_set("series_id").alias("_names")
+        )
     )
     rows = table(spark, folder, "panel_snapshot").withColumn("_series", F.upper(bare(F.col("series_id"))))
     rows = rows.join(small_side(registry), "_series", "left")

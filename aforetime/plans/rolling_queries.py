@@ -56,7 +56,9 @@ def diag_gaussian_score(spark: SparkSession, folder: str) -> DataFrame:
     """Log density of a panel's month under the independent normals of its histories."""
     score = rolling.gaussian_log_score(F.col("x"), rolling.history_window(SOURCE, "month"), 24)
     scored = _scaled(spark, folder).withColumn("score", score).where(F.col("score").isNotNull())
-    return scored.groupBy("panel_id", "month").agg(F.count("*").alias("n_series"), F.round(F.sum("score"), 6).alias("log_score"))
+    return scored.groupBy("panel_id", "month").agg(
+        F.count("*").alias("n_series"), F.round(F.sum("score"), 6).alias("log_score")
+    )
 
 
 _BREACH_SQL = f"""{PANEL_SQL},
@@ -73,7 +75,9 @@ FROM flags QUALIFY lead(1, 3) OVER (PARTITION BY panel_id, series_id ORDER BY mo
 def future_any_breach(spark: SparkSession, folder: str) -> DataFrame:
     """Whether a cell is missing in the next three rows; the last three rows have no answer."""
     ahead = rolling.future_any(F.col("breach"), SOURCE, "month", 3)
-    return _breaches(spark, folder).select(*SOURCE, "month", ahead.alias("any_ahead")).where(F.col("any_ahead").isNotNull())
+    return _breaches(spark, folder).select(
+        *SOURCE, "month", ahead.alias("any_ahead")
+    ).where(F.col("any_ahead").isNotNull())
 
 
 @R.query("""WITH flags AS (SELECT user_id, ts, value > 60 AS b, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events),
@@ -87,7 +91,9 @@ SELECT f.user_id, row_number() OVER (PARTITION BY f.user_id ORDER BY lo) AS epis
 FROM found f JOIN whole w ON w.user_id = f.user_id""")
 def breach_episodes(spark: SparkSession, folder: str) -> DataFrame:
     """Episodes of high values per user: two in a row open one, three low ones close it."""
-    rows = table(spark, folder, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 60).alias("breach"))
+    rows = table(spark, folder, "events").select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") > 60).alias("breach")
+    )
     found = rolling.breach_episodes(rows, ["user_id"], "ts", "breach", onset=2, recovery=3)
     return found.select(
         "user_id", F.col("episode").cast("bigint").alias("episode"), F.unix_micros("first").alias("first_us"),
@@ -100,7 +106,9 @@ pairs AS (SELECT series, x, lag(x) OVER (PARTITION BY series ORDER BY month) AS
 SELECT series, round(greatest(least(sum(x * y) / sum(y * y), 0.98), -0.98), 6) AS phi, count(*) AS n_pairs FROM pairs WHERE y IS NOT NULL GROUP BY ALL""")
 def lagged_factor_ar1(spark: SparkSession, folder: str) -> DataFrame:
     """Persistence of the monthly price series."""
-    centred = monthly_prices(spark, folder).withColumn("x", F.col("value") - F.avg("value").over(Window.partitionBy("series")))
+    centred = monthly_prices(spark, folder).withColumn(
+        "x", F.col("value") - F.avg("value").over(Window.partitionBy("series"))
+    )
     found = rolling.lag_one_coefficient(centred, ["series"], "month", "x")
     return found.select("series", F.round("phi", 6).alias("phi"), "n_pairs")
 
@@ -129,7 +137,9 @@ def negative_controls(spark: SparkSession, folder: str) -> DataFrame:
     )
     rotated = numbered.select("series", F.pmod(F.col("i") - 23, F.col("n")).alias("i"), F.col("value").alias("rotated"))
     mirrored = numbered.select("series", (F.col("n") - 1 - F.col("i")).alias("i"), F.col("value").alias("reversed"))
-    return numbered.join(rotated, ["series", "i"]).join(mirrored, ["series", "i"]).select("series", "month", "value", "rotated", "reversed")
+    return numbered.join(rotated, ["series", "i"]).join(mirrored, ["series", "i"]).select(
+        "series", "month", "value", "rotated", "reversed"
+    )
 
 
 @R.query("""SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM (
@@ -138,7 +148,9 @@ def negative_controls(spark: SparkSession, folder: str) -> DataFrame:
     FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)) GROUP BY ALL) GROUP BY ALL""")
 def activity_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions separated by six hours of silence."""
-    sessions = table(spark, folder, "events").groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n"))
+    sessions = table(spark, folder, "events").groupBy(
+        "user_id", F.session_window("ts", "6 hours")
+    ).agg(F.count("*").alias("n"))
     return sessions.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 
@@ -155,4 +167,7 @@ def quadratic_design(spark: SparkSession, folder: str) -> DataFrame:
     s = (F.col("value") - F.avg("value").over(whole)) / F.stddev_pop("value").over(whole)
     typed = q.select("series", "month", d.alias("d"), s.alias("s"))
     d, s = F.col("d"), F.col("s")
-    return typed.select("series", "month", *[F.round(e, 6).alias(n) for e, n in ((d, "d"), (s, "s"), (d * d, "dd"), (d * s, "ds"), (s * s, "ss"))])
+    return typed.select(
+        "series", "month",
+        *[F.round(e, 6).alias(n) for e, n in ((d, "d"), (s, "s"), (d * d, "dd"), (d * s, "ds"), (s * s, "ss"))]
+    )

@@ -20,7 +20,9 @@ def label_maturity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "review_label").select("doc_id", "label", "labelled_at")
     documents = table(spark, folder, "documents").select("doc_id", "source", "collected_at")
     mature = F.unix_micros(F.col("labelled_at").cast("timestamp")) <= F.unix_micros(F.col("collected_at").cast("timestamp"))
-    return labels.join(documents, "doc_id").groupBy("source", "label").agg(F.count("*").alias("n_labels"), F.count(F.when(mature, 1)).alias("n_matured"))
+    return labels.join(documents, "doc_id").groupBy("source", "label").agg(
+        F.count("*").alias("n_labels"), F.count(F.when(mature, 1)).alias("n_matured")
+    )
 
 
 @R.query(f"""WITH {PANEL_SQL},
@@ -52,7 +54,9 @@ def url_allow_list(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "retrieval_record")
     allowed = F.coalesce(F.col("final_url").rlike(r"^https://data\.example\.invalid/.+"), F.lit(False))
     host = F.regexp_extract("final_url", "^https://([^/]+)/", 1)
-    return rows.groupBy(host.alias("host")).agg(F.count("*").alias("n"), F.count(F.when(~allowed, 1)).alias("n_refused"))
+    return rows.groupBy(host.alias("host")).agg(
+        F.count("*").alias("n"), F.count(F.when(~allowed, 1)).alias("n_refused")
+    )
 
 
 @R.query("""WITH g AS (SELECT l_orderkey, max(l_extendedprice / 1e4) AS m FROM lineitem GROUP BY ALL),
@@ -61,10 +65,14 @@ s AS (SELECT l.l_orderkey, any_value(g.m) + ln(sum(exp(l_extendedprice / 1e4 - g
 SELECT l_orderkey, n, round(log_total, 9) AS log_total FROM s""")
 def log_sum_exp(spark: SparkSession, folder: str) -> DataFrame:
     """Stable log of summed exponentials per order, on the order's array of lines."""
-    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.col("l_extendedprice") / 1e4).alias("x"))
+    lines = table(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.collect_list(F.col("l_extendedprice") / 1e4).alias("x")
+    )
     top = F.array_max("x")
     total = F.aggregate("x", F.lit(0.0), lambda a, v: a + F.exp(v - top))
-    return lines.select("l_orderkey", F.size("x").cast("bigint").alias("n"), F.round(top + F.log(total), 9).alias("log_total"))
+    return lines.select(
+        "l_orderkey", F.size("x").cast("bigint").alias("n"), F.round(top + F.log(total), 9).alias("log_total")
+    )
 
 
 @R.query("""WITH p AS (SELECT o_orderpriority AS grp, o_orderstatus AS state, count(*) AS n FROM orders GROUP BY ALL),
@@ -72,9 +80,13 @@ q AS (SELECT *, n / sum(n) OVER (PARTITION BY grp) AS p FROM p)
 SELECT grp, count(*) AS n_states, round(-sum(greatest(p, 1e-15) * ln(greatest(p, 1e-15))), 9) AS entropy FROM q GROUP BY ALL""")
 def state_entropy(spark: SparkSession, folder: str) -> DataFrame:
     """Entropy of order states per priority."""
-    counts = table(spark, folder, "orders").groupBy(F.col("o_orderpriority").alias("grp"), "o_orderstatus").agg(F.count("*").alias("n"))
+    counts = table(spark, folder, "orders").groupBy(
+        F.col("o_orderpriority").alias("grp"), "o_orderstatus"
+    ).agg(F.count("*").alias("n"))
     p = F.greatest(F.col("n") / F.sum("n").over(Window.partitionBy("grp")), F.lit(1e-15))
-    return counts.withColumn("p", p).groupBy("grp").agg(F.count("*").alias("n_states"), F.round(-F.sum(F.col("p") * F.log("p")), 9).alias("entropy"))
+    return counts.withColumn("p", p).groupBy("grp").agg(
+        F.count("*").alias("n_states"), F.round(-F.sum(F.col("p") * F.log("p")), 9).alias("entropy")
+    )
 
 
 @R.query("""WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY ALL), s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY ALL)
@@ -95,7 +107,9 @@ FROM (SELECT a.ref_area, a.period, b.ref_area AS b_area FROM a LEFT JOIN b ON b.
 def period_set_operations(spark: SparkSession, folder: str) -> DataFrame:
     """Periods that were ever deleted and those that never were, per area: one aggregation instead of two set operators."""
     rows = table(spark, folder, "versioned_value").groupBy("ref_area", "period").agg(
-        F.bool_or(F.col("value").isNotNull()).alias("a"), F.bool_or(F.coalesce(F.lower(F.trim("action")) == "delete", F.lit(False))).alias("b")
+        F.bool_or(F.col("value").isNotNull()).alias("a"), F.bool_or(
+            F.coalesce(F.lower(F.trim("action")) == "delete", F.lit(False))
+        ).alias("b")
     )
     return rows.where("a").groupBy("ref_area").agg(
         F.count(F.when(F.col("b"), 1)).alias("n_common"), F.count(F.when(~F.col("b"), 1)).alias("n_never_deleted")
@@ -112,7 +126,9 @@ def pilot_panel_gates(spark: SparkSession, folder: str) -> DataFrame:
     series = panel(spark, folder).groupBy("panel_id", "series_id").agg(
         F.bool_or(F.col("month") >= F.lit("2015-01-01").cast("date")).alias("recent"), F.count("value").alias("n")
     )
-    kept = series.join(table(spark, folder, "series_registry").select("series_id", "channel"), "series_id").withColumn("kept", (F.col("n") >= 60) & F.col("recent"))
+    kept = series.join(
+        table(spark, folder, "series_registry").select("series_id", "channel"), "series_id"
+    ).withColumn("kept", (F.col("n") >= 60) & F.col("recent"))
     found = kept.groupBy("panel_id").agg(
         F.count(F.when(F.col("kept"), 1)).alias("n_retained"), F.count_distinct(F.when(F.col("kept"), F.col("channel"))).alias("n_channels")
     )

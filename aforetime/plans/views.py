@@ -68,7 +68,9 @@ def monthly_prices(spark: SparkSession, folder: str) -> DataFrame:
     """(month, series, value): mean order price in thousands per priority and month, cut to whole cents."""
     return (
         table(spark, folder, "orders")
-        .groupBy(F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"), F.col("o_orderpriority").alias("series"))
+        .groupBy(
+            F.to_date(F.date_trunc("month", "o_orderdate")).alias("month"), F.col("o_orderpriority").alias("series")
+        )
         .agg(F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("cents"), F.count("*").alias("n"))
         .select("month", "series", (F.floor(F.col("cents") / F.col("n")) / 100_000).alias("value"))
     )

@@ -18,7 +18,9 @@ def manifest(df: DataFrame, path: str) -> DataFrame:
     """(relative_path, length, sha256) of the data files that a write left under `path`."""
     files = file_hashes(df.sparkSession, path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.where(~name.startswith("_") & ~name.startswith(".")).select(name.alias("relative_path"), "length", "sha256")
+    return files.where(~name.startswith("_") & ~name.startswith(".")).select(
+        name.alias("relative_path"), "length", "sha256"
+    )
 
 
 def canonical_lines(df: DataFrame, order: list[str]) -> DataFrame:

@@ -30,10 +30,14 @@ def csv_texts(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFr
     """A headed CSV file or folder as texts; every file's header must be `fields` in order (a byte order mark is allowed)."""
     first = spark.read.option("wholetext", False).text(path).withColumn("file", F.input_file_name())
     heads = (
-        first.where(F.regexp_replace(F.split("value", ",")[0], "^﻿", "") == fields[0]).groupBy("file").agg(F.first("value").alias("head"))
+        first.where(
+            F.regexp_replace(F.split("value", ",")[0], "^﻿", "") == fields[0]
+        ).groupBy("file").agg(F.first("value").alias("head"))
     )
     wanted = ",".join(fields)
-    wrong = heads.where(F.regexp_replace(F.regexp_replace("head", "^﻿", ""), '"|\\s+$', "") != wanted).limit(1).collect()
+    wrong = heads.where(
+        F.regexp_replace(F.regexp_replace("head", "^﻿", ""), '"|\\s+$', "") != wanted
+    ).limit(1).collect()
     n_files = first.agg(F.count_distinct("file")).first()[0]
     if wrong or heads.count() < n_files:
         raise SchemaMismatch(f"header differs from {wanted}: {wrong[0]['head'] if wrong else 'missing'}")
@@ -54,19 +58,27 @@ def versioned_series(spark: SparkSession, path: str) -> DataFrame:
     The clock is VALID_FROM, or VALID_TO where that is blank; rows without
     either, and rows without value that aren't deletes, are left out.
     """
-    rows = csv_texts(spark, path, ("KEY", "FREQ", "TIME_PERIOD", "OBS_VALUE", "UNIT", "ACTION", "VALID_FROM", "VALID_TO"))
+    rows = csv_texts(
+        spark, path, ("KEY", "FREQ", "TIME_PERIOD", "OBS_VALUE", "UNIT", "ACTION", "VALID_FROM", "VALID_TO")
+    )
     clock = F.coalesce(F.nullif(F.trim("VALID_FROM"), F.lit("")), F.nullif(F.trim("VALID_TO"), F.lit("")))
-    period = F.to_date(F.when(F.length("TIME_PERIOD") == 7, F.concat("TIME_PERIOD", F.lit("-01"))).otherwise(F.col("TIME_PERIOD")))
+    period = F.to_date(
+        F.when(F.length("TIME_PERIOD") == 7, F.concat("TIME_PERIOD", F.lit("-01"))).otherwise(F.col("TIME_PERIOD"))
+    )
     typed = rows.select(
         F.col("KEY").alias("key"), period.alias("period"), tolerant_number(F.col("OBS_VALUE")).alias("value"),
-        F.try_to_timestamp(clock).alias("usable_at"), (F.lower(F.trim(F.coalesce("ACTION", F.lit("")))) == "delete").alias("is_delete"),
+        F.try_to_timestamp(clock).alias("usable_at"), (
+            F.lower(F.trim(F.coalesce("ACTION", F.lit("")))) == "delete"
+        ).alias("is_delete"),
     )
     return typed.where(F.col("usable_at").isNotNull() & (F.col("is_delete") | F.col("value").isNotNull()))
 
 
 def series_violations(spark: SparkSession, path: str, first: str, last: str) -> DataFrame:
     """One row of rule counts for a versioned series file: keys, frequencies, periods outside, unusable values, repeated versions."""
-    rows = csv_texts(spark, path, ("KEY", "FREQ", "TIME_PERIOD", "OBS_VALUE", "UNIT", "ACTION", "VALID_FROM", "VALID_TO"))
+    rows = csv_texts(
+        spark, path, ("KEY", "FREQ", "TIME_PERIOD", "OBS_VALUE", "UNIT", "ACTION", "VALID_FROM", "VALID_TO")
+    )
     delete = F.lower(F.trim(F.coalesce("ACTION", F.lit("")))) == "delete"
     per_version = rows.groupBy("KEY", "TIME_PERIOD", "VALID_FROM", "ACTION").agg(
         F.count("*").alias("n"),
@@ -117,7 +129,9 @@ def archive_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(content)) as held:
                     for member in filter(wanted.fullmatch, held.namelist()):
                         lines = held.read(member).decode("utf-8-sig").splitlines()
-                        yield pd.DataFrame({"archive": archive, "member": member, "line_no": range(len(lines)), "line": lines})
+                        yield pd.DataFrame(
+                            {"archive": archive, "member": member, "line_no": range(len(lines)), "line": lines}
+                        )
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(unpack, "archive string, member string, line_no int, line string")
@@ -130,10 +144,15 @@ def wide_vintages(spark: SparkSession, path: str, key: str) -> DataFrame:
     per series. A vintage is usable from the first day of the next month.
     """
     lines = archive_members(spark, path, r"monthly_\d{6}\.csv").withColumn("cells", F.split("line", ","))
-    place = lines.where("line_no = 1").select("archive", "member", (F.array_position("cells", key) - 1).cast("int").alias("at"))
+    place = lines.where("line_no = 1").select(
+        "archive", "member", (F.array_position("cells", key) - 1).cast("int").alias("at")
+    )
     rows = lines.where("line_no >= 4").join(place, ["archive", "member"]).where("at > 0")
     vintage = F.to_date(F.regexp_extract("member", r"(\d{6})", 1), "yyyyMM")
-    parsed = F.coalesce(F.try_to_timestamp(F.initcap(F.col("cells")[0]), F.lit("MMM-yy")), F.try_to_timestamp(F.col("cells")[0], F.lit("yyyy-MM"))).cast("date")
+    parsed = F.coalesce(
+        F.try_to_timestamp(F.initcap(F.col("cells")[0]), F.lit("MMM-yy")),
+        F.try_to_timestamp(F.col("cells")[0], F.lit("yyyy-MM"))
+    ).cast("date")
     period = F.when(F.year(parsed) > 2068, F.add_months(parsed, -1200)).otherwise(parsed)
     typed = rows.select(
         vintage.alias("vintage"), period.alias("period"), tolerant_number(F.col("cells")[F.col("at")]).alias("value"), F.add_months(vintage, 1).alias("usable_day")

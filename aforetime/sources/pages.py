@@ -68,7 +68,9 @@ def release_dates(pages: DataFrame, title: str, *, key: str = "page_id", html: s
                 parser.feed(text or "")
                 for i, token in enumerate(parser.texts):
                     if (found := wanted.fullmatch(token)) and (
-                        day := next((t for t in reversed(parser.texts[max(0, i - LOOK_BACK) : i]) if _DATE.fullmatch(t)), None)
+                        day := next(
+                            (t for t in reversed(parser.texts[max(0, i - LOOK_BACK) : i]) if _DATE.fullmatch(t)), None
+                        )
                     ):
                         out.append((page, found[1], day))
             yield pd.DataFrame(out, columns=[key, "period_text", "day_text"])
@@ -94,7 +96,9 @@ def table_cells(pages: DataFrame, *, key: str = "page_id", html: str = "html") -
             yield pd.DataFrame(out, columns=[key, "table_no", "row_no", "cell_no", "text"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(read, f"{key} {kind}, table_no int, row_no int, cell_no int, text string")
+    return pages.select(key, html).mapInPandas(
+        read, f"{key} {kind}, table_no int, row_no int, cell_no int, text string"
+    )
 
 
 def effective_rates(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
@@ -106,7 +110,10 @@ def effective_rates(pages: DataFrame, *, key: str = "page_id", html: str = "html
     down = Window.partitionBy(key, "table_no").orderBy("row_no")
     year = F.last(F.when(F.col("0").rlike(r"^\d{4}$"), F.col("0")), ignorenulls=True).over(down)
     day = F.regexp_replace("1", r"\.", "")
-    effective = F.coalesce(F.try_to_timestamp(F.concat_ws(" ", day, year), F.lit("d MMM yyyy")), F.try_to_timestamp(F.concat_ws(" ", day, year), F.lit("d MMMM yyyy")))
+    effective = F.coalesce(
+        F.try_to_timestamp(F.concat_ws(" ", day, year), F.lit("d MMM yyyy")),
+        F.try_to_timestamp(F.concat_ws(" ", day, year), F.lit("d MMMM yyyy"))
+    )
     rate = F.translate("2", "−–", "--").try_cast("decimal(9,4)")
     typed = wide.select(key, effective.cast("date").alias("effective"), rate.alias("rate"))
     return typed.where(F.col("effective").isNotNull() & F.col("rate").isNotNull())

@@ -28,7 +28,9 @@ def _cells(content: bytes) -> Iterator[tuple[str, int, int, str]]:
         if "xl/sharedStrings.xml" in held.namelist():
             for entry in ElementTree.fromstring(held.read("xl/sharedStrings.xml")).iter(f"{_MAIN}si"):
                 shared.append("".join(t.text or "" for t in entry.iter(f"{_MAIN}t")))
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(held.read("xl/_rels/workbook.xml.rels"))}
+        targets = {
+            r.get("Id"): r.get("Target") for r in ElementTree.fromstring(held.read("xl/_rels/workbook.xml.rels"))
+        }
         for sheet in ElementTree.fromstring(held.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
             root = ElementTree.fromstring(held.read("xl/" + targets[sheet.get(f"{_REL}id")].removeprefix("/xl/")))
             for row in root.iter(f"{_MAIN}row"):
@@ -46,7 +48,9 @@ def workbook_cells(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([(file, *c) for c in _cells(content)], columns=["file", "sheet", "row_no", "column_no", "text"])
+                yield pd.DataFrame(
+                    [(file, *c) for c in _cells(content)], columns=["file", "sheet", "row_no", "column_no", "text"]
+                )
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(read, "file string, sheet string, row_no int, column_no int, text string")

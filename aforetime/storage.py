@@ -113,7 +113,9 @@ def neighbour(
     return seen.withColumn(name, F.when(same, F.col("_near.p"))).drop("_near", "_edge")
 
 
-def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: dict[str, str], label: str) -> DataFrame:
+def running_sums(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], columns: dict[str, str], label: str
+) -> DataFrame:
     """df with running sums (new name → column) by `order` within each group, however large a group is.
 
     Rows are sorted in blocks; a block's sums start from the totals of the
@@ -132,5 +134,7 @@ def running_sums(df: DataFrame, group: Sequence[str], order: Sequence[str], colu
     for g in group:
         same = same & F.col(f"_g_{g}").eqNullSafe(F.col(g))
     inside = Window.partitionBy(BLOCK, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = blocks.withColumns({f"_s_{n}": F.sum(c).over(inside) for n, c in columns.items()}).join(small_side(before), same)
+    summed = blocks.withColumns(
+        {f"_s_{n}": F.sum(c).over(inside) for n, c in columns.items()}
+    ).join(small_side(before), same)
     return summed.select(*df.columns, *[(F.col(f"_s_{n}") + F.col(f"_t_{n}")).alias(n) for n in columns])

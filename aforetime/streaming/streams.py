@@ -14,7 +14,9 @@ def unrepeated(versions: DataFrame, keys: list[str], at: str, lateness: str) ->
     return versions.withWatermark(at, lateness).dropDuplicatesWithinWatermark([*keys, at])
 
 
-def windowed_levels(readings: DataFrame, keys: list[str], at: str, value: str, *, window: str, lateness: str) -> DataFrame:
+def windowed_levels(
+    readings: DataFrame, keys: list[str], at: str, value: str, *, window: str, lateness: str
+) -> DataFrame:
     """Count, mean and last value per key and time window, with late data up to the lateness."""
     w = F.window(at, window)
     return readings.withWatermark(at, lateness).groupBy(*keys, w.alias("w")).agg(

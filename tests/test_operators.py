@@ -50,10 +50,23 @@ def test_history_with_a_hot_key(spark, seed):
     for i in range(600):
         key = "hot" if draw.random() < 0.5 else draw.choice(["a", "b", None])
         value = draw.choice([None, float("nan"), 1.0, 1.0 + 1e-14, 2.0, 3.0])
-        rows.append((i, key, value, at(draw.choice([None, *range(150)])), draw.choice(["Replace", " delete ", None, "", "REPLACE"]), "x"))
+        rows.append(
+            (
+                i, key, value, at(draw.choice([None, *range(150)])),
+                draw.choice(["Replace", " delete ", None, "", "REPLACE"]), "x"
+            )
+        )
     df = spark.createDataFrame(rows, VERSIONS)
     found = history.history(df, ["k"], checkpoint_every=4).collect()
-    got = sorted(((r["k"], r["valid_from"].astimezone(timezone.utc), r["valid_to"] and r["valid_to"].astimezone(timezone.utc)) for r in found), key=str)
+    got = sorted(
+        (
+            (
+                r["k"], r["valid_from"].astimezone(timezone.utc),
+                r["valid_to"] and r["valid_to"].astimezone(timezone.utc)
+            ) for r in found
+        ),
+        key=str
+    )
     assert got == brute_history(rows)
 
 
@@ -75,7 +88,9 @@ def test_known_attributes_against_brute_force(spark, seed):
          draw.choice([None, 1.0, 2.0, float("nan")]), at(draw.choice([None, *range(60)])))
         for i in range(500)
     ]
-    events = [(f"e{i}", draw.choice(["hot", "a", None, "none"]), at(draw.choice([None, *range(60)]))) for i in range(120)]
+    events = [
+        (f"e{i}", draw.choice(["hot", "a", None, "none"]), at(draw.choice([None, *range(60)]))) for i in range(120)
+    ]
     found = known.as_known(
         spark.createDataFrame(events, "event_id string, k string, cut timestamp"),
         spark.createDataFrame(changes, "row_id long, k string, period date, value double, seen timestamp"),
@@ -99,11 +114,16 @@ SNAPSHOT = "row_id long, snapshot_no int, k string, v string, extra int"
 def test_snapshot_changes_against_brute_force(spark):
     draw = random.Random(7)
     rows = [
-        (i, draw.choice([1, 2, 4, None]), draw.choice(["a", "b", "c", None, "ä", "z" * 3000]), draw.choice(["1", "1.0", " 1e0 ", "x", None, "", "NaN", "2"]), 0)
+        (
+            i, draw.choice([1, 2, 4, None]), draw.choice(["a", "b", "c", None, "ä", "z" * 3000]),
+            draw.choice(["1", "1.0", " 1e0 ", "x", None, "", "NaN", "2"]), 0
+        )
         for i in range(60)
     ]
     found = snapdiff.snapshot_changes(
-        spark.createDataFrame(rows, SNAPSHOT), "snapshot_no", {"k": F.col("k")}, F.when(F.col("v").rlike(r"^\s*[0-9.e]+\s*$"), F.trim("v").try_cast("double"))
+        spark.createDataFrame(rows, SNAPSHOT), "snapshot_no", {"k": F.col("k")}, F.when(
+            F.col("v").rlike(r"^\s*[0-9.e]+\s*$"), F.trim("v").try_cast("double")
+        )
     ).collect()
     held = {1: {}, 2: {}, 4: {}}
     for _, s, k, v, _ in rows:
@@ -123,23 +143,34 @@ def test_snapshot_changes_against_brute_force(spark):
             elif held[old][k] != held[new][k]:
                 wanted.add((new, k, "changed"))
     assert {(r["snapshot_no"], r["k"], r["change_kind"]) for r in found} == wanted
-    assert snapdiff.snapshot_changes(spark.createDataFrame([], SNAPSHOT), "snapshot_no", {"k": F.col("k")}, F.lit(1.0)).count() == 0
+    assert snapdiff.snapshot_changes(
+        spark.createDataFrame([], SNAPSHOT), "snapshot_no", {"k": F.col("k")}, F.lit(1.0)
+    ).count() == 0
 
 
 def test_profile_is_exact(spark):
     draw = random.Random(3)
-    rows = [(load, draw.choice(["a", "b", "", None, "c"]), str(draw.choice([1, 2, 3.5, -7, 1e3])) if draw.random() < 0.9 else None) for load in (1, 2, 5) for _ in range(200)]
+    rows = [
+        (
+            load, draw.choice(["a", "b", "", None, "c"]),
+            str(draw.choice([1, 2, 3.5, -7, 1e3])) if draw.random() < 0.9 else None
+        ) for load in (1, 2, 5) for _ in range(200)
+    ]
     df = spark.createDataFrame(rows, "load int, t string, n string")
     got = {(r["load"], r["column_name"]): r for r in profile.column_profile(df, "load", ["t", "n"], ["n"]).collect()}
     for load, before in ((2, 1), (5, 2)):
         new, old = (np.sort([float(r[2]) for r in rows if r[0] == x and r[2] is not None]) for x in (load, before))
         grid_ = np.unique(np.concatenate([new, old]))
-        distance = np.abs(np.searchsorted(new, grid_, "right") / len(new) - np.searchsorted(old, grid_, "right") / len(old)).max()
+        distance = np.abs(
+            np.searchsorted(new, grid_, "right") / len(new) - np.searchsorted(old, grid_, "right") / len(old)
+        ).max()
         row = got[(load, "n#number")]
         assert row["ks_distance"] == pytest.approx(distance)
         assert row["q75"] == new[int(np.ceil(0.75 * len(new))) - 1]
         share = lambda x, v: sum(r[1] == v for r in rows if r[0] == x) / sum(bool(r[1]) for r in rows if r[0] == x)
-        assert got[(load, "t")]["value_share_change"] == pytest.approx(max(abs(share(load, v) - share(before, v)) for v in "abc"))
+        assert got[(load, "t")]["value_share_change"] == pytest.approx(
+            max(abs(share(load, v) - share(before, v)) for v in "abc")
+        )
     assert got[(1, "t")]["ks_distance"] is None
     assert profile.column_profile(df.where("false"), "load", ["t", "n"], ["n"]).count() == 0
 
@@ -220,15 +251,26 @@ def test_spikes_ranges_and_stuck_runs(spark):
     value[80:90] = value[80]
     value[100:] += 3  # a lasting change of level
     value[30] = 5000.0
-    rows = [(i, "s", f"{2000 + i // 12}-{i % 12 + 1:02d}", T0 + timedelta(days=30 * i), float(v)) for i, v in enumerate(value)]
-    rows += [(500, "s", "2003-05", T0, 9.0), (501, "s", "2003-05", T0, None), (502, None, "2001-01", T0, 1.0), (503, "s", "?", T0, float("nan"))]
+    rows = [
+        (i, "s", f"{2000 + i // 12}-{i % 12 + 1:02d}", T0 + timedelta(days=30 * i), float(v)) for i,
+        v in enumerate(value)
+    ]
+    rows += [
+        (500, "s", "2003-05", T0, 9.0), (501, "s", "2003-05", T0, None), (502, None, "2001-01", T0, 1.0),
+        (503, "s", "?", T0, float("nan"))
+    ]
     df = spark.createDataFrame(rows, "row_id long, s string, m string, t timestamp, v double")
     registry = spark.createDataFrame([("S", None, 100.0)], "series_id string, min_possible double, max_possible double")
     from aforetime.functions.months import month_index
 
-    found = spikes.implausible(df, ["s"], period=month_index(F.col("m")), value="v", order="t", series="s", registry=registry)
+    found = spikes.implausible(
+        df, ["s"], period=month_index(F.col("m")), value="v", order="t", series="s", registry=registry
+    )
     got = {(r["row_id"], r["kind"]) for r in found.collect()}
-    assert got == {(30, "range"), (503, "range"), (40, "spike"), (500, "spike"), (60, "spike"), (61, "spike"), *((i, "stuck") for i in range(80, 90))}
+    assert got == {
+        (30, "range"), (503, "range"), (40, "spike"), (500, "spike"), (60, "spike"), (61, "spike"),
+        *((i, "stuck") for i in range(80, 90))
+    }
 
 
 def test_hot_source_is_judged_in_stretches(spark, monkeypatch):
@@ -246,13 +288,19 @@ def test_hot_source_is_judged_in_stretches(spark, monkeypatch):
 
 
 def test_month_spellings(spark):
-    texts = ["2004-03", "2004-3", "200403", "2004/03", "2004-03-31", "Mar-2004", "März 2004", "month-2004-03", "03-2004", " 2004-03 "]
+    texts = [
+        "2004-03", "2004-3", "200403", "2004/03", "2004-03-31", "Mar-2004", "März 2004", "month-2004-03", "03-2004",
+        " 2004-03 "
+    ]
     df = spark.createDataFrame([(t,) for t in [*texts, "2004-13", "x", "", None]], "t string")
     assert [r[0] for r in df.select(clean_month(F.col("t"))).collect()] == ["2004-03"] * len(texts) + [None] * 4
 
 
 def test_equality_is_no_knowledge(spark):
-    versions = spark.createDataFrame([(1, "a", 1.0, at(1), False), (2, "a", 2.0, at(5), False), (3, "a", None, at(9), True)], "row_id long, k string, v double, t timestamp, d boolean")
+    versions = spark.createDataFrame(
+        [(1, "a", 1.0, at(1), False), (2, "a", 2.0, at(5), False), (3, "a", None, at(9), True)],
+        "row_id long, k string, v double, t timestamp, d boolean"
+    )
     spans = asof.validity_intervals(versions, ["k"], at="t", tie="row_id", deleted=F.col("d"))
     decisions = spark.createDataFrame([("a", at(h)) for h in (1, 2, 5, 6, 9, 10)], "k string, cut timestamp")
     found = {(r["cut"].astimezone(timezone.utc), r["v"]) for r in asof.as_of(decisions, spans, ["k"], "cut").collect()}
@@ -265,7 +313,9 @@ def test_later_versions_change_nothing_earlier(spark):
     decisions = spark.createDataFrame([("a", at(h)) for h in range(5)], "k string, cut timestamp")
 
     def run(rows):
-        spans = asof.validity_intervals(spark.createDataFrame(rows, schema), ["k"], at="t", tie="row_id", deleted=F.col("d"))
+        spans = asof.validity_intervals(
+            spark.createDataFrame(rows, schema), ["k"], at="t", tie="row_id", deleted=F.col("d")
+        )
         return sorted((r["cut"], r["v"]) for r in asof.as_of(decisions, spans, ["k"], "cut").collect())
 
     assert run(base) == run([*base[:7], *((i, "a", -1.0, at(h), True) for i, h in ((90, 6), (91, 8)))])
@@ -287,7 +337,9 @@ def test_episodes_match_a_state_machine(spark, seed):
                 start = None
         if start is not None:
             wanted.append((g, number + 1, start, len(line) - 1, sum(line[start:]), True))
-    df = spark.createDataFrame([(g, i, b) for g, line in flags.items() for i, b in enumerate(line)], "g string, i int, b boolean")
+    df = spark.createDataFrame(
+        [(g, i, b) for g, line in flags.items() for i, b in enumerate(line)], "g string, i int, b boolean"
+    )
     found = [tuple(r) for r in rolling.breach_episodes(df, ["g"], "i", "b").collect()]
     assert sorted(found) == sorted(wanted)
 
@@ -307,7 +359,11 @@ def test_exact_split_against_enumeration():
     rng = np.random.default_rng(3)
     for _ in range(20):
         x = np.sort(rng.normal(size=9))
-        best = min(sum(((p - p.mean()) ** 2).sum() for p in (x[:i], x[i:j], x[j:])) for i in range(1, 8) for j in range(i + 1, 9))
+        best = min(
+            sum(
+                ((p - p.mean()) ** 2).sum() for p in (x[:i], x[i:j], x[j:])
+            ) for i in range(1, 8) for j in range(i + 1, 9)
+        )
         assert kernels.best_split_1d(x, 3)[0] == pytest.approx(best)
 
 
@@ -345,5 +401,7 @@ def test_running_sums_and_ranks_over_blocks(spark):
     for r in running_sums(counted, ["g"], ["x"], {"upto": "n"}, "test").collect():
         assert r["upto"] == sum(g == r["g"] and x <= r["x"] for g, x in rows)
     for r in statistics.average_ranks(df, ["g"], "x", "rank").distinct().collect():
-        below, equal = (sum(g == r["g"] and f(x) for g, x in rows) for f in (lambda x: x < r["x"], lambda x: x == r["x"]))
+        below, equal = (
+            sum(g == r["g"] and f(x) for g, x in rows) for f in (lambda x: x < r["x"], lambda x: x == r["x"])
+        )
         assert r["rank"] == below + (equal + 1) / 2
