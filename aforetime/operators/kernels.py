@@ -204,3 +204,111 @@ def block_means(
     )
     types = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys)
     return plan.mapInPandas(run, f"{types}, replicate int, mean double, p90 double")
+
+
+def factor_filter(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """One common factor of a ragged matrix: filtered mean, variance and persistence.
+
+    The loading is the first component (largest entry positive), the factor an
+    autoregression of order one; each month updates it with the columns seen.
+    """
+    full, error = ragged_components(matrix, 1)
+    _, _, v = np.linalg.svd(full, full_matrices=False)
+    loading = v[0] * np.sign(v[0][np.abs(v[0]).argmax()])
+    score = full @ loading
+    phi = float(np.clip(score[1:] @ score[:-1] / max(score[:-1] @ score[:-1], 1e-12), -0.98, 0.98))
+    shock = max(float(np.mean((score[1:] - phi * score[:-1]) ** 2)), 1e-6)
+    noise = max(error, 1e-6)
+    seen = ~np.isnan(matrix)
+    mean, variance = 0.0, shock / (1 - phi**2)
+    means, variances = np.empty(len(matrix)), np.empty(len(matrix))
+    for t in range(len(matrix)):
+        if t:
+            mean, variance = phi * mean, phi**2 * variance + shock
+        w = loading[seen[t]]
+        precision = 1 / variance + w @ w / noise
+        mean = (mean / variance + w @ full[t, seen[t]] / noise) / precision
+        variance = 1 / precision
+        means[t], variances[t] = mean, variance
+    return means, variances, phi
+
+
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull, counter-clockwise; points on edges are left out."""
+    ordered = np.unique(points, axis=0)
+    if len(ordered) < 3:
+        return ordered
+
+    def half(line: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for p in line:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
+                out.pop()
+            out.append(p)
+        return out
+
+    return np.array([*half(ordered)[:-1], *half(ordered[::-1])[:-1]])
+
+
+def hull_corners(rows: DataFrame, key: str, x: str, y: str) -> DataFrame:
+    """(key, corners as array of x and y) per group: hulls of batches first, then one hull of their corners."""
+
+    def corners(frame: pd.DataFrame) -> np.ndarray:
+        return hull(frame[[x, y]].to_numpy(dtype=float))
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for group, part in batch.groupby(key, dropna=False):
+                found = corners(part)
+                yield pd.DataFrame({key: group, x: found[:, 0], y: found[:, 1]})
+
+    def final(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [part[key].iat[0]], "corners": [corners(part).tolist()]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    some = rows.select(key, x, y).dropna().mapInPandas(partial, f"{key} {kind}, {x} double, {y} double")
+    return some.groupBy(key).applyInPandas(final, f"{key} {kind}, corners array<array<double>>")
+
+
+def inside_hull(corners: str, x: str, y: str, tolerance: float = 1e-12):
+    """Whether a point lies in a convex polygon given counter-clockwise."""
+    after = F.concat(F.slice(corners, 2, F.size(corners)), F.slice(corners, 1, 1))
+    turn = F.zip_with(
+        corners, after, lambda a, b: (b[0] - a[0]) * (F.col(y) - a[1]) - (b[1] - a[1]) * (F.col(x) - a[0])
+    )
+    return F.array_min(turn) >= -tolerance
+
+
+def spline_basis(at: np.ndarray, inner: np.ndarray, low: float, high: float, degree: int = 3) -> np.ndarray:
+    """B-spline basis by the Cox–de Boor recursion; the right end is closed."""
+    knots = np.concatenate([np.full(degree + 1, low), inner, np.full(degree + 1, high)])
+    at = np.minimum(at, np.nextafter(high, low))
+    basis = ((knots[:-1] <= at[:, None]) & (at[:, None] < knots[1:])).astype(float)
+    for d in range(1, degree + 1):
+        left, right = knots[d:-1] - knots[: -d - 1], knots[d + 1 :] - knots[1:-d]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            a = np.where(left > 0, (at[:, None] - knots[: -d - 1]) / left, 0)
+            b = np.where(right > 0, (knots[d + 1 :] - at[:, None]) / right, 0)
+        basis = a * basis[:, :-1] + b * basis[:, 1:]
+    return basis
+
+
+def penalty_by_forward_folds(at: np.ndarray, value: np.ndarray, penalties: Sequence[float], folds: int = 4) -> tuple[float, float]:
+    """(penalty, mean squared error) of a cubic curve whose roughness penalty predicts the next stretch best.
+
+    Each fold is fitted on everything before it; ties go to the earlier penalty.
+    """
+    low, high = float(at.min()), float(at.max())
+    basis = spline_basis(at, np.quantile(at, np.linspace(0, 1, 6)[1:-1]), low, high)
+    rough = np.diff(np.eye(basis.shape[1]), 2, axis=0)
+    cuts = np.linspace(0, len(at), folds + 2).astype(int)[1:]
+    losses = []
+    for penalty in penalties:
+        errors = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            left = basis[:a].T @ basis[:a] + penalty * rough.T @ rough + 1e-9 * np.eye(basis.shape[1])
+            fitted = np.linalg.solve(left, basis[:a].T @ value[:a])
+            errors.append((basis[a:b] @ fitted - value[a:b]) ** 2)
+        losses.append(float(np.concatenate(errors).mean()))
+    best = int(np.argmin(losses))
+    return float(penalties[best]), losses[best]

@@ -236,3 +236,55 @@ def token_entropy(spark: SparkSession, folder: str) -> DataFrame:
             -F.sum(F.col("n") * F.log2(F.col("n") / F.length("token"))) / F.max(F.length("token")), 6
         ).alias("entropy")
     )
+
+
+def _matrix(rows: pd.DataFrame) -> tuple[np.ndarray, list]:
+    """Month × series matrix of the series with two years of readings, and its months."""
+    wide = rows.pivot(index="month", columns="series_id", values="value")
+    wide = wide.loc[:, wide.notna().sum() >= 24]
+    return wide.to_numpy(dtype=float), wide.index.tolist()
+
+
+@R.query()
+def dynamic_factor(spark: SparkSession, folder: str) -> DataFrame:
+    """The filtered common factor of every panel with its deviation."""
+
+    def fit(rows: pd.DataFrame) -> list[tuple]:
+        matrix, months = _matrix(rows)
+        if matrix.shape[1] < 3 or len(matrix) < 36:
+            return []
+        means, variances, phi = kernels.factor_filter(matrix)
+        return list(zip(months, means.tolist(), np.sqrt(variances).tolist(), [phi] * len(months), strict=True))
+
+    fields = "month date, factor double, factor_sd double, phi double"
+    return kernels.per_group(_observed(spark, folder), ["panel_id"], ["month", "series_id"], fit, fields)
+
+
+@R.query()
+def joint_support_hull(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines inside the convex hull of the small lines of their flag, in price and quantity per discount."""
+    rows = table(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("state"), F.col("l_extendedprice").alias("x"), F.col("l_quantity").alias("y"), "l_tax"
+    )
+    corners = kernels.hull_corners(rows.where("l_tax <= 0.02"), "state", "x", "y")
+    inside = kernels.inside_hull("corners", "x", "y")
+    return rows.join(corners, "state").groupBy("state").agg(
+        F.count("*").alias("n"), F.count(F.when(inside, 1)).alias("n_supported"), F.max(F.size("corners")).alias("n_corners")
+    )
+
+
+@R.query()
+def spline_penalty_cv(spark: SparkSession, folder: str) -> DataFrame:
+    """The roughness penalty that predicts each source's next stretch best."""
+
+    def fit(rows: pd.DataFrame) -> list[tuple]:
+        x = rows["value"].to_numpy(dtype=float)
+        if len(x) < 48:
+            return [(TOO_FEW, None, None)]
+        if np.ptp(x) == 0:
+            return [(FLAT, None, None)]
+        at = np.array([m.year * 12 + m.month for m in rows["month"]], dtype=float)
+        z = (x - np.median(x)) / x.std()
+        return [(OK, *kernels.penalty_by_forward_folds((at - at[0]) / 12, z, (0.01, 0.1, 1.0, 10.0, 100.0)))]
+
+    return kernels.per_group(_observed(spark, folder), SOURCE, ["month"], fit, "status string, penalty double, loss double")

@@ -405,3 +405,34 @@ def test_running_sums_and_ranks_over_blocks(spark):
             sum(g == r["g"] and f(x) for g, x in rows) for f in (lambda x: x < r["x"], lambda x: x == r["x"])
         )
         assert r["rank"] == below + (equal + 1) / 2
+
+
+def test_hull_membership_over_partitions(spark):
+    rng = np.random.default_rng(11)
+    points = rng.normal(size=(3000, 2))
+    df = spark.createDataFrame([("a", float(x), float(y)) for x, y in points], "g string, x double, y double").repartition(7)
+    corners = kernels.hull_corners(df, "g", "x", "y")
+    assert np.allclose(sorted(corners.first()["corners"]), sorted(kernels.hull(points).tolist()))
+    joined = df.join(corners, "g")
+    assert joined.where(kernels.inside_hull("corners", "x", "y")).count() == 3000
+    assert joined.withColumn("x", F.col("x") + 10).where(kernels.inside_hull("corners", "x", "y")).count() == 0
+
+
+def test_spline_basis_and_folds():
+    at = np.linspace(0, 2, 60)
+    basis = kernels.spline_basis(at, np.array([0.5, 1.0, 1.5]), 0.0, 2.0)
+    assert basis.shape == (60, 7) and np.allclose(basis.sum(1), 1)
+    cubic = at**3 - at
+    assert np.allclose(basis @ np.linalg.lstsq(basis, cubic, rcond=None)[0], cubic)
+    assert kernels.penalty_by_forward_folds(at, np.sin(at), (0.1, 1.0))[1] < 1
+
+
+def test_factor_filter_follows_the_factor():
+    rng = np.random.default_rng(12)
+    factor = np.zeros(200)
+    for t in range(1, 200):
+        factor[t] = 0.8 * factor[t - 1] + rng.normal()
+    matrix = factor[:, None] * np.array([1.0, 0.8, 1.2, 0.9]) + 0.3 * rng.normal(size=(200, 4))
+    matrix[rng.random(matrix.shape) < 0.2] = np.nan
+    means, variances, phi = kernels.factor_filter(matrix)
+    assert abs(np.corrcoef(means, factor)[0, 1]) > 0.95 and 0.6 < phi < 0.95 and (variances > 0).all()
