@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from aforetime.groups import whole_groups
 
 OK, TOO_FEW, FLAT = "ok", "too_few", "flat"
+#: Bootstrap replicates drawn at once.
+DRAWS = 50
 
 
 def per_group(
@@ -178,29 +180,39 @@ def change_points(value: np.ndarray, limit: float = 4.0, least: int = 12) -> np.
 def block_means(
     values: DataFrame, keys: Sequence[str], array: str, *, replicates: int, block: int, seed: int
 ) -> DataFrame:
-    """(keys, replicate, mean, p90) of circular moving-block resamples; replicates are rows, so they spread over tasks.
+    """(keys, replicate, mean, p90) of circular moving-block resamples.
 
-    `array` holds a group's values in order. A replicate's seed depends only on
-    its number and the group's key.
+    `array` holds a group's values in order. Chunks of DRAWS replicates are
+    rows, so that they spread over tasks; a chunk's seed depends only on its
+    number and the group's key.
     """
     keys = list(keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            means, tops = [], []
-            for x, number, mix in zip(batch["_x"], batch["replicate"], batch["_mix"], strict=True):
+            parts = []
+            for row, x in enumerate(batch["_x"]):
                 x = np.asarray(x, dtype=float)
-                draw = np.random.default_rng([seed, int(number), int(mix) & 0x7FFFFFFF])
-                starts = draw.integers(0, len(x), -(-len(x) // block))
-                picked = x[(starts[:, None] + np.arange(block)).ravel()[: len(x)] % len(x)]
-                means.append(picked.mean())
-                tops.append(np.quantile(picked, 0.9))
-            yield batch[[*keys, "replicate"]].assign(mean=means, p90=tops)
-
+                first = int(batch["_chunk"].iat[row]) * DRAWS
+                draws = min(DRAWS, replicates - first)
+                source = np.random.default_rng([seed, first, int(batch["_mix"].iat[row]) & 0x7FFFFFFF])
+                starts = source.integers(0, len(x), (draws, -(-len(x) // block)))
+                places = (starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, : len(x)] % len(x)
+                picked = x[places]
+                part = pd.DataFrame({k: [batch[k].iat[row]] * draws for k in keys})
+                parts.append(
+                    part.assign(
+                        replicate=np.arange(first, first + draws, dtype=np.int32),
+                        mean=picked.mean(1),
+                        p90=np.quantile(picked, 0.9, axis=1),
+                    )
+                )
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
+
+    chunks = F.sequence(F.lit(0), F.lit((replicates - 1) // DRAWS))
     plan = values.where(F.size(array) > 0).select(
-        *keys, F.col(array).alias("_x"), F.xxhash64(*keys).alias("_mix"), F.explode(
-            F.sequence(F.lit(0), F.lit(replicates - 1))
-        ).alias("replicate")
+        *keys, F.col(array).alias("_x"), F.xxhash64(*keys).alias("_mix"), F.explode(chunks).alias("_chunk")
     )
     types = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys)
     return plan.mapInPandas(run, f"{types}, replicate int, mean double, p90 double")

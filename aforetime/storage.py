@@ -72,6 +72,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files would occupy less than half of them (few files, costly rows)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
 def ordered_blocks(df: DataFrame, order: Sequence[str | Column], label: str, parts: int | None = None) -> DataFrame:
     """Range-partition df by `order` and write it with its block number in `_blk`.
 

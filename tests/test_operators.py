@@ -436,3 +436,14 @@ def test_factor_filter_follows_the_factor():
     matrix[rng.random(matrix.shape) < 0.2] = np.nan
     means, variances, phi = kernels.factor_filter(matrix)
     assert abs(np.corrcoef(means, factor)[0, 1]) > 0.95 and 0.6 < phi < 0.95 and (variances > 0).all()
+
+
+def test_block_bootstrap_is_repeatable_and_whole(spark):
+    df = spark.createDataFrame([("a", [1.0] * 30), ("b", [float(i) for i in range(40)]), ("c", [])], "k string, x array<double>")
+    run = lambda n: sorted(tuple(r) for r in kernels.block_means(df.repartition(n), ["k"], "x", replicates=120, block=5, seed=1).collect())
+    found = run(1)
+    assert found == run(3)
+    assert [r[1] for r in found if r[0] == "a"] == list(range(120)) and len(found) == 240
+    assert {r[2] for r in found if r[0] == "a"} == {1.0}
+    means = [r[2] for r in found if r[0] == "b"]
+    assert abs(np.mean(means) - 19.5) < 2 and np.std(means) > 1
