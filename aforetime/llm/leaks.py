@@ -31,13 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aforetime.llm.text import plain, words
-from aforetime.storage import written
+from aforetime.storage import shuffle_parts, written
 
 NGRAM = 4
 ITEM_BLOCK = 5_000
 #: An n-gram is rare if it occurs in at most this share of the documents, or less often than its item's median n-gram.
 RARE_SHARE = 0.002
 MATCH, MISMATCH, GAP = 2, -2, -1
+#: Alignments computed at once: at most so many pairs, and matrix cells.
+PAIRS_AT_ONCE = 64
+CELLS_AT_ONCE = 4_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -78,34 +81,49 @@ class Items:
 
 
 def align(document: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, float]:
-    """Smith–Waterman: positions of the item that match in the best local alignment, and its score.
+    """Positions of the item that match in the best local alignment with a document, and its score."""
+    return align_many([(document, item)])[0]
 
-    A row of the matrix is computed at once; gaps along the row are a running
-    maximum.
+
+def align_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, float]]:
+    """Smith–Waterman alignments of (document, item) pairs, a row of all their matrices at a time.
+
+    Gaps along a row are a running maximum. Shorter sequences are padded with
+    words that match nothing.
     """
-    n, m = len(document), len(item)
-    score = np.zeros((n + 1, m + 1), dtype=np.int32)
+    n, m = max(len(d) for d, _ in pairs), max(len(i) for _, i in pairs)
+    documents, items = np.full((n, len(pairs)), -1, dtype=np.int64), np.full((len(pairs), m), -2, dtype=np.int64)
+    for k, (document, item) in enumerate(pairs):
+        documents[: len(document), k], items[k, : len(item)] = document, item
+    score = np.zeros((n + 1, len(pairs), m + 1), dtype=np.int32)
     ramp = -GAP * np.arange(m + 1, dtype=np.int32)
     for i in range(1, n + 1):
-        above = score[i - 1]
-        row = np.zeros(m + 1, dtype=np.int32)
-        np.maximum(above[:-1] + np.where(item == document[i - 1], MATCH, MISMATCH), above[1:] + GAP, out=row[1:])
+        above, row = score[i - 1], score[i]
+        step = np.where(items == documents[i - 1][:, None], np.int32(MATCH), np.int32(MISMATCH))
+        np.maximum(above[:, :-1] + step, above[:, 1:] + GAP, out=row[:, 1:])
         np.maximum(row, 0, out=row)
-        score[i] = np.maximum.accumulate(row + ramp) - ramp
-    i, j = np.unravel_index(int(score.argmax()), score.shape)
-    best = int(score[i, j])
-    matched: list[int] = []
-    while i and j and score[i, j] > 0:
-        same = document[i - 1] == item[j - 1]
-        if score[i, j] == score[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            if same:
-                matched.append(j - 1)
-            i, j = i - 1, j - 1
-        elif score[i, j] == score[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return np.array(matched[::-1], dtype=np.int64), best
+        row += ramp
+        np.maximum.accumulate(row, axis=1, out=row)
+        row -= ramp
+    out = []
+    for k, (document, item) in enumerate(pairs):
+        own = score[:, k, :]
+        i, j = map(int, np.unravel_index(int(own.argmax()), own.shape))
+        best = int(own[i, j])
+        words_of, wanted = document.tolist(), item.tolist()
+        matched: list[int] = []
+        while i and j and own[i, j] > 0:
+            same = words_of[i - 1] == wanted[j - 1]
+            if own[i, j] == own[i - 1, j - 1] + (MATCH if same else MISMATCH):
+                if same:
+                    matched.append(j - 1)
+                i, j = i - 1, j - 1
+            elif own[i, j] == own[i - 1, j] + GAP:
+                i -= 1
+            else:
+                j -= 1
+        out.append((np.array(matched[::-1], dtype=np.int64), best))
+    return out
 
 
 def _regions(at: np.ndarray, length: int, end: int) -> list[tuple[int, int]]:
@@ -148,22 +166,37 @@ def _hits(items: Items):
 
 
 def _score(items: Items):
+    def finish(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> dict[int, tuple[int, np.ndarray]]:
+        """Best alignment of each row number in (row, item, stretch, item's words)."""
+        best: dict[int, tuple[int, np.ndarray]] = {}
+        for (row, _, _, _), (matched, score) in zip(held, align_many([(d, i) for _, _, d, i in held]), strict=True):
+            if score > best.get(row, (0, None))[0]:
+                best[row] = (score, matched)
+        return best
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for key, item, places, sequence in zip(batch["doc"], batch["item"], batch["places"], batch["sequence"], strict=True):
+            stretches = []
+            for row, (item, places, sequence) in enumerate(zip(batch["item"], batch["places"], batch["sequence"], strict=True)):
                 wanted = items.sequences[item]
-                best: tuple[int, np.ndarray] = (0, np.empty(0, np.int64))
                 for low, high in _regions(np.asarray(places), len(wanted), len(sequence)):
-                    matched, score = align(np.asarray(sequence[low:high], dtype=np.int64), wanted)
-                    best = max(best, (score, matched), key=lambda b: b[0])
-                score, matched = best
-                if len(matched):
-                    span = int(matched[-1] - matched[0] + 1)
-                    lines = items.lines[item][matched]
-                    sizes, whole = np.unique(lines, return_counts=True)[1], np.bincount(items.lines[item])
-                    full = int((sizes >= 0.5 * whole[np.unique(lines)]).sum())
-                    rows.append((key, item, score, len(matched), span, full, int(items.lines[item].max() + 1)))
+                    stretches.append((row, item, np.asarray(sequence[low:high], dtype=np.int64), wanted))
+            stretches.sort(key=lambda x: (len(x[2]), len(x[3])))
+            best: dict[int, tuple[int, np.ndarray]] = {}
+            while stretches:
+                cells = len(stretches[-1][2]) * max(len(x[3]) for x in stretches[-PAIRS_AT_ONCE:])
+                take = max(1, min(PAIRS_AT_ONCE, CELLS_AT_ONCE // max(1, cells)))
+                for row, found in finish(stretches[-take:]).items():
+                    best[row] = max(best.get(row, found), found, key=lambda b: b[0])
+                del stretches[-take:]
+            rows = []
+            for row, (score, matched) in sorted(best.items()):
+                item = batch["item"].iat[row]
+                line_of = items.lines[item]
+                touched, sizes = np.unique(line_of[matched], return_counts=True)
+                full = int((sizes >= 0.5 * np.bincount(line_of)[touched]).sum())
+                span = int(matched[-1] - matched[0] + 1)
+                rows.append((batch["doc"].iat[row], item, score, len(matched), span, full, int(line_of.max() + 1)))
             yield pd.DataFrame(rows, columns=["doc", "item", "score", "matched", "span", "lines", "item_lines"])
 
     return run
@@ -209,6 +242,8 @@ def leak_scores(documents: DataFrame, items: DataFrame, *, key: str = "doc_id",
             pairs.join(seeds.select("gram", "item"), "gram").groupBy("doc", "item").agg(F.collect_list("place").alias("places"))
         )
         joined = candidates.join(touched.select("doc", "sequence"), "doc").select("doc", "item", "places", "sequence")
+        # an alignment costs far more than its bytes suggest, so the pairs are spread by number
+        joined = joined.repartition(2 * max(shuffle_parts(spark), spark.sparkContext.defaultParallelism))
         parts.append(
             joined.mapInPandas(
                 _score(held), f"doc {kind}, item bigint, score int, matched int, span int, lines int, item_lines int"
