@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from aforetime.llm import abuse, bpe, leaks
 from aforetime.sources.tables import table
+from aforetime.storage import spread
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,14 +17,19 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Document texts, over all cores."""
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source"))
+
+
 def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.encode_corpus(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return bpe.encode_corpus(documents(spark, folder), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
     """Alignment scores of the documents and items that share a rare n-gram."""
-    return leaks.leak_scores(table(spark, folder, "documents"), table(spark, folder, "eval_item"))
+    return leaks.leak_scores(documents(spark, folder), table(spark, folder, "eval_item"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,9 +39,9 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, folder: str) -> DataFrame:
     """A score for abusive, hateful or sexual content of every document."""
-    documents = table(spark, folder, "documents")
-    model = abuse.fit_reviewed(documents, table(spark, folder, "review_label"))
-    return abuse.score(documents, model, keep=("source",))
+    texts = documents(spark, folder)
+    model = abuse.fit_reviewed(texts, table(spark, folder, "review_label"))
+    return abuse.score(texts, model, keep=("source",))
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
