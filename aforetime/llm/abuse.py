@@ -253,7 +253,9 @@ def fit_reviewed(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id"
     return fit([r["segments"] for r in rows if r["toxic"]], [r["segments"] for r in rows if not r["toxic"]])
 
 
-def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def score(
+    documents: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
     """(key, kept columns, score) of every document; the score is the chance that its worst segment is toxic."""
     shipped = documents.sparkSession.sparkContext.broadcast(model)  # at most a few words and pairs per fitted segment
 
@@ -270,7 +272,9 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
             return logit
 
         for batch in batches:
-            logits = np.array([max(map(worst, cut(t)), default=-np.inf) if t else -np.inf for t in batch.column(1).to_pylist()])
+            logits = np.array(
+                [max(map(worst, cut(t)), default=-np.inf) if t else -np.inf for t in batch.column(1).to_pylist()]
+            )
             scores = pa.array(1 / (1 + np.exp(-np.clip(logits, -700, 700))) * (logits > -np.inf))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *batch.columns[2:], scores], names=[key, *keep, "score"]

@@ -177,7 +177,9 @@ def _score(items: Items):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             stretches = []
-            for row, (item, places, sequence) in enumerate(zip(batch["item"], batch["places"], batch["sequence"], strict=True)):
+            for row, (item, places, sequence) in enumerate(
+                zip(batch["item"], batch["places"], batch["sequence"], strict=True)
+            ):
                 wanted = items.sequences[item]
                 for low, high in _regions(np.asarray(places), len(wanted), len(sequence)):
                     stretches.append((row, item, np.asarray(sequence[low:high], dtype=np.int64), wanted))
@@ -202,7 +204,10 @@ def _score(items: Items):
     return run
 
 
-def leak_scores(documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def leak_scores(
+    documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
+    item_text: str = "text"
+) -> DataFrame:
     """(key, item key, score, matched, span, lines, item_lines) of every pair that shares a rare n-gram."""
     spark = documents.sparkSession
     clean = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(
@@ -228,7 +233,9 @@ def leak_scores(documents: DataFrame, items: DataFrame, *, key: str = "doc_id",
         )
         owners = spark.createDataFrame(
             pd.DataFrame(
-                [(int(g), int(i)) for i, s in held.sequences.items() for g in np.unique(grams(s))], columns=["gram", "item"]
+                [
+                    (int(g), int(i)) for i, s in held.sequences.items() for g in np.unique(grams(s))
+                ], columns=["gram", "item"]
             ),
             "gram bigint, item bigint",
         )

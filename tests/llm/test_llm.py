@@ -26,7 +26,9 @@ def reference(ranks):
     tiktoken = pytest.importorskip("tiktoken")
     import public_tokenizers
 
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+    ).encode_ordinary
 
 
 ODD = [
@@ -45,7 +47,9 @@ def test_ids_equal_the_library_on_odd_and_random_texts(ranks, reference):
 
 def test_ids_of_a_table_round_trip(spark, ranks):
     rows = [(i, t, "s", "clash") for i, t in enumerate(ODD)] + [(1, "same id", "s", None)]
-    found = bpe.encode_corpus(spark.createDataFrame(rows, DOCUMENTS), queries.tokenizer_path("byte_bpe_50k.tiktoken")).collect()
+    found = bpe.encode_corpus(
+        spark.createDataFrame(rows, DOCUMENTS), queries.tokenizer_path("byte_bpe_50k.tiktoken")
+    ).collect()
     token = {rank: piece for piece, rank in ranks.items()}
     got = sorted((r["doc_id"], b"".join(token[i] for i in r["ids"]).decode()) for r in found)
     assert got == sorted((i, t or "") for i, t, _, _ in rows)
@@ -60,7 +64,10 @@ def test_a_cleared_cache_changes_nothing(ranks, monkeypatch, reference):
 
 def test_words_see_through_wrapping():
     wanted = ["the", "red", "fox", "said", "hi"]
-    for text in ("The *red* fox\\nsaid \\\"hi\\\"", "<p>the <b>red</b> fox said&nbsp;hi</p>", "# The RED\n# fox, said: 'hi'", "\\u0074he red​ fox said hi"):
+    for text in (
+        "The *red* fox\\nsaid \\\"hi\\\"", "<p>the <b>red</b> fox said&nbsp;hi</p>", "# The RED\n# fox, said: 'hi'",
+        "\\u0074he red​ fox said hi"
+    ):
         assert words(plain(text)) == wanted
     assert plain("a\\ud83d\\ude00b \ud800") == "a\U0001f600b �"
 
@@ -73,7 +80,9 @@ def test_alignment_score_matches_full_recursion():
         for i in range(1, len(a) + 1):
             for j in range(1, len(b) + 1):
                 same = leaks.MATCH if a[i - 1] == b[j - 1] else leaks.MISMATCH
-                table[i, j] = max(0, table[i - 1, j - 1] + same, table[i - 1, j] + leaks.GAP, table[i, j - 1] + leaks.GAP)
+                table[i, j] = max(
+                    0, table[i - 1, j - 1] + same, table[i - 1, j] + leaks.GAP, table[i, j - 1] + leaks.GAP
+                )
         matched, score = leaks.align(np.array(a), np.array(b))
         assert score == table.max() and all(x < y for x, y in zip(matched, matched[1:], strict=False))
 
@@ -90,7 +99,10 @@ def test_leaks_of_edited_wrapped_and_split_passages(spark):
     documents = [
         (1, f"{noise(50)} {items[0][1].upper()} {noise(20)}"),
         (2, noise(30) + " " + ", ".join(edited) + noise(30)),
-        (3, '{"source": ["' + "\\n".join(whole[10:25]) + '"], "cell_type": "code"}, {"source": ["' + " ".join(whole[25:45]) + '"]}'),
+        (
+            3,
+            '{"source": ["' + "\\n".join(whole[10:25]) + '"], "cell_type": "code"}, {"source": ["' + " ".join(whole[25:45]) + '"]}'
+        ),
         (4, noise(30) + " " + " ".join(whole[:8]) + " ..."),
         (5, "\n".join("# " + line for line in code.split("\n")[1:10])),
         (6, "\n".join(code.split("\n")[:3])),
@@ -107,9 +119,17 @@ def test_leaks_of_edited_wrapped_and_split_passages(spark):
 
 def test_item_blocks_give_the_same_pairs(spark, monkeypatch):
     path = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")
-    whole = {tuple(r) for r in leaks.leaks(leaks.leak_scores(path("documents"), path("eval_item"))).select("doc_id", "item_id").collect()}
+    whole = {
+        tuple(r) for r in leaks.leaks(
+            leaks.leak_scores(path("documents"), path("eval_item"))
+        ).select("doc_id", "item_id").collect()
+    }
     monkeypatch.setattr(leaks, "ITEM_BLOCK", 100)
-    parts = {tuple(r) for r in leaks.leaks(leaks.leak_scores(path("documents"), path("eval_item"))).select("doc_id", "item_id").collect()}
+    parts = {
+        tuple(r) for r in leaks.leaks(
+            leaks.leak_scores(path("documents"), path("eval_item"))
+        ).select("doc_id", "item_id").collect()
+    }
     assert whole == parts
 
 
@@ -121,14 +141,25 @@ def test_spelling_is_normalised():
 
 def toy_corpus(seed: int, n: int):
     draw = random.Random(seed)
-    nasty = ["you are a {} idiot and everybody hates you", "crawl back to your hole you {} worm", "i will {} find you and break your legs"]
-    fine = ["the {} filter drops the outliers", "this notebook keeps the {} readings", "we plot the {} series again", "kill the {} worker process"]
+    nasty = [
+        "you are a {} idiot and everybody hates you", "crawl back to your hole you {} worm",
+        "i will {} find you and break your legs"
+    ]
+    fine = [
+        "the {} filter drops the outliers", "this notebook keeps the {} readings", "we plot the {} series again",
+        "kill the {} worker process"
+    ]
     rows = []
     for i in range(n):
         bad = draw.random() < 0.2
-        lines = [draw.choice(fine).format(draw.choice(["old", "new", "rare", "daily"])) for _ in range(draw.randint(3, 12))]
+        lines = [
+            draw.choice(fine).format(draw.choice(["old", "new", "rare", "daily"])) for _ in range(draw.randint(3, 12))
+        ]
         if bad:
-            lines.insert(draw.randint(0, len(lines)), draw.choice(nasty).format(draw.choice(["sad", "rotten", "filthy", "dull"])))
+            lines.insert(
+                draw.randint(0, len(lines)),
+                draw.choice(nasty).format(draw.choice(["sad", "rotten", "filthy", "dull"]))
+            )
         rows.append((i, "\n".join(lines), "s", "x", bad))
     return rows
 
@@ -136,11 +167,21 @@ def toy_corpus(seed: int, n: int):
 def test_model_holds_out_with_mistaken_labels(spark):
     train, test = toy_corpus(1, 400), toy_corpus(2, 300)
     draw = random.Random(4)
-    labels = [(i, "none" if (draw.random() < 0.1) ^ (not bad) and not (bad and draw.random() < 0.8) else "abusive", datetime.now(timezone.utc)) for i, _, _, _, bad in train]
-    label_table = spark.createDataFrame([*labels, (None, "none", None), (5, None, None)], "doc_id long, label string, labelled_at timestamp")
+    labels = [
+        (
+            i, "none" if (draw.random() < 0.1) ^ (not bad) and not (bad and draw.random() < 0.8) else "abusive",
+            datetime.now(timezone.utc)
+        ) for i,
+        _, _, _, bad in train
+    ]
+    label_table = spark.createDataFrame(
+        [*labels, (None, "none", None), (5, None, None)], "doc_id long, label string, labelled_at timestamp"
+    )
     documents = spark.createDataFrame([r[:4] for r in train], DOCUMENTS)
     model = abuse.fit_reviewed(documents, label_table)
-    held_out = spark.createDataFrame([*(r[:4] for r in test), (900, None, "s", "x"), (901, "", "s", "x"), (902, "...", None, "x")], DOCUMENTS)
+    held_out = spark.createDataFrame(
+        [*(r[:4] for r in test), (900, None, "s", "x"), (901, "", "s", "x"), (902, "...", None, "x")], DOCUMENTS
+    )
     scores = {r["doc_id"]: r["score"] for r in abuse.score(held_out, model, keep=("source",)).collect()}
     right = sum((scores[i] >= abuse.THRESHOLD) == bad for i, _, _, _, bad in test)
     assert right / len(test) > 0.95
@@ -155,7 +196,9 @@ def test_no_confirmed_label_scores_nothing(spark):
 
 def test_long_unbroken_text_is_read_to_its_end(spark):
     train = toy_corpus(1, 400)
-    labels = spark.createDataFrame([(i, "abusive" if bad else "none") for i, _, _, _, bad in train], "doc_id long, label string")
+    labels = spark.createDataFrame(
+        [(i, "abusive" if bad else "none") for i, _, _, _, bad in train], "doc_id long, label string"
+    )
     model = abuse.fit_reviewed(spark.createDataFrame([r[:4] for r in train], DOCUMENTS), labels)
     text = "the old filter drops the outliers and then " * 2000 + "you are a rotten idiot and everybody hates you"
     found = abuse.score(spark.createDataFrame([(1, text, "s", "x")], DOCUMENTS), model).collect()
