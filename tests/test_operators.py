@@ -447,3 +447,29 @@ def test_block_bootstrap_is_repeatable_and_whole(spark):
     assert {r[2] for r in found if r[0] == "a"} == {1.0}
     means = [r[2] for r in found if r[0] == "b"]
     assert abs(np.mean(means) - 19.5) < 2 and np.std(means) > 1
+
+
+def test_empty_tables_give_no_rows(spark):
+    events = spark.createDataFrame([], "event_id string, k string, cut timestamp, value string")
+    changes = spark.createDataFrame([], "row_id long, k string, period date, value double, seen timestamp, cut int")
+    found = known.as_known(
+        events, changes, ["k"], event_id="event_id", event_time="cut", change_time="seen", period="period", value="value"
+    )
+    assert found.count() == 0
+    df = spark.createDataFrame([], "row_id long, s string, m int, t timestamp, v double, kind string, period string")
+    registry = spark.createDataFrame([], "series_id string, min_possible double, max_possible double")
+    for versions in (False, True):
+        cases = spikes.implausible(
+            df, ["s"], period=F.col("m"), value="v", order="t", series="s", registry=registry, versions=versions
+        )
+        assert cases.count() == 0
+    assert panels.audit(df, ["s"], value="v").first()["n_rows"] == 0
+
+
+def test_clashing_extra_columns_are_ignored(spark):
+    rows = [(1, "a", 1.0, at(1), None, "x", "y", "z", 5), (2, "a", 2.0, at(2), "Delete", "x", "y", "z", 5)]
+    df = spark.createDataFrame(
+        rows, "row_id long, k string, value double, usable_at timestamp, action string, state string, prev string, until string, _blk int"
+    )
+    found = history.history(df, ["k"]).collect()
+    assert [(r["k"], r["value"], r["is_missing"]) for r in found] == [("a", 1.0, False)]
