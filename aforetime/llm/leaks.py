@@ -1,7 +1,8 @@
 """Passages of held-out items inside a training corpus.
 
-Rare word n-grams of the items are the seeds that join documents to items; a
-Smith–Waterman alignment around the seeds then scores each pair. Documents and
+The word n-grams that a document shares with an item are the seeds of the pair,
+however many documents hold them; a Smith–Waterman alignment around the seeds
+scores it. Pairs of equal stretches (copies) are aligned once. Documents and
 items are compared as sequences of item words, so quoting, wrapping, markup
 and cell boundaries between the words of a passage fall away.
 
@@ -23,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -31,16 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aforetime.llm.text import plain, words
-from aforetime.storage import shuffle_parts, written
+from aforetime.storage import shuffle_parts, small_side, written
 
 NGRAM = 4
 ITEM_BLOCK = 5_000
-#: An n-gram is rare if it occurs in at most this share of the documents, or less often than its item's median n-gram.
-RARE_SHARE = 0.002
 MATCH, MISMATCH, GAP = 2, -2, -1
 #: Alignments computed at once: at most so many pairs, and matrix cells.
 PAIRS_AT_ONCE = 64
 CELLS_AT_ONCE = 4_000_000
+#: Words of stretches in a record batch, about.
+WORDS_AT_ONCE = 2_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -72,7 +74,13 @@ class Items:
                     lines.append(number)
             self.sequences[item] = np.array(ids, dtype=np.int64)
             self.lines[item] = np.array(lines, dtype=np.int64)
-        self.grams = np.unique(np.concatenate([grams(s) for s in self.sequences.values()] or [np.empty(0, np.int64)]))
+        own = {item: np.unique(grams(s)) for item, s in self.sequences.items()}
+        self.grams, at = np.unique(np.concatenate([*own.values(), np.empty(0, np.int64)]), return_inverse=True)
+        #: Numbers of each item's n-grams, and the items of each n-gram.
+        self.grams_of = dict(zip(own, np.split(at, np.cumsum([len(g) for g in own.values()])), strict=False))
+        order = np.argsort(at, kind="stable")
+        owners = np.repeat(np.array(list(own), dtype=np.int64), [len(g) for g in own.values()])[order]
+        self.owners = np.split(owners, np.cumsum(np.bincount(at, minlength=len(self.grams)))[:-1])
 
     def read(self, text: str | None) -> np.ndarray:
         """Ids of a document's item words, in order."""
@@ -138,33 +146,61 @@ def _regions(at: np.ndarray, length: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
+def _pieces(low: int, high: int, length: int) -> list[tuple[int, int]]:
+    """A long stretch in pieces that overlap so that each alignment with an item of `length` words is whole in one.
+
+    An alignment's gaps cost less than its at most `length` matches bring, so it
+    spans at most (1 - MATCH / GAP) · length words of the document.
+    """
+    most = (1 - MATCH // GAP) * length
+    if high - low <= 4 * most:
+        return [(low, high)]
+    return [(at, min(high, at + 4 * most)) for at in range(low, high - most, 3 * most)]
+
+
 def _hits(items: Items):
+    def shared(sequence: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """Each item that shares an n-gram with a document, and the stretches around those n-grams."""
+        found = grams(sequence)
+        if not len(items.grams) or not len(found):
+            return
+        at = np.minimum(np.searchsorted(items.grams, found), len(items.grams) - 1)
+        places = np.flatnonzero(items.grams[at] == found)
+        at = at[places]
+        if not len(at):
+            return
+        for item in np.unique(np.concatenate([items.owners[g] for g in np.unique(at)])).tolist():
+            own = places[np.isin(at, items.grams_of[item])]
+            length = len(items.sequences[item])
+            pieces = [p for r in _regions(own, length, len(sequence)) for p in _pieces(*r, length)]
+            yield item, [sequence[low:high].astype(np.int32) for low, high in pieces]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, sequences, gram_lists, place_lists = [], [], [], []
+            kind, rows, held = batch.schema.field(0).type, [], 0
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sequence = items.read(text)
-                found = grams(sequence)
-                at = np.minimum(np.searchsorted(items.grams, found), max(0, len(items.grams) - 1))
-                hit = np.flatnonzero(items.grams[at] == found) if len(items.grams) and len(found) else np.empty(0, np.int64)
-                if len(hit):
-                    keys.append(key)
-                    sequences.append(sequence.astype(np.int32))
-                    gram_lists.append(found[hit])
-                    place_lists.append(hit.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, batch.schema.field(0).type),
-                    pa.array(sequences, pa.list_(pa.int32())),
-                    pa.array(gram_lists, pa.list_(pa.int64())),
-                    pa.array(place_lists, pa.list_(pa.int32())),
-                ],
-                names=["doc", "sequence", "grams", "places"],
-            )
+                for item, stretches in shared(items.read(text)):
+                    same = blake2b(np.int64(item).tobytes(), digest_size=16)
+                    for stretch in stretches:
+                        same.update(np.int64(len(stretch)).tobytes() + stretch.tobytes())
+                    rows.append((key, item, same.digest(), stretches))
+                    held += sum(map(len, stretches))
+                    if held >= WORDS_AT_ONCE:
+                        yield _batch(rows, kind)
+                        rows, held = [], 0
+            yield _batch(rows, kind)
 
     return run
 
 
+def _batch(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    types = {"doc": kind, "item": pa.int64(), "same": pa.binary(), "stretches": pa.list_(pa.list_(pa.int32()))}
+    columns = zip(*rows, strict=True) if rows else [()] * len(types)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), t) for c, t in zip(columns, types.values(), strict=True)], names=list(types)
+    )
+
+
 def _score(items: Items):
     def finish(held: list[tuple[int, int, np.ndarray, np.ndarray]]) -> dict[int, tuple[int, np.ndarray]]:
         """Best alignment of each row number in (row, item, stretch, item's words)."""
@@ -177,12 +213,9 @@ def _score(items: Items):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             stretches = []
-            for row, (item, places, sequence) in enumerate(
-                zip(batch["item"], batch["places"], batch["sequence"], strict=True)
-            ):
-                wanted = items.sequences[item]
-                for low, high in _regions(np.asarray(places), len(wanted), len(sequence)):
-                    stretches.append((row, item, np.asarray(sequence[low:high], dtype=np.int64), wanted))
+            for row, (item, own) in enumerate(zip(batch["item"], batch["stretches"], strict=True)):
+                for stretch in own:
+                    stretches.append((row, item, np.asarray(stretch, dtype=np.int64), items.sequences[item]))
             stretches.sort(key=lambda x: (len(x[2]), len(x[3])))
             best: dict[int, tuple[int, np.ndarray]] = {}
             while stretches:
@@ -198,8 +231,8 @@ def _score(items: Items):
                 touched, sizes = np.unique(line_of[matched], return_counts=True)
                 full = int((sizes >= 0.5 * np.bincount(line_of)[touched]).sum())
                 span = int(matched[-1] - matched[0] + 1)
-                rows.append((batch["doc"].iat[row], item, score, len(matched), span, full, int(line_of.max() + 1)))
-            yield pd.DataFrame(rows, columns=["doc", "item", "score", "matched", "span", "lines", "item_lines"])
+                rows.append((batch["same"].iat[row], score, len(matched), span, full, int(line_of.max() + 1)))
+            yield pd.DataFrame(rows, columns=["same", "score", "matched", "span", "lines", "item_lines"])
 
     return run
 
@@ -208,14 +241,13 @@ def leak_scores(
     documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
     item_text: str = "text"
 ) -> DataFrame:
-    """(key, item key, score, matched, span, lines, item_lines) of every pair that shares a rare n-gram."""
+    """(key, item key, score, matched, span, lines, item_lines) of every pair that shares an n-gram."""
     spark = documents.sparkSession
     clean = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(
         F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("text")
     )
     clean = clean.groupBy("item").agg(F.max_by("text", F.length("text")).alias("text"))
     blocks = max(1, -(-clean.count() // ITEM_BLOCK))
-    n_documents = documents.count()
     parts: list[DataFrame] = []
     for block in range(blocks):
         # at most about ITEM_BLOCK items at once on the driver and in each task
@@ -224,38 +256,20 @@ def leak_scores(
         kind = documents.schema[key].dataType.simpleString()
         touched = written(
             documents.select(key, text).mapInArrow(
-                _hits(held), f"doc {kind}, sequence array<int>, grams array<bigint>, places array<int>"
+                _hits(held), f"doc {kind}, item bigint, same binary, stretches array<array<int>>"
             ),
             "leaks",
         )
-        pairs = touched.select("doc", F.explode(F.arrays_zip("grams", "places")).alias("h")).select(
-            "doc", F.col("h.grams").alias("gram"), F.col("h.places").alias("place")
-        )
-        owners = spark.createDataFrame(
-            pd.DataFrame(
-                [
-                    (int(g), int(i)) for i, s in held.sequences.items() for g in np.unique(grams(s))
-                ], columns=["gram", "item"]
-            ),
-            "gram bigint, item bigint",
-        )
-        frequency = pairs.groupBy("gram").agg(F.countDistinct("doc").alias("df"))
-        known = owners.join(frequency, "gram")
-        median = known.groupBy("item").agg(F.median("df").alias("usual"))
-        seeds = known.join(median, "item").where(
-            (F.col("df") <= F.col("usual")) | (F.col("df") <= RARE_SHARE * n_documents)
-        )
-        candidates = (
-            pairs.join(seeds.select("gram", "item"), "gram").groupBy("doc", "item").agg(F.collect_list("place").alias("places"))
-        )
-        joined = candidates.join(touched.select("doc", "sequence"), "doc").select("doc", "item", "places", "sequence")
+        # equal digests are equal stretches of the same item
+        distinct = touched.groupBy("same").agg(F.first("item").alias("item"), F.first("stretches").alias("stretches"))
         # an alignment costs far more than its bytes suggest, so the pairs are spread by number
-        joined = joined.repartition(2 * max(shuffle_parts(spark), spark.sparkContext.defaultParallelism))
-        parts.append(
-            joined.mapInPandas(
-                _score(held), f"doc {kind}, item bigint, score int, matched int, span int, lines int, item_lines int"
-            )
+        distinct = distinct.repartition(2 * max(shuffle_parts(spark), spark.sparkContext.defaultParallelism))
+        scored = written(
+            distinct.mapInPandas(_score(held), "same binary, score int, matched int, span int, lines int, item_lines int"),
+            "aligned",
         )
+        pairs = touched.select("doc", "item", "same").join(small_side(scored), "same")
+        parts.append(pairs.drop("same"))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)

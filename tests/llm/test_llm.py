@@ -117,6 +117,27 @@ def test_leaks_of_edited_wrapped_and_split_passages(spark):
     assert leaks.leak_scores(df, item_table.where("false")).count() == 0
 
 
+def test_leaks_of_a_popular_part(spark):
+    words_of = [f"word{i}" for i in range(120)]
+    copy, whole = " ".join(words_of[:40]), " ".join(words_of)
+    texts = [f"word{i % 7} {copy} tail" for i in range(20)] + [copy] * 20 + [whole] + ["other text"] * 20
+    df = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(texts)], DOCUMENTS)
+    items = spark.createDataFrame([(0, whole), (1, " ".join(words_of[80:]))], "item_id long, text string")
+    found = leaks.leaks(leaks.leak_scores(df, items)).select("doc_id", "item_id").collect()
+    assert sorted(tuple(r) for r in found) == [*((i, 0) for i in range(41)), (40, 1)]
+
+
+def test_pieces_of_a_long_stretch_lose_no_alignment():
+    draw = random.Random(5)
+    for _ in range(20):
+        item = np.arange(1, 7)
+        document = np.array([draw.randint(1, 9) for _ in range(300)])
+        pieces = leaks._pieces(0, len(document), len(item))
+        assert len(pieces) > 1
+        best = max(leaks.align(document[a:b], item)[1] for a, b in pieces)
+        assert best == leaks.align(document, item)[1]
+
+
 def test_item_blocks_give_the_same_pairs(spark, monkeypatch):
     path = lambda name: spark.read.parquet(f"{DATA}/{name}.parquet")
     whole = {
