@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -86,54 +88,99 @@ def em_pca_rank(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _moments(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """Expanding and 36-month moment sums of each panel's first four series, by windows."""
-    number = F.dense_rank().over(Window.partitionBy("panel_id").orderBy("series_id"))
+#: Months of the recent histories that are compared with the whole one.
+GEOMETRY_MONTHS = (36, 96, 120, 144)
+
+
+def _moments(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Expanding and recent moments of all pairs of each panel's series, a row per month and window; the series by number.
+
+    The moments are those of the pairs (1, 1), (1, 2) … (k, k) in order.
+    """
     whole = Window.partitionBy(*SOURCE)
-    cells = panel(spark, folder).withColumn("k", number).where("k <= 4")
+    cells = panel(spark, folder)
     z = (F.col("value") - F.avg("value").over(whole)) / F.greatest(F.stddev_pop("value").over(whole), F.lit(1e-8))
-    wide = cells.withColumn("z", F.coalesce(z, F.lit(0.0))).groupBy("panel_id", "month").pivot("k", [1, 2, 3, 4]).agg(F.first("z")).na.fill(0.0)
-    pairs = [(i, j) for i in range(1, 5) for j in range(i, 5)]
-    line = Window.partitionBy("panel_id").orderBy("month")
-    expanding, recent = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(-35, 0)
-    product = {p: F.col(str(p[0])) * F.col(str(p[1])) for p in pairs}
-    found = wide.select(
-        "panel_id", "month", F.row_number().over(line).alias("n"),
-        F.array(*[F.avg(product[p]).over(expanding) for p in pairs]).alias("expanding"),
-        F.array(*[F.avg(product[p]).over(recent) for p in pairs]).alias("recent"),
-    )
-    return found.where("n > 36"), pairs
+    cells = cells.withColumn("z", F.coalesce(z, F.lit(0.0)))
+    # one row per series
+    series = cells.select(*SOURCE).distinct().withColumn(
+        "k", F.row_number().over(Window.partitionBy("panel_id").orderBy("series_id"))
+    )
+    sizes = series.groupBy("panel_id").agg(F.max("k").alias("n_series"))
+    numbered = cells.alias("c").join(
+        series.alias("s"), F.col("c.panel_id").eqNullSafe(F.col("s.panel_id")) & F.col("c.series_id").eqNullSafe(F.col("s.series_id"))
+    ).select("c.panel_id", "month", "k", "z")
+    monthly = numbered.groupBy("panel_id", "month").agg(F.map_from_entries(F.collect_list(F.struct("k", "z"))).alias("z"))
+    monthly = monthly.alias("m").join(sizes.alias("s"), F.col("m.panel_id").eqNullSafe(F.col("s.panel_id"))).select("m.*", "n_series")
+
+    def of(k):
+        return F.coalesce(F.element_at("z", k), F.lit(0.0))
+
+    def products(i):
+        return F.transform(
+            F.sequence(i, "n_series"), lambda j: F.struct(i.alias("i"), j.alias("j"), (of(i) * of(j)).alias("product"))
+        )
+
+    pairs = monthly.select(
+        "panel_id", "month", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), "n_series"), products))).alias("p")
+    ).select("panel_id", "month", "p.*")
+    line = Window.partitionBy("panel_id", "i", "j").orderBy("month")
+    expanding = F.avg("product").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    recent = [
+        F.struct(F.lit(w).alias("months"), F.avg("product").over(line.rowsBetween(1 - w, 0)).alias("recent")) for w in GEOMETRY_MONTHS
+    ]
+    found = pairs.select(
+        "panel_id", "month", "i", "j", F.row_number().over(line).alias("n"), expanding.alias("expanding"), F.array(*recent).alias("w")
+    ).select("*", F.explode("w").alias("r")).where(F.col("n") > F.col("r.months"))
+    moments = found.groupBy("panel_id", "month", F.col("r.months").alias("months")).agg(
+        F.array_sort(F.collect_list(F.struct("i", "j", "expanding", "r.recent"))).alias("p")
+    )
+    return moments.select("panel_id", "month", "months", F.col("p.expanding").alias("expanding"), F.col("p.recent").alias("recent")), series
 
 
 @R.query()
 def gram_geometry(spark: SparkSession, folder: str) -> DataFrame:
-    """How far the leading plane of the last 36 months is turned from that of the whole history."""
-    moments, pairs = _moments(spark, folder)
-
-    @F.pandas_udf("smallest_cosine double, projector_distance double")
-    def geometry(expanding: pd.Series, recent: pd.Series) -> pd.DataFrame:
-        out = []
-        for a, b in zip(expanding, recent, strict=True):
-            spaces = []
-            for x in (a, b):
-                matrix = np.zeros((4, 4))
-                for (i, j), value in zip(pairs, x, strict=True):
-                    matrix[i - 1, j - 1] = matrix[j - 1, i - 1] = value
-                spaces.append(kernels.leading_space(matrix, 2))
-            out.append(kernels.subspace_distance(*spaces))
-        return pd.DataFrame(out, columns=["smallest_cosine", "projector_distance"])
-
-    return moments.withColumn("g", geometry("expanding", "recent")).select(
-        "panel_id", "month", "g.smallest_cosine", "g.projector_distance"
+    """How far the leading plane of the last months is turned from that of the whole history.
+
+    A row per panel, month, window and left-out series; `omitted` is null and
+    `variant` "full" where none is left out.
+    """
+    moments, series = _moments(spark, folder)
+
+    def geometry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for length, part in batch.groupby(batch["expanding"].map(len)):
+                size = int((2 * length) ** 0.5)
+                rows, columns = np.triu_indices(size)
+                matrices = np.zeros((2, len(part), size, size))
+                for matrix, sums in zip(matrices, (part["expanding"], part["recent"]), strict=True):
+                    matrix[:, rows, columns] = matrix[:, columns, rows] = np.stack(sums.to_list())
+                for omitted in range(size + 1 if size > 1 else 1):
+                    kept = np.flatnonzero(np.arange(1, size + 1) != omitted)
+                    left, right = np.linalg.eigh(matrices[:, :, kept[:, None], kept])[1][..., -2:]
+                    cosines = np.clip(np.linalg.svd(left.transpose(0, 2, 1) @ right, compute_uv=False), 0, 1)
+                    yield part[["panel_id", "month", "months"]].assign(
+                        k=omitted, smallest_cosine=cosines.min(1), projector_distance=np.sqrt(np.mean(1 - cosines**2, 1))
+                    )
+
+    kind = moments.schema["panel_id"].dataType.simpleString()
+    found = moments.mapInPandas(
+        geometry, f"panel_id {kind}, month date, months int, k int, smallest_cosine double, projector_distance double"
+    ).alias("g")
+    named = found.join(
+        series.alias("s"), F.col("g.panel_id").eqNullSafe(F.col("s.panel_id")) & (F.col("g.k") == F.col("s.k")), "left"
+    )
+    return named.select(
+        "g.panel_id", "month", "months", F.when(F.col("g.k") == 0, "full").otherwise("omit").alias("variant"),
+        F.col("s.series_id").alias("omitted"), "smallest_cosine", "projector_distance"
     )
 
 
 @R.query()
 def geometry_summary(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles and breach rates of the geometry per panel, and whether it fails on both counts."""
+    """Percentiles and breach rates of the geometry per panel, window and left-out series, and whether it fails on both counts."""
     g = gram_geometry(spark, folder)
     breach = (F.col("smallest_cosine") < 0.9) & (F.col("projector_distance") > 0.35)
-    return g.groupBy("panel_id").agg(
+    return g.groupBy("panel_id", "months", "variant", "omitted").agg(
         F.count("*").alias("n_months"),
         F.percentile("smallest_cosine", 0.1).alias("p10_cosine"),
         F.percentile("projector_distance", 0.9).alias("p90_distance"),

@@ -5,11 +5,17 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from aforetime.operators import kernels
+from aforetime.plans.views import panel
 
 DATA = "/root/testdata/sf0.001"
+#: Its panels have more than 96 months.
+LONGER = "/root/testdata/sf0.01"
 SQL = {name: sql for name, sql in entry.oracle_sql().items() if not name.startswith(("p8", "p9", "p10"))}
 PLAIN = [name for name in entry.queries() if name not in SQL and not name.startswith(("p8", "p9", "p10"))]
 
@@ -38,5 +44,29 @@ def test_gives_rows(spark, name):
     assert df.count() >= 0
 
 
+def test_geometry_takes_all_series_windows_and_variants(spark):
+    wide = panel(spark, LONGER).toPandas().query("panel_id == panel_id.min()").assign(value=lambda d: d["value"].astype(float))
+    wide = wide.pivot(index="month", columns="series_id", values="value").sort_index()
+    z = ((wide - wide.mean()) / np.maximum(wide.std(ddof=0), 1e-8)).fillna(0.0)
+    assert z.shape[1] > 4
+    wanted = {}
+    for months in (36, 96, 120, 144):
+        for n in range(months + 1, len(z) + 1):
+            for omitted in (None, *z.columns):
+                x = z.drop(columns=omitted or []).to_numpy()
+                spaces = [kernels.leading_space(y.T @ y / len(y), 2) for y in (x[:n], x[n - months : n])]
+                wanted[z.index[n - 1], months, omitted] = kernels.subspace_distance(*spaces)
+    found = entry.queries()["gram_geometry"](spark, LONGER).where(F.col("panel_id") == F.lit(panel_name(spark))).collect()
+    assert {36, 96} <= {r["months"] for r in found}
+    assert {(r["month"], r["months"], r["omitted"]): (r["smallest_cosine"], r["projector_distance"]) for r in found} == {
+        k: pytest.approx(v, abs=1e-6) for k, v in wanted.items()
+    }
+    assert len(found) == len(wanted)
+
+
+def panel_name(spark):
+    return panel(spark, LONGER).agg(F.min("panel_id")).first()[0]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
