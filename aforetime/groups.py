@@ -30,6 +30,9 @@ def whole_groups(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterat
     for batch in batches:
         if not len(batch):
             continue
+        if open_rows and len(starts_of(pd.concat([open_rows[-1].iloc[-1:], batch], ignore_index=True), keys)) == 1:
+            open_rows.append(batch)  # a large group is put together once
+            continue
         frame = pd.concat([*open_rows, batch], ignore_index=True) if open_rows else batch.reset_index(drop=True)
         starts = starts_of(frame, keys)
         if len(starts) > 1:

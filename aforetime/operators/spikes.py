@@ -18,15 +18,16 @@ Defined results
 * Rows without a readable period are only range-checked. Null source parts are
   values like any other. An empty table gives no rows. Further columns are
   ignored.
-* Sources of more than HOT_READINGS distinct readings are judged in contiguous
-  stretches, each with its own normal behaviour and HALO readings of overlap.
+* A source is judged whole, whatever its size. Of those with more than
+  HOT_READINGS distinct readings only numbers reach Python, one source a task.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from statistics import NormalDist, median
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -35,10 +36,9 @@ from pyspark.sql import functions as F
 
 from aforetime.functions.numbers import bare, twelve_digits
 from aforetime.groups import whole_groups
-from aforetime.storage import BLOCK, ordered_blocks, small_side, written
+from aforetime.storage import small_side, written
 
 HOT_READINGS = 50_000
-HALO = 16
 TREND_WINDOW = 7
 ALPHA = 0.05
 #: With fewer readings the test isn't made; all are candidates.
@@ -190,21 +190,34 @@ def _spikes_among_versions(period: np.ndarray, value: np.ndarray, candidate: np.
     line, places = value.tolist(), place.tolist()
     last = len(edges) - 2
     first_limit = _limit(value, spike)
+    near: list[float] = []
+    known = -1
     for i in at:  # a candidate level with most of its neighbours is none
-        low, high = edges[max(0, places[i] - 2)], edges[min(last, places[i] + 2) + 1]
-        near = [*line[low:i], *line[i + 1 : high]]
-        spike[i] = not near or abs(median(near) - line[i]) > first_limit
+        if places[i] != known:
+            known = places[i]
+            near = sorted(line[edges[max(0, known - 2)] : edges[min(last, known + 2) + 1]])
+        own, others = bisect_left(near, line[i]), len(near) - 1
+        middle = [near[k + (k >= own)] for k in ((others - 1) // 2, others // 2)] if others else []
+        spike[i] = not middle or abs((middle[0] + middle[1]) / 2 - line[i]) > first_limit
     for _ in range(20):
         limit = _limit(value, spike)
         off = spike.tolist()
         now = np.zeros(len(value), bool)
+        usual: list[float] = []
+        known = -1
         for i in at:
             begin, end = edges[places[i]], edges[places[i] + 1]
-            same = [line[j] for j in range(begin, end) if j != i and not off[j]]
+            if places[i] != known:
+                known = places[i]
+                usual = sorted(line[j] for j in range(begin, end) if not off[j])
+            # the nearest values on both sides stand for all of the period; its own isn't among them
+            own = bisect_left(usual, line[i])
+            same = [*usual[max(0, own - 1) : own], *usual[own + (not off[i]) : own + (not off[i]) + 1]]
             before = [line[j] for j in range(max(0, begin - REACH), begin) if not off[j]][-2:]
             after = [line[j] for j in range(end, min(len(line), end + REACH)) if not off[j]][:2]
             around = [*same, *before, *after]
-            if len(around) >= 2 and (same or (before and after)):
+            n_same = len(usual) - (not off[i])
+            if n_same + len(before) + len(after) >= 2 and (same or (before and after)):
                 now[i] = min(abs(x - line[i]) for x in around) > limit
         if (now == spike).all():
             break
@@ -235,7 +248,7 @@ def _stuck(value: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge(versions: bool, names: list[str]):
+def _judge(versions: bool, names: list[str], kept: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, starts in whole_groups(batches, names):
             values = frame["value"].to_numpy(dtype=float)
@@ -249,9 +262,9 @@ def _judge(versions: bool, names: list[str]):
                 else:
                     kind[a:b][_stuck(value)] = STUCK
                     kind[a:b][_spikes_in_order(value, candidate)] = SPIKE
-            own = (kind != "") & ~frame["halo"].to_numpy(dtype=bool)
+            own = kind != ""
             if own.any():
-                yield frame.loc[own, [*names, "period", "digits"]].assign(kind=kind[own])
+                yield frame.loc[own, [*names, *kept]].assign(kind=kind[own])
 
     return run
 
@@ -305,37 +318,30 @@ def implausible(
     large = sizes.where(F.col("n_readings") > HOT_READINGS).select(*names)
     hot = large.count()  # at most one source per HOT_READINGS readings
     types = ", ".join(f"{n} {readings.schema[n].dataType.simpleString()}" for n in names)
-    schema = f"{types}, period int, digits string, kind string"
     inner = ["period", "at", "digits"]
 
-    def judged(df: DataFrame, group: list[str]) -> DataFrame:
-        ready = df.repartition(*group).sortWithinPartitions(*group, *inner)
-        return ready.mapInPandas(
-            _judge(versions, group), schema if group == names else f"{schema}, stretch int"
-        ).drop("stretch")
-
+    def judged(df: DataFrame, group: list[str], kept: list[str], schema: str) -> DataFrame:
+        ready = df.repartition(*group).sortWithinPartitions(*group, *inner).select(*group, *dict.fromkeys([*kept, "value"]))
+        return ready.mapInPandas(_judge(versions, group, kept), schema)
 
     def matches(other: DataFrame) -> list[Column]:
         return [readings[n].eqNullSafe(other[n]) for n in names]
 
     usual = readings.join(small_side(large, hot), matches(large), "left_anti") if hot else readings
-    found = judged(usual.withColumn("halo", F.lit(False)), names)
+    found = judged(usual, names, ["period", "digits"], f"{types}, period int, digits string, kind string")
     if hot:
-        big = readings.join(small_side(large, hot), matches(large), "left_semi")
-        blocks = ordered_blocks(big, [*names, *inner], "spikes")
-        ends = Window.partitionBy(BLOCK)
-        line = [*names, *inner]
-        placed = blocks.withColumn("from_start", F.row_number().over(ends.orderBy(*line))).withColumn(
-            "from_end", F.row_number().over(ends.orderBy(*[F.desc(c) for c in line]))
+        # one row per large source
+        numbered = written(
+            large.withColumn("source_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*names))), "sources"
+        )
+        big = readings.join(small_side(numbered, hot), matches(numbered)).select(
+            *[readings[n] for n in names], "source_no", "period", "at", "digits", "value"
         )
-        copies = F.array_compact(
-            F.array(
-                F.lit(0), F.when(F.col("from_start") <= HALO, F.lit(-1)), F.when(F.col("from_end") <= HALO, F.lit(1))
-            )
+        cases = judged(big, ["source_no"], ["period", "value"], "source_no int, period int, value double, kind string")
+        # readings of a period differ in their digits, and so in their values
+        found = found.unionByName(
+            big.join(cases, ["source_no", "period", "value"]).select(*names, "period", "digits", "kind")
         )
-        stretched = placed.withColumn("shift", F.explode(copies)).withColumn("stretch", F.col(BLOCK) + F.col("shift"))
-        stretched = stretched.withColumn("halo", F.col("shift") != 0).drop(BLOCK, "shift", "from_start", "from_end")
-        found = found.unionByName(judged(stretched, [*names, "stretch"]))
     same = [within[c].eqNullSafe(found[c]) for c in [*names, "period", "digits"]]
     held = within.join(found, same).select(within["row_id"], found["kind"])
     return out_of_range.unionByName(held)

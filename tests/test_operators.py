@@ -287,6 +287,35 @@ def test_hot_source_is_judged_in_stretches(spark, monkeypatch):
     assert sorted(r["row_id"] for r in found.collect()) == bad
 
 
+@pytest.mark.parametrize("versions", [False, True])
+def test_size_and_partitions_change_no_verdict(spark, monkeypatch, versions):
+    rng = np.random.default_rng(7)
+    value = np.round(5 + rng.normal(0, 0.05, 600), 4)
+    value[300:] = np.round(5 + rng.normal(0, 1.0, 300), 4)  # a rough phase: its moves are normal for the source
+    value[[60, 120, 180]] = [7.0, 6.5, 7.5]  # less than those moves
+    value[[240, 450]] = [90.0, 95.0]
+    rows = [(i, "s", i // 20 if versions else i, T0 + timedelta(days=i), float(v)) for i, v in enumerate(value)]
+    df = spark.createDataFrame(rows, "row_id long, s string, m int, t timestamp, v double")
+    registry = spark.createDataFrame([], "series_id string, min_possible double, max_possible double")
+
+    def run():
+        found = spikes.implausible(
+            df, ["s"], period=F.col("m"), value="v", order="t", series="s", registry=registry, versions=versions
+        )
+        return sorted(tuple(r) for r in found.collect())
+
+    whole = run()
+    assert [r[0] for r in whole] == [240, 450]
+    monkeypatch.setattr(spikes, "HOT_READINGS", 100)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("2", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert run() == whole
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_month_spellings(spark):
     texts = [
         "2004-03", "2004-3", "200403", "2004/03", "2004-03-31", "Mar-2004", "März 2004", "month-2004-03", "03-2004",
