@@ -46,8 +46,6 @@ DECAY = 1e-5
 #: Weight of the positive part of the risk, against the unlabelled part's 1.
 POSITIVE_WEIGHT = 0.3
 WINDOW = 24
-#: Segments per reviewed document that the model is fitted on, at most.
-SEGMENTS_AT_MOST = 5_000
 #: Score from which a document counts as toxic.
 THRESHOLD = 0.88
 CACHED_SEGMENTS = 200_000
@@ -236,7 +234,7 @@ def fit_reviewed(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id"
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut_up = [segments_of(t)[:SEGMENTS_AT_MOST] for t in batch.column(1).to_pylist()]
+            cut_up = [segments_of(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(cut_up, pa.list_(pa.string()))], names=["toxic", "segments"]
             )

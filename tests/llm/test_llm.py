@@ -226,6 +226,18 @@ def test_long_unbroken_text_is_read_to_its_end(spark):
     assert found[0]["score"] >= abuse.THRESHOLD
 
 
+def test_all_segments_of_a_reviewed_document_are_fitted(spark, monkeypatch):
+    lines = [f"aa{chr(97 + a)}{chr(97 + b)}{chr(97 + c)} words" for a in range(20) for b in range(20) for c in range(20)]
+    text = "\n".join([*lines, "you are a rotten idiot"])
+    seen = {}
+    monkeypatch.setattr(abuse, "fit", lambda positive, unlabelled: seen.update(positive=positive))
+    documents = spark.createDataFrame([(1, text, "s", "x"), (2, "some fine words", "s", "x")], DOCUMENTS)
+    labels = spark.createDataFrame([(1, "abusive"), (2, "none")], "doc_id long, label string")
+    abuse.fit_reviewed(documents, labels)
+    assert len(abuse.segments_of(text)) > 5_000
+    assert seen["positive"] == [abuse.segments_of(text)]
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, DATA)
