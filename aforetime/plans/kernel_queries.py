@@ -188,19 +188,29 @@ def geometry_summary(spark: SparkSession, folder: str) -> DataFrame:
     ).withColumn("fails", (F.col("p10_cosine") < 0.9) & (F.col("p90_distance") > 0.35))
 
 
+#: Replicates, and months of a block, of the bootstrap intervals.
+BOOTSTRAP_DRAWS = 1_999
+BOOTSTRAP_BLOCKS = (12, 24, 36)
+
+
 @R.query()
 def block_bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
-    """95 % block-bootstrap intervals of every source's mean and upper decile."""
+    """95 % block-bootstrap intervals of every source's mean and upper decile, a row per block length."""
     listed = _observed(spark, folder).groupBy(*SOURCE).agg(
         F.array_sort(F.collect_list(F.struct("month", "value"))).alias("cells")
     )
     listed = listed.select(*SOURCE, F.transform("cells", lambda c: c["value"]).alias("x"))
-    draws = kernels.block_means(listed, SOURCE, "x", replicates=199, block=12, seed=20_231)
     ends = F.array(F.lit(0.025), F.lit(0.975))
-    return draws.groupBy(*SOURCE).agg(
+    draws = None
+    for block in BOOTSTRAP_BLOCKS:
+        some = kernels.block_means(listed, SOURCE, "x", replicates=BOOTSTRAP_DRAWS, block=block, seed=20_231 + block).withColumn(
+            "block", F.lit(block)
+        )
+        draws = some if draws is None else draws.unionByName(some)
+    return draws.groupBy(*SOURCE, "block").agg(
         F.count("*").alias("n_draws"), F.percentile("mean", ends).alias("m"), F.percentile("p90", ends).alias("t")
     ).select(
-        *SOURCE, "n_draws",
+        *SOURCE, "block", "n_draws",
         *[
             F.col(c)[i].alias(f"{n}_{e}") for c, n in (("m", "mean"), ("t", "p90")) for i,
             e in enumerate(("low", "high"))

@@ -68,5 +68,10 @@ def panel_name(spark):
     return panel(spark, LONGER).agg(F.min("panel_id")).first()[0]
 
 
+def test_bootstrap_has_all_draws_and_blocks(spark):
+    found = entry.queries()["block_bootstrap_ci"](spark, DATA).groupBy("block").agg(F.min("n_draws"), F.max("n_draws"))
+    assert sorted(tuple(r) for r in found.collect()) == [(b, 1999, 1999) for b in (12, 24, 36)]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
