@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aforetime.storage import BLOCK, ordered_blocks
+from aforetime.storage import BLOCK, block_count, ordered_blocks
 
 EVENT, CHANGE = 0, 1
 
@@ -143,7 +143,8 @@ def as_known(
     order = ["at", "kind", "tie"]
     blocks = ordered_blocks(both, [*names, *order], "known")
     opened = blocks.unionByName(_carried(blocks, names))
-    sorted_rows = opened.repartition(BLOCK).sortWithinPartitions(BLOCK, *names, *order)
+    # a block is a task of its own
+    sorted_rows = opened.repartitionById(block_count(both), BLOCK).sortWithinPartitions(BLOCK, *names, *order)
     found = sorted_rows.mapInPandas(
         _carry_forward(names), "event string, period int, ref bigint, value double"
     )

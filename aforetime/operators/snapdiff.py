@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aforetime.storage import shuffle_parts
+from aforetime.storage import block_count
 
 ADDED, REMOVED, CHANGED = "added", "removed", "changed"
 
@@ -114,7 +114,7 @@ def snapshot_changes(
     # one number per snapshot, however many rows each has
     snapshots = [r[0] for r in rows.select(F.col(snapshot).cast("int")).distinct().collect() if r[0] is not None]
     schema = pa.schema([("at", pa.int32()), *[(c, pa.string()) for c in columns], ("change_kind", pa.string())])
-    ranges = clean.repartitionByRange(shuffle_parts(rows.sparkSession), *columns).sortWithinPartitions("at", *columns)
+    ranges = clean.repartitionByRange(block_count(rows), *columns).sortWithinPartitions("at", *columns)
     found = ranges.select("at", *columns, "value").mapInArrow(
         _merge_range(names, sorted(snapshots), schema), ", ".join(
             ["at int", *[f"{c} string" for c in columns], "change_kind string"]

@@ -18,8 +18,9 @@ Defined results
 * Rows without a readable period are only range-checked. Null source parts are
   values like any other. An empty table gives no rows. Further columns are
   ignored.
-* A source is judged whole, whatever its size. Of those with more than
-  HOT_READINGS distinct readings only numbers reach Python, one source a task.
+* A source is judged whole, whatever its size. Those with more than
+  HOT_READINGS distinct readings are judged by Spark (`large_sources`), the
+  others whole in a task; both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -55,19 +56,25 @@ STUCK_REPEATS = 0.2
 RANGE, SPIKE, STUCK = "range", "spike", "stuck"
 
 
-@lru_cache(maxsize=4096)
-def _limits(n: int, alpha: float) -> tuple[float, ...]:
-    """Critical values of the generalised ESD test for 1 … n/4 outliers.
+def limit_of(n: int, i: int, alpha: float) -> float:
+    """Critical value of the generalised ESD test for the i-th of n readings.
 
     Student's t comes from the Cornish–Fisher expansion.
     """
-    out = []
-    for i in range(1, n // 4 + 1):
-        z, df = NormalDist().inv_cdf(1 - alpha / (2 * (n - i + 1))), n - i - 1
-        t = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
-        t += (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
-        out.append((n - i) * t / ((n - i - 1 + t * t) * (n - i + 1)) ** 0.5)
-    return tuple(out)
+    z, df = NormalDist().inv_cdf(1 - alpha / (2 * (n - i + 1))), n - i - 1
+    t = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
+    t += (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df**3)
+    return (n - i) * t / ((n - i - 1 + t * t) * (n - i + 1)) ** 0.5
+
+
+@lru_cache(maxsize=1024)
+def _few_limits(n: int, alpha: float) -> tuple[float, ...]:
+    return tuple(limit_of(n, i, alpha) for i in range(1, n // 4 + 1))
+
+
+def _limits(n: int, alpha: float) -> Iterator[float]:
+    """Critical values for 1 … n/4 outliers; those of small sources are kept."""
+    return iter(_few_limits(n, alpha)) if n <= 1000 else (limit_of(n, i, alpha) for i in range(1, n // 4 + 1))
 
 
 def decompose(month: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,6 +237,11 @@ def _decimals_over_one(value: np.ndarray) -> bool:
     return bool(np.mean(np.abs(value * 10 - np.round(value * 10)) > 1e-6 * np.maximum(1, np.abs(value))) > 0.5)
 
 
+def many_decimals(value: Column) -> Column:
+    """Whether a value has more than one decimal."""
+    return F.abs(value * 10 - F.rint(value * 10)) > 1e-6 * F.greatest(F.lit(1.0), F.abs(value))
+
+
 def _stuck(value: np.ndarray) -> np.ndarray:
     """Runs of equal readings in a source that seldom repeats itself otherwise."""
     out = np.zeros(len(value), bool)
@@ -248,7 +260,7 @@ def _stuck(value: np.ndarray) -> np.ndarray:
     return out
 
 
-def _judge(versions: bool, names: list[str], kept: list[str]):
+def _judge(versions: bool, names: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, starts in whole_groups(batches, names):
             values = frame["value"].to_numpy(dtype=float)
@@ -264,7 +276,7 @@ def _judge(versions: bool, names: list[str], kept: list[str]):
                     kind[a:b][_spikes_in_order(value, candidate)] = SPIKE
             own = kind != ""
             if own.any():
-                yield frame.loc[own, [*names, *kept]].assign(kind=kind[own])
+                yield frame.loc[own, [*names, "period", "digits"]].assign(kind=kind[own])
 
     return run
 
@@ -320,28 +332,22 @@ def implausible(
     types = ", ".join(f"{n} {readings.schema[n].dataType.simpleString()}" for n in names)
     inner = ["period", "at", "digits"]
 
-    def judged(df: DataFrame, group: list[str], kept: list[str], schema: str) -> DataFrame:
-        ready = df.repartition(*group).sortWithinPartitions(*group, *inner).select(*group, *dict.fromkeys([*kept, "value"]))
-        return ready.mapInPandas(_judge(versions, group, kept), schema)
-
     def matches(other: DataFrame) -> list[Column]:
         return [readings[n].eqNullSafe(other[n]) for n in names]
 
     usual = readings.join(small_side(large, hot), matches(large), "left_anti") if hot else readings
-    found = judged(usual, names, ["period", "digits"], f"{types}, period int, digits string, kind string")
+    ready = usual.repartition(*names).sortWithinPartitions(*names, *inner).select(*names, *inner, "value")
+    found = ready.mapInPandas(_judge(versions, names), f"{types}, period int, digits string, kind string")
     if hot:
+        from aforetime.operators import large_sources
+
         # one row per large source
         numbered = written(
             large.withColumn("source_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*names))), "sources"
         )
-        big = readings.join(small_side(numbered, hot), matches(numbered)).select(
-            *[readings[n] for n in names], "source_no", "period", "at", "digits", "value"
-        )
-        cases = judged(big, ["source_no"], ["period", "value"], "source_no int, period int, value double, kind string")
-        # readings of a period differ in their digits, and so in their values
-        found = found.unionByName(
-            big.join(cases, ["source_no", "period", "value"]).select(*names, "period", "digits", "kind")
-        )
+        big = readings.join(small_side(numbered, hot), matches(numbered)).select("source_no", *inner, "value")
+        cases = large_sources.judge(big, versions=versions).join(small_side(numbered, hot), "source_no")
+        found = found.unionByName(cases.select(*names, "period", "digits", "kind"))
     same = [within[c].eqNullSafe(found[c]) for c in [*names, "period", "digits"]]
     held = within.join(found, same).select(within["row_id"], found["kind"])
     return out_of_range.unionByName(held)

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 BLOCK = "_blk"
 #: A side of at most this many rows may be broadcast; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of input files that one ordered block stands for, about.
+BLOCK_BYTES = 128 << 20
 _written: list[str] = []
 
 
@@ -72,6 +74,18 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that df reads, as the optimizer knows them; inputs of unknown size count as none."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(s for s in sizes if s < 2**62)
+
+
+def block_count(df: DataFrame) -> int:
+    """How many ordered blocks df is cut into: one per BLOCK_BYTES read, and no fewer than shuffle partitions."""
+    return max(shuffle_parts(df.sparkSession), -(-input_bytes(df) // BLOCK_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files would occupy less than half of them (few files, costly rows)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -85,33 +99,42 @@ def ordered_blocks(df: DataFrame, order: Sequence[str | Column], label: str, par
     block, so `order` must reach down to a nearly unique column, or equal rows
     must have been aggregated before.
     """
-    parts = parts or shuffle_parts(df.sparkSession)
+    parts = parts or block_count(df)
     return written(
         df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn(BLOCK, F.spark_partition_id()), label
     )
 
 
 def neighbour(
-    blocks: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], *, after: bool, name: str
+    blocks: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], *, after: bool, name: str,
+    among: Column | None = None,
 ) -> DataFrame:
     """Add struct column `name`: `columns` of the row before (or after) in the same key, null at the key's ends.
 
-    `blocks` comes from ordered_blocks(keys + order). Within a block this is a
-    window; across an edge the value comes from the adjoining block's last (or
-    first) row, of which there is one per block.
+    With `among` it is the nearest row for which that holds. `blocks` comes
+    from ordered_blocks(keys + order). Within a block this is a window; across
+    an edge the value comes from the nearest block that has such a row, of
+    which there is one per block.
     """
     keys, order = list(keys), list(order)
     at = F.struct(*[F.col(c) for c in [*keys, *order]])
     payload = F.struct(*[F.col(c) for c in columns])
-    window = Window.partitionBy(BLOCK).orderBy(*keys, *order)
-    step = F.lead if after else F.lag
     near = F.struct(F.struct(*[F.col(c) for c in keys]).alias("k"), payload.alias("p"))
+    # the walk goes away from the side on which the neighbour is looked for
+    way = F.desc if after else F.asc
+    walk = Window.partitionBy(BLOCK).orderBy(*[way(c) for c in [*keys, *order]])
     pick = F.min_by if after else F.max_by
-    edges = blocks.groupBy(BLOCK).agg(pick(near, at).alias("_edge"))
+    if among is None:
+        inside, last = F.lag(near).over(walk), pick(near, at)
+    else:
+        passed = walk.rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.last(F.when(among, near), ignorenulls=True).over(passed)
+        last = pick(near, F.when(among, at))
+    edges = blocks.groupBy(BLOCK).agg(last.alias("_edge"))
     # one row per block: as many rows as the range partitioning has partitions
-    beside = F.lead if after else F.lag
-    edges = edges.select(BLOCK, beside("_edge").over(Window.partitionBy(F.lit(0)).orderBy(BLOCK)).alias("_edge"))
-    seen = blocks.withColumn("_near", step(near).over(window)).join(F.broadcast(edges), BLOCK, "left")
+    beside = Window.partitionBy(F.lit(0)).orderBy(way(BLOCK)).rowsBetween(Window.unboundedPreceding, -1)
+    edges = edges.select(BLOCK, F.last("_edge", ignorenulls=True).over(beside).alias("_edge"))
+    seen = blocks.withColumn("_near", inside).join(F.broadcast(edges), BLOCK, "left")
     seen = seen.withColumn("_near", F.coalesce("_near", "_edge"))
     same = F.lit(True)
     for c in keys:

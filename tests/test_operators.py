@@ -10,7 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from aforetime.functions.months import clean_month
-from aforetime.operators import asof, grid, history, kernels, known, panels, profile, rolling, snapdiff, spikes
+from aforetime.operators import (
+    asof, grid, history, kernels, known, large_sources, panels, profile, rolling, snapdiff, spikes,
+)
+from aforetime import storage
 from aforetime.storage import ordered_blocks
 
 T0 = datetime(2020, 1, 1, tzinfo=timezone.utc)
@@ -316,6 +319,36 @@ def test_size_and_partitions_change_no_verdict(spark, monkeypatch, versions):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
+@pytest.mark.parametrize("seed", [0, 3])
+@pytest.mark.parametrize("versions", [False, True])
+def test_spark_and_one_task_judge_alike(spark, monkeypatch, versions, seed):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for source in ("a", "b", None):
+        n = int(rng.integers(150, 400))
+        value = np.round(20 + np.cumsum(rng.normal(0, 0.05, n)) + rng.standard_t(3, n) * 0.1, int(rng.integers(1, 5)))
+        value[rng.choice(n, 12)] += rng.choice([-3, 3, 8], 12)
+        value[n // 2 : n // 2 + 2] += 6
+        value[60:70] = value[60]
+        value[n - 40 :] += rng.choice([0, 4])
+        for i, v in enumerate(value):
+            rows.append((len(rows), source, i // int(rng.integers(3, 9)) if versions else i, T0 + timedelta(days=i), float(v)))
+    df = spark.createDataFrame(rows, "row_id long, s string, m int, t timestamp, v double")
+    registry = spark.createDataFrame([], "series_id string, min_possible double, max_possible double")
+
+    def run():
+        found = spikes.implausible(
+            df, ["s"], period=F.col("m"), value="v", order="t", series="s", registry=registry, versions=versions
+        )
+        return sorted(tuple(r) for r in found.collect())
+
+    whole = run()
+    assert len(whole) >= 3
+    monkeypatch.setattr(spikes, "HOT_READINGS", 100)
+    monkeypatch.setattr(large_sources, "CHUNK", 50)
+    assert run() == whole
+
+
 def test_month_spellings(spark):
     texts = [
         "2004-03", "2004-3", "200403", "2004/03", "2004-03-31", "Mar-2004", "März 2004", "month-2004-03", "03-2004",
@@ -502,3 +535,24 @@ def test_clashing_extra_columns_are_ignored(spark):
     )
     found = history.history(df, ["k"]).collect()
     assert [(r["k"], r["value"], r["is_missing"]) for r in found] == [("a", 1.0, False)]
+
+
+def test_blocks_follow_the_data(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(storage, "BLOCK_BYTES", 4_000)
+    counts = []
+    for n in (40_000, 80_000):
+        spark.range(n).select(F.rand(1).alias("x")).write.parquet(f"{tmp_path}/{n}")
+        counts.append(storage.block_count(spark.read.parquet(f"{tmp_path}/{n}").groupBy("x").count()))
+    assert counts[0] > 4 and 1.8 < counts[1] / counts[0] < 2.2
+    assert storage.block_count(spark.createDataFrame([(1,)], "x int")) == storage.shuffle_parts(spark)
+
+
+def test_neighbour_among(spark):
+    draw = random.Random(3)
+    rows = [(draw.choice(["a", "b", None]), i, draw.random() < 0.2) for i in range(300)]
+    blocks = ordered_blocks(spark.createDataFrame(rows, "k string, t int, ok boolean"), ["k", "t"], "among", 7)
+    for after in (False, True):
+        found = storage.neighbour(blocks, ["k"], ["t"], ["t"], after=after, name="n", among=F.col("ok")).collect()
+        for r in found:
+            near = [t for k, t, ok in rows if ok and k == r["k"] and (t > r["t"] if after else t < r["t"])]
+            assert (r["n"] and r["n"]["t"]) == ((min if after else max)(near) if near else None)
