@@ -3,12 +3,14 @@
 The word n-grams that a document shares with an item are the seeds of the pair,
 however many documents hold them; a Smith–Waterman alignment around the seeds
 scores it. Pairs of equal stretches (copies) are aligned once. Documents and
-items are compared as sequences of item words, so quoting, wrapping, markup
-and cell boundaries between the words of a passage fall away.
+items are compared as sequences of words; quoting, wrapping and markup between
+the words of a passage fall away, and so does what a notebook's file format
+puts between two cells. Every other word between them counts as a gap.
 
 A pair is a leak if the aligned stretch spans `min_words` words of the item
-(for items that are code: touches `min_lines` of its lines) and enough of the
-stretch's words match.
+and enough of the stretch's words match; for items that are code it must touch
+`min_lines` of the item's lines, or all of them if there are fewer. An item is
+code if most of its lines look like code (`text.is_code`).
 
 Defined results
 ---------------
@@ -32,12 +34,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforetime.llm.text import plain, words
+from aforetime.llm.text import between_cells, is_code, plain, words
 from aforetime.storage import shuffle_parts, small_side, written
 
 NGRAM = 4
 ITEM_BLOCK = 5_000
 MATCH, MISMATCH, GAP = 2, -2, -1
+#: What any number of words between two parts of a passage (an output, another cell) costs at most.
+LONG_GAP = 12
+#: Id of every word that an item doesn't hold; it matches nothing.
+FOREIGN = 0
 #: Alignments computed at once: at most so many pairs, and matrix cells.
 PAIRS_AT_ONCE = 64
 CELLS_AT_ONCE = 4_000_000
@@ -66,6 +72,7 @@ class Items:
         self.vocabulary: dict[str, int] = {}
         self.sequences: dict[int, np.ndarray] = {}
         self.lines: dict[int, np.ndarray] = {}
+        self.code: dict[int, bool] = {}
         for item, text in sorted(rows, key=lambda r: len(r[1])):
             ids, lines = [], []
             for number, line in enumerate(plain(text).split("\n")):
@@ -74,6 +81,9 @@ class Items:
                     lines.append(number)
             self.sequences[item] = np.array(ids, dtype=np.int64)
             self.lines[item] = np.array(lines, dtype=np.int64)
+            self.code[item] = is_code(text)
+        #: Distinct words of each item.
+        self.own = {item: np.unique(s) for item, s in self.sequences.items()}
         own = {item: np.unique(grams(s)) for item, s in self.sequences.items()}
         self.grams, at = np.unique(np.concatenate([*own.values(), np.empty(0, np.int64)]), return_inverse=True)
         #: Numbers of each item's n-grams, and the items of each n-gram.
@@ -83,9 +93,9 @@ class Items:
         self.owners = np.split(owners, np.cumsum(np.bincount(at, minlength=len(self.grams)))[:-1])
 
     def read(self, text: str | None) -> np.ndarray:
-        """Ids of a document's item words, in order."""
-        known = map(self.vocabulary.get, words(plain(text or "")))
-        return np.array([k for k in known if k], dtype=np.int64)
+        """Ids of a document's words in order, FOREIGN for a word of no item."""
+        own = self.vocabulary
+        return np.array([own.get(w, FOREIGN) for w in words(plain(between_cells(text or "")))], dtype=np.int64)
 
 
 def align(document: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, float]:
@@ -96,49 +106,84 @@ def align(document: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, float]:
 def align_many(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, float]]:
     """Smith–Waterman alignments of (document, item) pairs, a row of all their matrices at a time.
 
-    Gaps along a row are a running maximum. Shorter sequences are padded with
-    words that match nothing.
+    Gaps along a row are a running maximum, and so are long gaps in the
+    document, down the columns. Shorter sequences are padded with words that
+    match nothing.
     """
     n, m = max(len(d) for d, _ in pairs), max(len(i) for _, i in pairs)
     documents, items = np.full((n, len(pairs)), -1, dtype=np.int64), np.full((len(pairs), m), -2, dtype=np.int64)
     for k, (document, item) in enumerate(pairs):
         documents[: len(document), k], items[k, : len(item)] = document, item
-    score = np.zeros((n + 1, len(pairs), m + 1), dtype=np.int32)
-    ramp = -GAP * np.arange(m + 1, dtype=np.int32)
+    # where all rows would take too much memory only every `stride`-th is kept, and the traceback computes those between anew
+    stride = n if (n + 1) * (m + 1) * len(pairs) <= CELLS_AT_ONCE else max(1, int(n**0.5))
+    kept = np.zeros((2, n // stride + 1, len(pairs), m + 1), dtype=np.int32)
+    best, ends = np.zeros(len(pairs), dtype=np.int32), np.zeros((len(pairs), 2), dtype=np.int64)
+    whole = np.zeros((n + 1, len(pairs), m + 1), dtype=np.int32) if stride == n else None
+    above, highest = kept[0, 0], np.zeros((len(pairs), m + 1), dtype=np.int32)
     for i in range(1, n + 1):
-        above, row = score[i - 1], score[i]
-        step = np.where(items == documents[i - 1][:, None], np.int32(MATCH), np.int32(MISMATCH))
-        np.maximum(above[:, :-1] + step, above[:, 1:] + GAP, out=row[:, 1:])
-        np.maximum(row, 0, out=row)
-        row += ramp
-        np.maximum.accumulate(row, axis=1, out=row)
-        row -= ramp
+        row = whole[i] if whole is not None else np.empty_like(above)
+        _next_row(above, highest, documents[i - 1], items, row)
+        if whole is None and i % stride == 0:
+            kept[0, i // stride], kept[1, i // stride] = row, highest
+        above, top = row, row.max(axis=1)
+        better = np.flatnonzero(top > best)
+        best[better] = top[better]
+        ends[better, 0], ends[better, 1] = i, row[better].argmax(axis=1)
     out = []
     for k, (document, item) in enumerate(pairs):
-        own = score[:, k, :]
-        i, j = map(int, np.unravel_index(int(own.argmax()), own.shape))
-        best = int(own[i, j])
+        i, j = map(int, ends[k])
         words_of, wanted = document.tolist(), item.tolist()
         matched: list[int] = []
-        while i and j and own[i, j] > 0:
+        first, rows = 0, whole[:, k, :] if whole is not None else None
+
+        def row_of(at: int, k: int = k) -> np.ndarray:
+            nonlocal first, rows
+            if rows is None or not first <= at < first + len(rows):
+                first = at // stride * stride
+                rows = np.zeros((min(stride, n + 1 - first), m + 1), dtype=np.int32)
+                rows[0], upper = kept[0, first // stride, k], kept[1, first // stride, k : k + 1].copy()
+                for step in range(1, len(rows)):
+                    _next_row(rows[step - 1 : step], upper, documents[first + step - 1, k : k + 1], items[k : k + 1], rows[step : step + 1])
+            return rows[at - first]
+
+        while i and j and (here := int(row_of(i)[j])) > 0:
+            left, before = int(row_of(i)[j - 1]), row_of(i - 1)
             same = words_of[i - 1] == wanted[j - 1]
-            if own[i, j] == own[i - 1, j - 1] + (MATCH if same else MISMATCH):
+            if here == before[j - 1] + (MATCH if same else MISMATCH):
                 if same:
                     matched.append(j - 1)
                 i, j = i - 1, j - 1
-            elif own[i, j] == own[i - 1, j] + GAP:
+            elif here == before[j] + GAP:
                 i -= 1
-            else:
+            elif here == left + GAP:
                 j -= 1
-        out.append((np.array(matched[::-1], dtype=np.int64), best))
+            else:
+                i -= 1
+                while row_of(i)[j] != here + LONG_GAP:
+                    i -= 1
+        out.append((np.array(matched[::-1], dtype=np.int64), int(best[k])))
     return out
 
 
-def _regions(at: np.ndarray, length: int, end: int) -> list[tuple[int, int]]:
+def _next_row(above: np.ndarray, highest: np.ndarray, words_at: np.ndarray, items: np.ndarray, row: np.ndarray) -> None:
+    """Fill `row` of all matrices from the row above, the highest scores above it and the documents' words at it."""
+    ramp = -GAP * np.arange(row.shape[1], dtype=np.int32)
+    step = np.where(items == words_at[:, None], np.int32(MATCH), np.int32(MISMATCH))
+    np.maximum(highest, above, out=highest)
+    row[:, 0] = 0
+    np.maximum(above[:, :-1] + step, above[:, 1:] + GAP, out=row[:, 1:])
+    np.maximum(row, highest - LONG_GAP, out=row)
+    np.maximum(row, 0, out=row)
+    row += ramp
+    np.maximum.accumulate(row, axis=1, out=row)
+    row -= ramp
+
+
+def _regions(at: np.ndarray, reach: int, end: int) -> list[tuple[int, int]]:
     """Stretches of the document around seed positions, joined where they overlap."""
     out: list[tuple[int, int]] = []
     for p in np.sort(at):
-        low, high = max(0, int(p) - length), min(end, int(p) + length + NGRAM)
+        low, high = max(0, int(p) - reach), min(end, int(p) + reach + NGRAM)
         if out and low <= out[-1][1]:
             out[-1] = (out[-1][0], high)
         else:
@@ -146,13 +191,20 @@ def _regions(at: np.ndarray, length: int, end: int) -> list[tuple[int, int]]:
     return out
 
 
+def longest(length: int) -> int:
+    """Words of a document that an alignment with an item of `length` words spans at most, long gaps aside.
+
+    Its gaps cost less than its at most `length` matches bring.
+    """
+    return (1 - MATCH // GAP) * length
+
+
 def _pieces(low: int, high: int, length: int) -> list[tuple[int, int]]:
     """A long stretch in pieces that overlap so that each alignment with an item of `length` words is whole in one.
 
-    An alignment's gaps cost less than its at most `length` matches bring, so it
-    spans at most (1 - MATCH / GAP) · length words of the document.
+    Alignments with a long gap may go on for longer; of those the better part is kept.
     """
-    most = (1 - MATCH // GAP) * length
+    most = longest(length)
     if high - low <= 4 * most:
         return [(low, high)]
     return [(at, min(high, at + 4 * most)) for at in range(low, high - most, 3 * most)]
@@ -172,8 +224,10 @@ def _hits(items: Items):
         for item in np.unique(np.concatenate([items.owners[g] for g in np.unique(at)])).tolist():
             own = places[np.isin(at, items.grams_of[item])]
             length = len(items.sequences[item])
-            pieces = [p for r in _regions(own, length, len(sequence)) for p in _pieces(*r, length)]
-            yield item, [sequence[low:high].astype(np.int32) for low, high in pieces]
+            pieces = [p for r in _regions(own, longest(length), len(sequence)) for p in _pieces(*r, length)]
+            # words of other items are foreign, too
+            stretches = [np.where(np.isin(part, items.own[item]), part, FOREIGN).astype(np.int32) for part in (sequence[a:b] for a, b in pieces)]
+            yield item, list({part.tobytes(): part for part in stretches}.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,8 +285,8 @@ def _score(items: Items):
                 touched, sizes = np.unique(line_of[matched], return_counts=True)
                 full = int((sizes >= 0.5 * np.bincount(line_of)[touched]).sum())
                 span = int(matched[-1] - matched[0] + 1)
-                rows.append((batch["same"].iat[row], score, len(matched), span, full, int(line_of.max() + 1)))
-            yield pd.DataFrame(rows, columns=["same", "score", "matched", "span", "lines", "item_lines"])
+                rows.append((batch["same"].iat[row], score, len(matched), span, full, len(np.unique(line_of)), items.code[item]))
+            yield pd.DataFrame(rows, columns=["same", "score", "matched", "span", "lines", "item_lines", "is_code"])
 
     return run
 
@@ -241,7 +295,7 @@ def leak_scores(
     documents: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id",
     item_text: str = "text"
 ) -> DataFrame:
-    """(key, item key, score, matched, span, lines, item_lines) of every pair that shares an n-gram."""
+    """(key, item key, score, matched, span, lines, item_lines, is_code) of every pair that shares an n-gram."""
     spark = documents.sparkSession
     clean = items.where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).select(
         F.col(item_key).cast("bigint").alias("item"), F.col(item_text).alias("text")
@@ -265,7 +319,7 @@ def leak_scores(
         # an alignment costs far more than its bytes suggest, so the pairs are spread by number
         distinct = distinct.repartition(2 * max(shuffle_parts(spark), spark.sparkContext.defaultParallelism))
         scored = written(
-            distinct.mapInPandas(_score(held), "same binary, score int, matched int, span int, lines int, item_lines int"),
+            distinct.mapInPandas(_score(held), "same binary, score int, matched int, span int, lines int, item_lines int, is_code boolean"),
             "aligned",
         )
         pairs = touched.select("doc", "item", "same").join(small_side(scored), "same")
@@ -277,7 +331,7 @@ def leak_scores(
 
 
 def leaks(scores: DataFrame, *, min_words: int = 20, min_lines: int = 7, identity: float = 0.7) -> DataFrame:
-    """The pairs whose aligned stretch is long and alike enough. Items of `min_lines` lines and more are code."""
-    code = F.col("item_lines") >= min_lines
-    long = F.when(code, F.col("lines") >= min_lines).otherwise(F.col("span") >= min_words)
+    """The pairs whose aligned stretch is long and alike enough; code is measured in lines, other text in words."""
+    lines = F.col("lines") >= F.least(F.lit(min_lines), F.col("item_lines"))
+    long = F.when(F.col("is_code"), lines).otherwise(F.col("span") >= min_words)
     return scores.where(long & (F.col("matched") >= identity * F.col("span")))

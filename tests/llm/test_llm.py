@@ -87,6 +87,61 @@ def test_alignment_score_matches_full_recursion():
         assert score == table.max() and all(x < y for x, y in zip(matched, matched[1:], strict=False))
 
 
+@pytest.mark.parametrize("cells", [10**6, 1])
+def test_long_gaps_and_few_kept_rows(monkeypatch, cells):
+    monkeypatch.setattr(leaks, "CELLS_AT_ONCE", cells)
+    draw = random.Random(4)
+    for _ in range(30):
+        item = [draw.randint(1, 30) for _ in range(draw.randint(10, 25))]
+        cut = draw.randint(3, len(item) - 3)
+        document = [*item[:cut], *[0] * draw.randint(0, 60), *item[cut:]]
+        table = np.zeros((len(document) + 1, len(item) + 1), dtype=int)
+        for i in range(1, len(document) + 1):
+            for j in range(1, len(item) + 1):
+                same = leaks.MATCH if document[i - 1] == item[j - 1] else leaks.MISMATCH
+                table[i, j] = max(
+                    0, table[i - 1, j - 1] + same, table[i - 1, j] + leaks.GAP, table[i, j - 1] + leaks.GAP,
+                    table[:i, j].max() - leaks.LONG_GAP
+                )
+        matched, score = leaks.align(np.array(document), np.array(item))
+        assert score == table.max() and all(x < y for x, y in zip(matched, matched[1:], strict=False))
+        bridged = 2 * cut > leaks.LONG_GAP < 2 * (len(item) - cut)
+        assert not bridged or len(matched) == len(item)
+
+
+def test_scattered_words_are_no_leak_and_nine_lines_of_prose_may_be(spark, monkeypatch):
+    words_of = [f"word{i}" for i in range(90)]
+    prose = "\n".join(" ".join(words_of[k : k + 10]) for k in range(0, 90, 10))
+    other = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam"
+    scattered = " ".join(f"word{i} lorem ipsum dolor" for i in range(25))
+    texts = [scattered, " ".join(words_of[:4]) + " " + scattered, f"sit {' '.join(words_of[20:52])} amet", prose, prose * 3]
+    df = spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(texts)], DOCUMENTS)
+    items = spark.createDataFrame([(0, prose), (1, other)], "item_id long, text string")
+
+    def run(table):
+        return sorted(tuple(r) for r in leaks.leak_scores(df, table).where("item_id = 0").collect())
+
+    both = leaks.leaks(leaks.leak_scores(df, items)).select("doc_id", "item_id").collect()
+    assert sorted(tuple(r) for r in both) == [(2, 0), (3, 0), (4, 0)]
+    scores = run(items)
+    assert run(items.where("item_id = 0")) == scores
+    monkeypatch.setattr(leaks, "ITEM_BLOCK", 1)
+    assert run(items) == scores
+
+
+def test_passage_repeated_without_end(spark):
+    passage = " ".join(f"word{i}" for i in range(40))
+    df = spark.createDataFrame([(1, (passage + "\n") * 20_000, "s", "x")], DOCUMENTS)
+    items = spark.createDataFrame([(0, passage)], "item_id long, text string")
+    found = leaks.leaks(leaks.leak_scores(df, items)).collect()
+    assert [(r["doc_id"], r["span"]) for r in found] == [(1, 40)]
+
+
+def test_long_attributes_are_no_words():
+    tag = '<a href="' + "x/" * 400 + '" class="' + "wide " * 100 + '">'
+    assert words(plain(f"red {tag}fox</a>")) == ["red", "fox"]
+
+
 def test_leaks_of_edited_wrapped_and_split_passages(spark):
     draw = random.Random(3)
     vocabulary = [f"word{i}" for i in range(400)]
