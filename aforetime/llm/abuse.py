@@ -5,10 +5,15 @@ their spelling is normalised, and a linear model on words and pairs of words
 scores each; a document's score is that of its worst segment.
 
 The model is fitted by non-negative positive-unlabelled learning: documents
-with a confirmed toxic label are the positives, other reviewed documents count
-as unlabelled, because some of their labels are mistaken and no segment is
-labelled at all. The class-prior-corrected risk of the unlabelled part is kept
-from going below zero. Gradients reach the segment that decides a document.
+with a confirmed toxic label are the positives; documents of the corpus that
+nobody reviewed and reviewed ones without a confirmed label (some labels are
+mistaken) are the unlabelled part. The class-prior-corrected risk of the
+unlabelled part is kept from going below zero. No segment is labelled;
+gradients reach the segment that decides a document.
+
+The model is fitted on the driver, on a bounded sample: of each of the three
+kinds at most SAMPLE_AT_MOST documents and CHARACTERS_AT_MOST characters, whole
+documents with the lowest hashes. All documents are scored.
 
 Defined results
 ---------------
@@ -29,25 +34,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aforetime.llm.text import plain
+from aforetime.storage import written
 
-#: Labelled documents that the model is fitted on, at most, of each kind (those with the lowest hashes).
-LABELLED_AT_MOST = 6_000
+#: Documents that the model is fitted on, at most, of each kind: confirmed, reviewed otherwise, not reviewed.
+SAMPLE_AT_MOST = 6_000
+#: Characters of their distinct segments, at most, of each kind.
+CHARACTERS_AT_MOST = 32_000_000
 #: Words and pairs in fewer of those documents are no features.
 FEWEST_DOCUMENTS = 3
-#: Share of toxic documents among the reviewed ones without a confirmed label.
-PRIOR = 0.03
+#: Class prior: the share of toxic documents in the unlabelled part that the risk is corrected by.
+PRIOR = 0.05
 EPOCHS = 60
 RATE = 0.5
 DECAY = 1e-5
-#: Weight of the positive part of the risk, against the unlabelled part's 1.
-POSITIVE_WEIGHT = 0.3
 WINDOW = 24
-#: Score from which a document counts as toxic.
-THRESHOLD = 0.88
+#: Score from which a document counts as toxic (a little below one half: better reviewed than missed).
+THRESHOLD = 0.45
 CACHED_SEGMENTS = 200_000
 
 # Characters that look like Latin letters.
@@ -143,16 +149,15 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float = P
 
     Documents are lists of segments, segments their words with blanks between.
     Risk: π·E₊[ℓ(f)] + max(0, Eᵤ[ℓ(−f)] − π·E₊[ℓ(−f)]) with the logistic loss;
-    where the second part is negative its gradient is reversed. The first part
-    is weighted by POSITIVE_WEIGHT / π.
+    where the second part is negative only its gradient is followed, reversed.
     """
     positive, unlabelled = [d for d in positive if d], [d for d in unlabelled if d]
     if not positive or not unlabelled:
         return Model({}, -np.inf, {})
     n = len(positive)
-    plain_words = Counter(w for d in positive for w in {w for s in d for w in s.split(" ")})
-    plain_words.subtract(Counter(w for d in unlabelled for w in {w for s in d for w in s.split(" ")}))
-    draft = Model({}, 0.0, masks(+plain_words))
+    shares = [Counter(w for d in part for w in {w for s in d for w in s.split(" ")}) for part in (positive, unlabelled)]
+    typical = {w: c / n - shares[1][w] / len(unlabelled) for w, c in shares[0].items()}
+    draft = Model({}, 0.0, masks(Counter({w: v for w, v in typical.items() if v > 0})))
     number: dict[str, int] = {}
     segment_no: dict[str, int] = {}
     coded: list[np.ndarray] = []
@@ -187,21 +192,24 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float = P
     weights, bias = np.clip(likelier, -3, 3) * 0.5, -1.0
     grown, grown_bias = np.full(len(names), 1e-8), 1e-8
     bag = np.concatenate(members)
-    begins = np.concatenate([[0], np.cumsum([len(m) for m in members])])[:-1]
+    sizes = np.array([len(m) for m in members], dtype=np.int64)
+    begins = np.cumsum(sizes) - sizes
+    firsts = np.cumsum(lengths) - lengths
     for _ in range(EPOCHS):
         logit = np.bincount(owner, weights[columns], len(segments)) * scale + bias
         f = np.maximum.reduceat(logit[bag], begins)
-        worst = np.array([rows[int(logit[rows].argmax())] for rows in members])
+        top = np.flatnonzero(logit[bag] == np.repeat(f, sizes))
+        worst = bag[top[np.searchsorted(top, begins)]]
         sure = 1 / (1 + np.exp(-f))
         loss_minus = np.logaddexp(0, f)
         rest = loss_minus[n:].mean() - prior * loss_minus[:n].mean()
         sign = 1.0 if rest >= 0 else -1.0
         gradient = np.empty(len(worst))
-        gradient[:n] = POSITIVE_WEIGHT * (sure[:n] - 1) / n * (rest >= 0) - sign * prior * sure[:n] / n
+        gradient[:n] = prior * (sure[:n] - 1) / n * (rest >= 0) - sign * prior * sure[:n] / n
         gradient[n:] = sign * sure[n:] / (len(worst) - n)
-        step = np.zeros(len(names))
-        for g, row in zip(gradient * scale[worst], worst, strict=True):
-            step[segments[row]] += g
+        long = lengths[worst]
+        at = np.repeat(firsts[worst] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+        step = np.bincount(columns[at], np.repeat(gradient * scale[worst], long), len(names))
         step += DECAY * weights
         grown += step**2
         weights -= RATE * step / np.sqrt(grown)
@@ -215,40 +223,58 @@ def segments_of(text: str | None) -> list[str]:
     return sorted({" ".join(w) for s in set(cut(text or "")) for w in windows(s)})
 
 
+def _near(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows of df (of which there are `rows`) with the lowest hashes of the key, about twice SAMPLE_AT_MOST, with `_order`."""
+    share = min(1.0, 2 * SAMPLE_AT_MOST / max(1, rows))
+    return df.withColumn("_order", F.xxhash64(key)).where(F.col("_order").cast("double") < share * 2.0**64 - 2.0**63)
+
+
 def reviewed(labels: DataFrame, *, key: str = "doc_id", label: str = "label") -> DataFrame:
-    """(key, toxic) of the labelled documents the model is fitted on."""
-    votes = (
+    """(key, toxic) of all labelled documents."""
+    harmless = F.lower(F.trim(label)) == "none"
+    return (
         labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
         .groupBy(key)
-        .agg((F.avg(F.when(F.lower(F.trim(label)) == "none", 0.0).otherwise(1.0)) >= 0.5).alias("toxic"))
-        .withColumn("_order", F.xxhash64(key))
+        .agg((F.avg(F.when(harmless, 0.0).otherwise(1.0)) >= 0.5).alias("toxic"))
     )
+
+
+def sample(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", label: str = "label") -> DataFrame:
+    """(key, kind, _order) of the documents the model is fitted on."""
+    votes = written(reviewed(labels, key=key, label=label), "votes")
+    counts = {r["toxic"]: r["count"] for r in votes.groupBy("toxic").count().collect()}
+    ids = _near(documents.select(key).where(F.col(key).isNotNull()), key, documents.count()).distinct()
+    kinds = {
+        "confirmed": _near(votes.where("toxic").select(key), key, counts.get(True, 0)),
+        "reviewed": _near(votes.where("not toxic").select(key), key, counts.get(False, 0)),
+        "corpus": ids.join(votes, key, "left_anti"),
+    }
     chosen = [
-        votes.where(F.col("toxic") == toxic).orderBy("_order", key).limit(LABELLED_AT_MOST) for toxic in (True, False)
+        df.orderBy("_order", key).limit(SAMPLE_AT_MOST).select(key, F.lit(kind).alias("kind"), "_order") for kind, df in kinds.items()
     ]
-    return chosen[0].unionByName(chosen[1]).select(key, "toxic")
+    return chosen[0].unionByName(chosen[1]).unionByName(chosen[2])
 
 
 def fit_reviewed(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text") -> Model:
-    """The model of the reviewed documents; at most 2 × LABELLED_AT_MOST documents' segments reach the driver."""
+    """The model of the sampled documents; their distinct segments, of bounded size, reach the driver."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut_up = [segments_of(t) for t in batch.column(1).to_pylist()]
+            cut_up = [segments_of(t) for t in batch.column(2).to_pylist()]
+            sizes = pa.array([sum(map(len, c)) for c in cut_up], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(cut_up, pa.list_(pa.string()))], names=["toxic", "segments"]
+                [*batch.columns[:2], sizes, pa.array(cut_up, pa.list_(pa.string()))], names=["kind", "_order", "size", "segments"]
             )
 
-    chosen = reviewed(labels, key=key)
-    rows = (
-        documents.select(key, text)
-        .join(F.broadcast(chosen), key)
-        .select("toxic", text)
-        .mapInArrow(split, "toxic boolean, segments array<string>")
-        .collect()
-    )
+    chosen = sample(documents, labels, key=key)
+    held = documents.select(key, text).join(F.broadcast(chosen), key).select("kind", "_order", text)
+    # at most three times SAMPLE_AT_MOST documents
+    segments = written(held.mapInArrow(split, "kind string, _order bigint, size bigint, segments array<string>"), "segments")
+    upto = F.sum("size").over(Window.partitionBy("kind").orderBy("_order", "segments").rowsBetween(Window.unboundedPreceding, 0))
+    rows = segments.withColumn("_upto", upto).where(F.col("_upto") <= CHARACTERS_AT_MOST).select("kind", "segments").collect()
     rows.sort(key=lambda r: r["segments"])
-    return fit([r["segments"] for r in rows if r["toxic"]], [r["segments"] for r in rows if not r["toxic"]])
+    confirmed = [r["segments"] for r in rows if r["kind"] == "confirmed"]
+    return fit(confirmed, [r["segments"] for r in rows if r["kind"] != "confirmed"])
 
 
 def score(

@@ -28,7 +28,7 @@ def p8_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Alignment scores of the documents and items that share a rare n-gram."""
+    """Alignment scores of the documents and items that share an n-gram."""
     return leaks.leak_scores(documents(spark, folder), table(spark, folder, "eval_item"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import random
+from collections import Counter
 from datetime import datetime, timezone
 
 import numpy as np
@@ -293,6 +294,23 @@ def test_all_segments_of_a_reviewed_document_are_fitted(spark, monkeypatch):
     assert seen["positive"] == [abuse.segments_of(text)]
 
 
+def test_sample_is_bounded_and_holds_unreviewed_documents(spark, monkeypatch):
+    documents = spark.createDataFrame([*(r[:4] for r in toy_corpus(1, 400)), (None, "x y", "s", "x")], DOCUMENTS)
+    labels = spark.createDataFrame(
+        [*((i, "abusive" if i % 4 == 0 else "none") for i in range(200)), (4, "none"), (None, "hateful")], "doc_id long, label string"
+    )
+    whole = {r["doc_id"]: r["kind"] for r in abuse.sample(documents, labels).collect()}
+    assert whole == {i: "corpus" if i >= 200 else "reviewed" if i % 4 else "confirmed" for i in range(400)}
+    monkeypatch.setattr(abuse, "SAMPLE_AT_MOST", 30)
+    few = Counter(r["kind"] for r in abuse.sample(documents, labels).collect())
+    assert set(few) == {"confirmed", "reviewed", "corpus"} and max(few.values()) <= 30 and min(few.values()) > 10
+    seen = {}
+    monkeypatch.setattr(abuse, "fit", lambda positive, unlabelled: seen.update(n=len(positive) + len(unlabelled)))
+    monkeypatch.setattr(abuse, "CHARACTERS_AT_MOST", 2_000)
+    abuse.fit_reviewed(documents, labels)
+    assert 0 < seen["n"] < sum(few.values())
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
     df = queries.QUERIES[name](spark, DATA)
