@@ -25,10 +25,6 @@ def next_business_day(day: Column) -> Column:
     return F.date_add(day, F.when(F.dayofweek(day) == 6, 3).when(F.dayofweek(day) == 7, 2).otherwise(1))
 
 
-def month_start(day: Column) -> Column:
-    return F.trunc(day, "month")
-
-
 def month_calendar(spark: SparkSession, first: str, last: str, zone: str, *, month_end: bool = False) -> DataFrame:
     """(month, cutoff) per month: its first or last day at 23:59:59 local."""
     months = spark.range(1).select(
@@ -40,6 +36,7 @@ def month_calendar(spark: SparkSession, first: str, last: str, zone: str, *, mon
     return months.withColumn("cutoff", local_instant(day, 23, 59, 59, zone))
 
 
-def version_instant(valid_from: Column, valid_to: Column) -> Column:
-    """The first of two clocks that is set."""
-    return F.coalesce(valid_from, valid_to)
+def release_instant(day: Column, variant: Column, zone: str) -> Column:
+    """When a release of a day becomes usable: just after ten local time (`registered`), or as the next day begins (`next_day`)."""
+    registered = local_instant(day, 10, 0, 1, zone)
+    return F.when(variant == "registered", registered).when(variant == "next_day", local_instant(F.date_add(day, 1), 0, 0, 0, zone))

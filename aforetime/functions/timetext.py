@@ -256,11 +256,11 @@ def instant_us(text: Column, clock_zone: Column, locale: Column) -> Column:
     """
     version = zone_version()
 
-    @F.pandas_udf("bigint")
     def read(texts: pd.Series, zones: pd.Series, tags: pd.Series) -> pd.Series:
         if zone_version() != version:
             raise RuntimeError(f"zone data {zone_version()} here, {version} on the driver")
         lists = ([None if x is None or x != x else x for x in s.tolist()] for s in (texts, zones, tags))
         return pd.Series(pd.array(instants(*lists, version), dtype="Int64"))
 
-    return read(text, clock_zone, locale)
+    # marked so that a filter on the result doesn't make Spark parse every text twice
+    return F.pandas_udf(read, "bigint").asNondeterministic()(text, clock_zone, locale)

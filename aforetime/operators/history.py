@@ -23,11 +23,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aforetime.functions.numbers import bare, twelve_digits
-from aforetime.storage import BLOCK, neighbour, ordered_blocks
+from aforetime.storage import BLOCK, neighbour, ordered_blocks, written
 
 DELETED, MISSING, HELD = "deleted", "missing", "held"
 
@@ -46,8 +46,7 @@ def delta_store(
 
     Columns: the keys, `at`, `seq` (number of the change within its block of
     the entity), `is_checkpoint`, `state_patch` and `value_patch` (null where
-    the attribute didn't change; always set at a checkpoint), `until` (instant
-    of the entity's next change, null if none) and the block number.
+    the attribute didn't change; always set at a checkpoint) and the block number.
     """
     keys = list(keys)
     kind = (
@@ -68,7 +67,6 @@ def delta_store(
     changes = before.where(
         F.col("prev").isNull() | (F.col("state") != F.col("prev.state")) | ~digits.eqNullSafe(old_digits)
     )
-    changes = neighbour(changes, keys, [at], [at], after=True, name="next")
     run = Window.partitionBy(BLOCK, *keys).orderBy(at)
     seq = F.row_number().over(run)
     full = (seq - 1) % checkpoint_every == 0
@@ -79,7 +77,6 @@ def delta_store(
         full.alias("is_checkpoint"),
         F.when(full | ~F.col("state").eqNullSafe(F.col("prev.state")), F.col("state")).alias("state_patch"),
         F.when(full | ~digits.eqNullSafe(old_digits), F.struct("value")).alias("value_patch"),
-        F.col(f"next.{at}").alias("until"),
         BLOCK,
     )
 
@@ -88,16 +85,16 @@ def fold(store: DataFrame, keys: Sequence[str], *, at: str = "usable_at", checkp
     """Validity rows (keys, value, is_missing, valid_from, valid_to) from a delta store.
 
     Patches are folded forward from the nearest checkpoint, so a window never
-    spans more than `checkpoint_every` rows. valid_to is null while a version
-    is the last one.
+    spans more than `checkpoint_every` rows; a version's end is the instant of
+    the patch after it, null while it is the last one.
     """
     keys = list(keys)
     segment = F.floor((F.col("seq") - 1) / checkpoint_every)
     forward = Window.partitionBy(BLOCK, *keys, segment).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    folded = store.select(
+    folded = neighbour(store, keys, [at], [at], after=True, name="_next").select(
         *keys,
         F.col(at).alias("valid_from"),
-        F.col("until").alias("valid_to"),
+        F.col(f"_next.{at}").alias("valid_to"),
         F.last("state_patch", ignorenulls=True).over(forward).alias("state"),
         F.last("value_patch", ignorenulls=True).over(forward)["value"].alias("value"),
     )
@@ -106,7 +103,29 @@ def fold(store: DataFrame, keys: Sequence[str], *, at: str = "usable_at", checkp
     )
 
 
+def state_at(store: DataFrame, keys: Sequence[str], when: Column, *, at: str = "usable_at") -> DataFrame:
+    """(keys, value, is_missing, valid_from) of every entity that has a version at the instant `when`.
+
+    Only the patches since the entity's nearest checkpoint are folded.
+    """
+    keys = list(keys)
+    known = store.where(F.col(at) <= when)
+    names = [f"_k{i}" for i in range(len(keys))]
+    nearest = known.where("is_checkpoint").groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).agg(
+        F.max(at).alias("_from")
+    )
+    same = F.col(at) >= F.col("_from")
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    patches = known.join(nearest, same).select(*keys, at, "state_patch", "value_patch")
+    last = lambda patch: F.max_by(patch, F.when(F.col(patch).isNotNull(), F.col(at)))
+    folded = patches.groupBy(*keys).agg(
+        last("state_patch").alias("state"), last("value_patch")["value"].alias("value"), F.max(at).alias("valid_from")
+    )
+    return folded.where(F.col("state") != DELETED).select(*keys, "value", (F.col("state") == MISSING).alias("is_missing"), "valid_from")
+
+
 def history(versions: DataFrame, keys: Sequence[str], *, checkpoint_every: int = 16, **columns: str) -> DataFrame:
-    """delta_store and fold in one step."""
-    store = delta_store(versions, keys, checkpoint_every=checkpoint_every, **columns)
+    """delta_store, written to the shared folder, and fold."""
+    store = written(delta_store(versions, keys, checkpoint_every=checkpoint_every, **columns), "deltas")
     return fold(store, keys, at=columns.get("at", "usable_at"), checkpoint_every=checkpoint_every)

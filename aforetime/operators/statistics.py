@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aforetime.storage import running_sums, small_side
+from aforetime.storage import running_sums, small_side, written
 
 
 def effective_size(weight: Column) -> Column:
@@ -65,13 +65,25 @@ def gram(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) ->
     return sums.select(*group, F.explode(cells).alias("m")).select(*group, "m.i", "m.j", "m.moment")
 
 
-def kernel_effective_size(
-    queries: DataFrame, observations: DataFrame, on: Sequence[str], query: str, observed: str, bandwidth: float
-) -> DataFrame:
-    """Effective number of observations around each query under a Gaussian kernel, within equal `on` keys."""
-    pairs = queries.join(observations, list(on))
-    weight = F.exp(-0.5 * F.pow((F.col(query) - F.col(observed)) / bandwidth, 2))
-    return pairs.groupBy(*on, query).agg(effective_size(weight).alias("effective_size"))
+def quantiles(df: DataFrame, group: Sequence[str], column: str, wanted: dict[str, float]) -> DataFrame:
+    """(group, a column per wanted quantile): exact, interpolated between neighbours, nulls left out.
+
+    Values are counted first and their counts summed in blocks, so a group may
+    hold most of all rows. Rows with a null group are left out.
+    """
+    keys = list(group)
+    counts = df.where(F.col(column).isNotNull()).dropna(subset=keys).groupBy(*keys, column).agg(F.count("*").alias("_n"))
+    upto = written(running_sums(counts, keys, [column], {"_upto": "_n"}, "quantiles"), "quantiles")
+    sizes = upto.groupBy(*keys).agg((F.max("_upto") - 1).alias("_last"))
+    holds = lambda rank: (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
+    ranks = {name: q * F.col("_last") for name, q in wanted.items()}
+    ends = {
+        f"{name}_{end}": F.max(F.when(holds(cut(rank)), F.col(column)))
+        for name, rank in ranks.items() for end, cut in (("low", F.floor), ("high", F.ceil))
+    }
+    found = upto.join(small_side(sizes), keys).groupBy(*keys).agg(F.max("_last").alias("_last"), *[e.alias(n) for n, e in ends.items()])
+    between = lambda n: F.col(f"{n}_low") + (F.col(f"{n}_high") - F.col(f"{n}_low")) * (ranks[n] - F.floor(ranks[n]))
+    return found.select(*keys, *[between(n).alias(n) for n in wanted])
 
 
 def policy_metrics(

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from aforetime.functions.clocks import decision_instant, next_business_day
 from aforetime.functions.numbers import bare, finite_number
 from aforetime.functions.months import clean_month
-from aforetime.operators import asof, panels
+from aforetime.operators import asof, known, panels, statistics
 from aforetime.plans.problems import MONTH_SQL
 from aforetime.plans.registry import Registry
 from aforetime.plans.views import PANEL_SQL, VERSIONS_SQL, panel, versions
 from aforetime.sources.tables import table
+from aforetime.storage import written
 
 R = Registry()
 KEYS = ["ref_area", "source_series_id"]
@@ -30,9 +31,9 @@ known AS (
     AND (v.known_to IS NULL OR e.state_cutoff_timestamp <= v.known_to))"""
 
 
-def known_at_events(spark: SparkSession, folder: str) -> DataFrame:
-    """(event_id, observation_period, value, known_from): all periods each event knew."""
-    intervals = asof.validity_intervals(
+def vintage_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Vintage values with the time each was the current one of its period."""
+    return asof.validity_intervals(
         table(spark, folder, "vintage_value").select(
             "row_id", *KEYS, "observation_period", "value", "first_usable_timestamp"
         ),
@@ -41,6 +42,11 @@ def known_at_events(spark: SparkSession, folder: str) -> DataFrame:
         tie="row_id",
         deleted=F.col("value").isNull(),
     )
+
+
+def known_at_events(spark: SparkSession, folder: str) -> DataFrame:
+    """(event_id, observation_period, value, known_from): all periods each event knew."""
+    intervals = vintage_intervals(spark, folder)
     events = table(spark, folder, "event_cutoff").select("event_id", *KEYS, "state_cutoff_timestamp")
     return asof.as_of(events, intervals, KEYS, "state_cutoff_timestamp").select(
         "event_id", "observation_period", "value", "known_from"
@@ -80,11 +86,13 @@ QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY a.observation_period
 
 
 def _yearly(spark: SparkSession, folder: str, log: bool) -> DataFrame:
-    found = asof.lagged_change(
-        known_at_events(spark, folder), ["event_id"], "observation_period", "value", "known_from", log=log
-    )
+    changes = asof.change_versions(vintage_intervals(spark, folder), KEYS, "observation_period", "value", log=log)
+    found = known.as_known(
+        table(spark, folder, "event_cutoff"), changes, KEYS, event_id="event_id", event_time="state_cutoff_timestamp",
+        change_time="at", period="observation_period", value="change", tie="tie",
+    )
     return found.select(
-        "event_id", "observation_period", F.round("change", 8).alias("change"), F.unix_micros("known_at").alias("known_at_us")
+        "event_id", "observation_period", F.round("change", 8).alias("change"), F.col("tie").alias("known_at_us")
     )
 
 
@@ -172,12 +180,10 @@ GROUP BY ALL""")
 def step_function_validation(spark: SparkSession, folder: str) -> DataFrame:
     """Each observed rate against the step in force on its month (inclusive)."""
     rates = panel(spark, folder).where((F.col("series_id") == "MM_POLICY_RATE") & F.col("value").isNotNull())
-    until = F.lead("effective").over(Window.partitionBy("panel_id").orderBy("effective"))
-    spans = _rate_steps(spark, folder).withColumn("until", until).withColumnRenamed("panel_id", "_panel")
-    inside = (F.col("_panel") == F.col("panel_id")) & (F.col("effective") <= F.col("month")) & (
-        F.col("until").isNull() | (F.col("month") < F.col("until"))
+    held = asof.step_function(
+        rates, _rate_steps(spark, folder), ["panel_id"], decision="month", effective="effective", inclusive=True, unmatched=True
     )
-    return rates.join(spans, inside, "left").groupBy("panel_id").agg(
+    return held.groupBy("panel_id").agg(
         F.count("*").alias("n_months"),
         F.count(F.when(~F.col("value").eqNullSafe(F.col("rate")), 1)).alias("n_conflicts"),
     )
@@ -356,13 +362,13 @@ FROM ends GROUP BY ALL""")
 def value_revision_summary(spark: SparkSession, folder: str) -> DataFrame:
     """How far the last version of a value is from its first."""
     change = F.col("last_value") - F.col("first_value")
-    return _revised(spark, folder).groupBy("series_id").agg(
+    moved = written(_revised(spark, folder).select("series_id", change.alias("change"), F.abs(change).alias("size")), "revisions")
+    quantiles = statistics.quantiles(moved, ["series_id"], "size", {"median_abs": 0.5, "p90_abs": 0.9})
+    return moved.groupBy("series_id").agg(
         F.count("*").alias("n_periods"),
-        F.round(F.avg(change), 4).alias("mean_revision"),
-        F.round(F.percentile(F.abs(change), 0.5), 4).alias("median_abs"),
-        F.round(F.percentile(F.abs(change), 0.9), 4).alias("p90_abs"),
-        F.round(F.max(F.abs(change)), 4).alias("max_abs"),
-    )
+        F.round(F.avg("change"), 4).alias("mean_revision"),
+        F.round(F.max("size"), 4).alias("max_abs"),
+    ).join(quantiles, "series_id").withColumns({c: F.round(c, 4) for c in ("median_abs", "p90_abs")})
 
 
 @R.query(_REVISED_SQL + """

@@ -9,6 +9,7 @@ from aforetime.operators import panels, statistics
 from aforetime.plans.registry import Registry
 from aforetime.plans.views import PANEL_SQL, PRICES_SQL, monthly_prices, panel
 from aforetime.sources.tables import table
+from aforetime.storage import written
 
 R = Registry()
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
@@ -172,12 +173,10 @@ SELECT series_id, count(*) AS n_moves, round(quantile_cont(abs(move), 0.1), 6) A
 FROM changes WHERE move IS NOT NULL GROUP BY ALL""")
 def drift_summary(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles of absolute moves per series."""
-    move = F.abs(F.col("move"))
-    return _changes(spark, folder).where(F.col("move").isNotNull()).groupBy("series_id").agg(
-        F.count("*").alias("n_moves"),
-        F.round(F.percentile(move, 0.1), 6).alias("p10"), F.round(F.percentile(move, 0.5), 6).alias("p50"),
-        F.round(F.percentile(move, 0.9), 6).alias("p90"), F.round(F.max(move), 4).alias("largest"),
-    )
+    moves = written(_changes(spark, folder).where(F.col("move").isNotNull()).select("series_id", F.abs("move").alias("move")), "moves")
+    quantiles = statistics.quantiles(moves, ["series_id"], "move", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    summed = moves.groupBy("series_id").agg(F.count("*").alias("n_moves"), F.round(F.max("move"), 4).alias("largest"))
+    return summed.join(quantiles, "series_id").withColumns({c: F.round(c, 6) for c in ("p10", "p50", "p90")})
 
 
 @R.query(f"""WITH {_CHANGES_SQL},

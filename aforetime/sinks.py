@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aforetime.sources.files import file_hashes
+from aforetime.sources.files import file_hashes, relative_path
 
 
 def write_once(df: DataFrame, path: str, *, kind: str = "parquet", partition_by: tuple[str, ...] = ()) -> None:
@@ -16,11 +16,9 @@ def write_once(df: DataFrame, path: str, *, kind: str = "parquet", partition_by:
 
 def manifest(df: DataFrame, path: str) -> DataFrame:
     """(relative_path, length, sha256) of the data files that a write left under `path`."""
-    files = file_hashes(df.sparkSession, path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return files.where(~name.startswith("_") & ~name.startswith(".")).select(
-        name.alias("relative_path"), "length", "sha256"
-    )
+    files = file_hashes(df.sparkSession, path).withColumn("relative_path", relative_path(df.sparkSession, path))
+    hidden = F.col("relative_path").rlike(r"(^|/)[_.][^/]*$")
+    return files.where(~hidden).select("relative_path", "length", "sha256")
 
 
 def canonical_lines(df: DataFrame, order: list[str]) -> DataFrame:

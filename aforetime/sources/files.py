@@ -15,12 +15,6 @@ from pyspark.sql import types as T
 
 # Spellings of a missing number.
 MISSING_NUMBERS = ("", "-", "--", ":", "NA", "NaN", "nan")
-# The columns of a panel file, in order.
-PANEL_FIELDS = (
-    "panel_id", "origin_month", "origin_timestamp", "series_id", "observation_period", "usable_timestamp",
-    "transformed_value", "is_missing", "missing_reason", "source_response_sha256",
-)
-
 
 class SchemaMismatch(ValueError):
     """A file's header isn't the declared one."""
@@ -28,19 +22,14 @@ class SchemaMismatch(ValueError):
 
 def csv_texts(spark: SparkSession, path: str, fields: tuple[str, ...]) -> DataFrame:
     """A headed CSV file or folder as texts; every file's header must be `fields` in order (a byte order mark is allowed)."""
-    first = spark.read.option("wholetext", False).text(path).withColumn("file", F.input_file_name())
-    heads = (
-        first.where(
-            F.regexp_replace(F.split("value", ",")[0], "^﻿", "") == fields[0]
-        ).groupBy("file").agg(F.first("value").alias("head"))
-    )
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"))
+    is_head = F.regexp_replace(F.split("value", ",")[0], "^﻿|\"", "") == fields[0]
+    heads = lines.groupBy("file").agg(F.first(F.when(is_head, F.col("value")), ignorenulls=True).alias("head"))
     wanted = ",".join(fields)
-    wrong = heads.where(
-        F.regexp_replace(F.regexp_replace("head", "^﻿", ""), '"|\\s+$', "") != wanted
-    ).limit(1).collect()
-    n_files = first.agg(F.count_distinct("file")).first()[0]
-    if wrong or heads.count() < n_files:
-        raise SchemaMismatch(f"header differs from {wanted}: {wrong[0]['head'] if wrong else 'missing'}")
+    clean = F.regexp_replace("head", '^﻿|"|\\s+$', "")
+    wrong = heads.where(~clean.eqNullSafe(F.lit(wanted))).limit(1).collect()
+    if wrong or not lines.limit(1).count():
+        raise SchemaMismatch(f"header differs from {wanted}: {wrong[0]['head'] if wrong and wrong[0]['head'] else 'missing'}")
     schema = T.StructType([T.StructField(f, T.StringType()) for f in fields])
     return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
 
@@ -101,17 +90,29 @@ def file_hashes(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
+def relative_path(spark: SparkSession, folder: str) -> Column:
+    """The `path` column without the folder that a scan began at."""
+    held = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    root = held.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(held).toUri().getPath()
+    bare = F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", "")
+    return F.when(bare.startswith(f"{root.rstrip('/')}/"), F.substr(bare, F.lit(len(root.rstrip("/")) + 2))).otherwise(bare)
+
+
 def verify_inventory(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
-    """(relative_path, failure) of manifest entries (relative_path, length, sha256) that are missing or differ."""
-    found = file_hashes(spark, folder).withColumn("relative_path", F.element_at(F.split("path", "/"), -1))
+    """(relative_path, failure) of manifest entries (relative_path, length, sha256) that are missing, differ or are repeated."""
+    found = file_hashes(spark, folder).withColumn("relative_path", relative_path(spark, folder))
     found = found.select("relative_path", F.col("length").alias("_n"), F.col("sha256").alias("_h"))
     failure = (
-        F.when(F.col("relative_path").rlike(r"(^/|\.\.)"), "path_escape")
+        F.when(F.col("relative_path").rlike(r"(^/|(^|/)\.\.(/|$))"), "path_escape")
+        .when(F.col("_rows") > 1, "repeated")
         .when(F.col("_h").isNull(), "missing")
         .when(F.col("_n") != F.col("length"), "size")
         .when(F.lower("_h") != F.lower("sha256"), "hash")
     )
-    return manifest.join(found, "relative_path", "left").withColumn("failure", failure).where("failure is not null").select("relative_path", "failure")
+    entries = manifest.groupBy("relative_path").agg(
+        F.count("*").alias("_rows"), F.min("length").alias("length"), F.min("sha256").alias("sha256")
+    )
+    return entries.join(found, "relative_path", "left").withColumn("failure", failure).where("failure is not null").select("relative_path", "failure")
 
 
 def archive_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:

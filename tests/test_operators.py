@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aforetime.functions.months import clean_month
 from aforetime.operators import (
-    asof, grid, history, kernels, known, large_sources, panels, profile, rolling, snapdiff, spikes,
+    asof, grid, history, kernels, known, large_sources, panels, profile, rolling, snapdiff, spikes, statistics,
 )
 from aforetime import storage
 from aforetime.storage import ordered_blocks
@@ -556,3 +556,51 @@ def test_neighbour_among(spark):
         for r in found:
             near = [t for k, t, ok in rows if ok and k == r["k"] and (t > r["t"] if after else t < r["t"])]
             assert (r["n"] and r["n"]["t"]) == ((min if after else max)(near) if near else None)
+
+
+def test_state_at_an_instant_folds_from_the_nearest_checkpoint(spark):
+    draw = random.Random(8)
+    rows = [
+        (i, draw.choice(["hot", "hot", "a", None]), draw.choice([None, 1.0, 2.0, 3.0]), at(draw.randint(0, 200)), draw.choice(["Delete", "Replace", None]))
+        for i in range(400)
+    ]
+    df = spark.createDataFrame(rows, "row_id long, k string, value double, usable_at timestamp, action string")
+    store = history.delta_store(df, ["k"], checkpoint_every=4)
+    whole = history.history(df, ["k"], checkpoint_every=4).collect()
+    for hour in (0, 57, 133, 250):
+        found = {(r["k"], r["value"], r["is_missing"]) for r in history.state_at(store, ["k"], F.lit(at(hour))).collect()}
+        moment = at(hour)
+        utc = lambda t: t and t.astimezone(timezone.utc)
+        assert found == {
+            (r["k"], r["value"], r["is_missing"]) for r in whole
+            if utc(r["valid_from"]) <= moment and (r["valid_to"] is None or moment < utc(r["valid_to"]))
+        }
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_steps_are_carried_forward_over_blocks(spark, inclusive):
+    draw = random.Random(9)
+    decisions = [(i, draw.choice(["hot", "hot", "a", None]), draw.choice([None, *range(80)])) for i in range(300)]
+    steps = [(draw.choice(["hot", "a", None]), t, float(t)) for t in range(0, 80, 3)]
+    d = spark.createDataFrame(decisions, "i long, k string, cut int")
+    s = spark.createDataFrame(steps, "k string, t int, v double")
+    found = asof.step_function(d, s, ["k"], decision="cut", effective="t", inclusive=inclusive, unmatched=True)
+    for r in found.collect():
+        known_steps = [
+            v for k, t, v in steps
+            if k is not None and k == r["k"] and r["cut"] is not None and (t <= r["cut"] if inclusive else t < r["cut"])
+        ]
+        assert r["v"] == (max(known_steps) if known_steps else None)
+    assert found.count() == len(decisions)
+
+
+def test_quantiles_of_a_hot_group(spark):
+    rng = np.random.default_rng(1)
+    rows = [("hot", float(v)) for v in np.round(rng.normal(size=500), 1)] + [("a", 1.0), ("a", None), (None, 2.0), ("b", 1.0), ("b", 2.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    found = {r["k"]: (r["lo"], r["hi"]) for r in statistics.quantiles(df, ["k"], "x", {"lo": 0.1, "hi": 0.9}).collect()}
+    hot = [v for k, v in rows if k == "hot"]
+    assert found == {
+        "hot": (pytest.approx(np.quantile(hot, 0.1)), pytest.approx(np.quantile(hot, 0.9))), "a": (1.0, 1.0),
+        "b": (pytest.approx(1.1), pytest.approx(1.9)),
+    }

@@ -146,3 +146,19 @@ def test_workbook_cells(spark, tmp_path):
     assert {tuple(r) for r in rows} == {
         ("One", 0, 0, "date"), ("One", 0, 27, "value"), ("One", 2, 0, "4.5"), ("One", 2, 1, "x")
     }
+
+
+def test_nested_files_keep_their_paths(spark, tmp_path):
+    for part in ("a", "b/c"):
+        (tmp_path / "in" / part).mkdir(parents=True)
+        (tmp_path / "in" / part / "x.csv").write_text(part)
+    listed = files.file_hashes(spark, str(tmp_path / "in")).select(
+        files.relative_path(spark, str(tmp_path / "in")).alias("relative_path"), "length", "sha256"
+    )
+    assert {r[0] for r in listed.collect()} == {"a/x.csv", "b/c/x.csv"}
+    assert files.verify_inventory(spark, str(tmp_path / "in"), listed).count() == 0
+    twice = listed.unionByName(listed.where("relative_path = 'a/x.csv'"))
+    assert [tuple(r) for r in files.verify_inventory(spark, f"file://{tmp_path}/in/", twice).collect()] == [("a/x.csv", "repeated")]
+    df = spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
+    sinks.write_once(df, str(tmp_path / "out"), partition_by=("v",))
+    assert {r[0].split("/")[0] for r in sinks.manifest(df, str(tmp_path / "out")).collect()} == {"v=b", "v=c"}
