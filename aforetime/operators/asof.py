@@ -51,6 +51,16 @@ def as_of(decisions: DataFrame, intervals: DataFrame, on: Sequence[str], decisio
     return decisions.join(intervals, list(on)).where(known)
 
 
+def level_versions(intervals: DataFrame, keys: Sequence[str], period: str, value: str) -> DataFrame:
+    """(keys, period, at, value, tie): the values of intervals as changes for `known.as_known`, withdrawn by a null at their end."""
+    held = intervals.where(F.col(value).isNotNull())
+    starts = held.select(*keys, period, F.col("known_from").alias("at"), F.col(value).alias("value"), F.unix_micros("known_from").alias("tie"))
+    ends = held.where(F.col("known_to").isNotNull()).select(
+        *keys, period, F.col("known_to").alias("at"), F.lit(None).cast("double").alias("value"), F.lit(-(2**62)).cast("bigint").alias("tie")
+    )
+    return starts.unionByName(ends)
+
+
 def change_versions(
     intervals: DataFrame, keys: Sequence[str], period: str, value: str, *, months: int = 12, log: bool = False
 ) -> DataFrame:
