@@ -1,7 +1,9 @@
 """Expanding and rolling histories that never include the current row.
 
-Windows are per series and ordered by time, so a series is one task; series
-are rows per period, a few hundred each.
+The windows of histories are per series and ordered by time, so a series is one
+task; series are rows per period, a few hundred each. Episodes and sessions run
+over raw events, of which one group may hold any share: they are cut by running
+sums in blocks.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from aforetime.storage import neighbour, ordered_blocks, running_sums, written
+
 MIN_SCALE = 1e-8
 MIN_VARIANCE = 0.05
 
@@ -69,29 +73,46 @@ def breach_episodes(
     episode. Null flags count as stable.
     """
     keys = list(group)
-    w = Window.partitionBy(*keys).orderBy(order)
-    flagged = panel.select(*keys, order, F.coalesce(breach, F.lit(False)).alias("_b"))
-    numbered = flagged.withColumn("_i", F.row_number().over(w)).withColumn(
-        "_n", F.count("*").over(Window.partitionBy(*keys))
+    one = F.lit(1).cast("bigint")
+    flagged = panel.select(*keys, order, F.coalesce(breach, F.lit(False)).alias("_b")).withColumns(
+        {"_one": one, "_hit": F.col("_b").cast("bigint")}
     )
-    run_id = F.col("_i") - F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(order))
-    runs = numbered.withColumn("_run", run_id)
-    run_window = Window.partitionBy(*keys, "_b", "_run")
-    sized = runs.withColumn("_size", F.count("*").over(run_window)).withColumn("_at", F.min("_i").over(run_window))
-    separator = ~F.col("_b") & (F.col("_size") >= recovery)
-    segment = F.sum((separator & (F.col("_i") == F.col("_at"))).cast("int")).over(w)
-    cut = sized.withColumn("_segment", segment).where(~separator)
-    opens = F.min(
-        F.when(F.col("_b") & (F.col("_size") >= onset), F.col("_i"))
-    ).over(Window.partitionBy(*keys, "_segment"))
-    total = F.max("_i").over(Window.partitionBy(*keys, "_segment"))
-    inside = cut.withColumn("_open", opens).withColumn("_end", total).where(F.col("_i") >= F.col("_open"))
+    numbered = running_sums(flagged, keys, [order], {"_i": "_one", "_upto": "_hit"}, "breaches")
+    # constant along a run: the rows of the other kind so far
+    run = F.when(F.col("_b"), F.col("_i") - F.col("_upto")).otherwise(F.col("_upto"))
+    runs = numbered.groupBy(*keys, "_b", run.alias("_run")).agg(
+        F.count("*").alias("_size"), F.min("_i").alias("_at"), F.max("_i").alias("_end"),
+        F.min(order).alias("first"), F.max(order).alias("last"),
+    )
+    separates = (~F.col("_b") & (F.col("_size") >= recovery)).cast("bigint")
+    segments = written(running_sums(runs.withColumn("_sep", separates), keys, ["_at"], {"_segment": "_sep"}, "segments"), "segments")
+    opens = (F.col("_b") & (F.col("_size") >= onset)).cast("bigint")
+    cut = segments.where("_sep = 0").withColumn("_opens", opens)
+    inside = running_sums(cut, [*keys, "_segment"], ["_at"], {"_opened": "_opens"}, "episodes").where("_opened > 0")
     found = inside.groupBy(*keys, "_segment").agg(
-        F.min(order).alias("first"), F.max(order).alias("last"), F.sum(F.col("_b").cast("bigint")).alias("n_breaches"),
-        F.max("_end").alias("_end"), F.max("_n").alias("_n"),
+        F.min("first").alias("first"), F.max("last").alias("last"),
+        F.sum(F.when(F.col("_b"), F.col("_size")).otherwise(0)).alias("n_breaches"), F.max("_end").alias("_end"),
     )
-    episode = F.row_number().over(Window.partitionBy(*keys).orderBy("first"))
-    return found.select(
-        *keys, episode.alias("episode"), "first", "last", "n_breaches",
-        (F.col("_end") == F.col("_n")).alias("is_open")
+    counted = running_sums(found.withColumn("_one", one), keys, ["first"], {"episode": "_one"}, "numbers")
+    sizes = segments.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max("_end").alias("_n"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return counted.join(sizes, same).select(
+        *keys, "episode", "first", "last", "n_breaches", (F.col("_end") == F.col("_n")).alias("is_open")
+    )
+
+
+def sessions(rows: DataFrame, group: Sequence[str], at: str, gap: str) -> DataFrame:
+    """(group, session, first, last, n): rows of a group that follow each other in less than the interval `gap`.
+
+    Rows without time or with a null in the group are left out.
+    """
+    keys = list(group)
+    blocks = ordered_blocks(rows.select(*keys, at).dropna().groupBy(*keys, at).agg(F.count("*").alias("_n")), [*keys, at], "sessions")
+    before = neighbour(blocks, keys, [at], [at], after=False, name="_before")
+    fresh = F.col("_before").isNull() | (F.col(at) >= F.col(f"_before.{at}") + F.expr(f"interval {gap}"))
+    marked = before.select(*keys, at, "_n", fresh.cast("bigint").alias("_fresh"))
+    return running_sums(marked, keys, [at], {"session": "_fresh"}, "sessions").groupBy(*keys, "session").agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.sum("_n").alias("n")
     )

@@ -148,10 +148,7 @@ def negative_controls(spark: SparkSession, folder: str) -> DataFrame:
     FROM (SELECT *, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events)) GROUP BY ALL) GROUP BY ALL""")
 def activity_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions separated by six hours of silence."""
-    sessions = table(spark, folder, "events").groupBy(
-        "user_id", F.session_window("ts", "6 hours")
-    ).agg(F.count("*").alias("n"))
-    return sessions.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
+    return rolling.sessions(table(spark, folder, "events"), ["user_id"], "ts", "6 hours").groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
 
 
 @R.query(f"""WITH {PRICES_SQL}, q AS (SELECT month, series, row_number() OVER (PARTITION BY series ORDER BY month) AS t, value FROM prices),

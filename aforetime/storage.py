@@ -156,10 +156,10 @@ def running_sums(
     totals = blocks.groupBy(BLOCK, *group).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in columns.items()])
     earlier = Window.partitionBy(*group).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
-        F.col(BLOCK).alias("_b"), *[F.col(g).alias(f"_g_{g}") for g in group],
+        F.col(BLOCK).alias("_of_blk"), *[F.col(g).alias(f"_g_{g}") for g in group],
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_t_{n}") for n in columns],
     )
-    same = F.col("_b") == F.col(BLOCK)
+    same = F.col("_of_blk") == F.col(BLOCK)
     for g in group:
         same = same & F.col(f"_g_{g}").eqNullSafe(F.col(g))
     inside = Window.partitionBy(BLOCK, *group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
