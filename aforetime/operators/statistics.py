@@ -65,6 +65,23 @@ def gram(wide: DataFrame, columns: Sequence[str], group: Sequence[str] = ()) ->
     return sums.select(*group, F.explode(cells).alias("m")).select(*group, "m.i", "m.j", "m.moment")
 
 
+def kernel_sizes(observations: DataFrame, group: Sequence[str], at: str, bandwidth: float) -> DataFrame:
+    """(group, at, n, effective_size): how many observations lie around each month of a group under a Gaussian kernel.
+
+    `at` is a month index. Observations are counted per month first, so a group
+    meets itself once per pair of months, however many observations it has.
+    Rows with a null group or month are left out.
+    """
+    keys = list(group)
+    counts = written(observations.dropna(subset=[*keys, at]).groupBy(*keys, at).agg(F.count("*").alias("_n")), "months")
+    around = counts.select(*keys, F.col(at).alias("_at"), F.col("_n").alias("_m"))
+    weight = F.exp(-0.5 * F.pow((F.col("_at") - F.col(at)) / bandwidth, 2))
+    summed = counts.join(around, keys).groupBy(*keys, at).agg(
+        F.max("_n").alias("n"), F.sum(F.col("_m") * weight).alias("_w"), F.sum(F.col("_m") * weight * weight).alias("_ww")
+    )
+    return summed.select(*keys, at, "n", (F.col("_w") ** 2 / F.col("_ww")).alias("effective_size"))
+
+
 def quantiles(df: DataFrame, group: Sequence[str], column: str, wanted: dict[str, float]) -> DataFrame:
     """(group, a column per wanted quantile): exact, interpolated between neighbours, nulls left out.
 

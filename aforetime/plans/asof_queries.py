@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -108,7 +110,9 @@ def yoy_log_walkback(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.query(f"""WITH {VERSIONS_SQL},
 spans AS (SELECT *, lead(usable_at) OVER (PARTITION BY ref_area, series_id, period ORDER BY usable_at) AS known_to FROM versions),
-origins AS (SELECT CAST(unnest(generate_series(DATE '2006-01-01', DATE '2017-01-01', INTERVAL 1 YEAR)) AS DATE) AS origin)
+origins AS (SELECT CAST(unnest(generate_series(CAST(date_trunc('year', make_timestamp(epoch_us(min(usable_at)))) + INTERVAL 1 YEAR AS DATE),
+                                               CAST(date_trunc('year', make_timestamp(epoch_us(max(usable_at)))) + INTERVAL 1 YEAR AS DATE), INTERVAL 1 YEAR)) AS DATE) AS origin
+            FROM versions)
 SELECT o.origin, s.ref_area, s.series_id, count(*) AS n_periods, max(s.period) AS last_period, round(sum(s.value), 4) AS sum_value
 FROM spans s JOIN origins o ON epoch_us(s.usable_at) < epoch_us(CAST(o.origin AS TIMESTAMP))
   AND (s.known_to IS NULL OR epoch_us(CAST(o.origin AS TIMESTAMP)) <= epoch_us(s.known_to))
@@ -119,7 +123,9 @@ def asof_versioned_delete(spark: SparkSession, folder: str) -> DataFrame:
     spans = asof.validity_intervals(
         versions(spark, folder), keys, at="usable_at", tie="row_id", deleted=F.col("is_delete")
     )
-    years = F.sequence(F.lit("2006-01-01").cast("date"), F.lit("2017-01-01").cast("date"), F.expr("interval 1 year"))
+    ends = table(spark, folder, "versioned_value").agg(F.year(F.min("usable_at")), F.year(F.max("usable_at"))).first()
+    first, last = (date(year + 1, 1, 1) if year else None for year in ends)
+    years = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 year"))
     # a version meets the year starts inside its interval, no join is needed
     origin = F.explode(
         F.filter(

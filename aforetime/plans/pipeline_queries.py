@@ -21,6 +21,10 @@ ZONE = "Europe/Berlin"
 CHANGE_UNITS = ("EUR_MN", "INDEX")
 STALE_MONTHS = 3
 UNMAPPED, LOOKBACK, NEVER = MISSING_REASONS
+# Timing classes of series.
+REPLAY, LAGGED, FORWARD, INELIGIBLE = "A_REPLAY_ELIGIBLE", "B_RELEASE_LAG_ELIGIBLE", "C_BUILD_FORWARD_ONLY", "D_INELIGIBLE"
+#: Versions within so many days of their period show that a series was dated as it came out.
+PROMPT_DAYS = 7
 
 
 def _members_sql(source: str) -> str:
@@ -198,10 +202,10 @@ def timing_classes(spark: SparkSession, folder: str) -> DataFrame:
     counted = rows.groupBy("series_id").agg(F.count("*").alias("n_rows"), F.count("day").alias("n_dated"), delay.alias("largest_delay"))
     e = F.col("expected")
     observed = (
-        F.when(e.isin("C_BUILD_FORWARD_ONLY", "D_INELIGIBLE", "B_RELEASE_LAG_ELIGIBLE"), e)
-        .when(e == "A_REPLAY_ELIGIBLE", F.when(F.col("n_dated") == F.col("n_rows"), e).otherwise("D_INELIGIBLE"))
-        .when(F.col("largest_delay") <= 7, "A_REPLAY_ELIGIBLE")
-        .otherwise("B_RELEASE_LAG_ELIGIBLE")
+        F.when(e.isin(FORWARD, INELIGIBLE, LAGGED), e)
+        .when(e == REPLAY, F.when(F.col("n_dated") == F.col("n_rows"), e).otherwise(INELIGIBLE))
+        .when(F.col("largest_delay") <= PROMPT_DAYS, REPLAY)
+        .otherwise(LAGGED)
     )
     return counted.join(small_side(expected), "series_id", "left").withColumn("observed", observed)
 
@@ -343,6 +347,18 @@ def two_sided_support(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@R.query("""WITH m AS (SELECT o_orderpriority AS state, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS month, count(*) AS n FROM orders GROUP BY ALL)
+SELECT a.state, a.month, any_value(a.n) AS n, round(sum(b.n * exp(-0.5 * ((b.month - a.month) / 6.0) ** 2)) ** 2
+       / sum(b.n * exp(-0.5 * ((b.month - a.month) / 6.0) ** 2) ** 2), 5) AS effective_size
+FROM m a JOIN m b ON b.state = a.state GROUP BY a.state, a.month""")
+def kernel_local_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """Effective number of orders around each month of each priority under a kernel of half a year."""
+    rows = table(spark, folder, "orders").select(
+        F.col("o_orderpriority").alias("state"), (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).cast("bigint").alias("month")
+    )
+    return statistics.kernel_sizes(rows, ["state"], "month", 6.0).withColumn("effective_size", F.round("effective_size", 5))
+
+
 def posterior(observed: Column, prevalence: Column, error: float) -> Column:
     """Chance of the true state given an observed one that is wrong with probability `error` either way."""
     right, wrong = prevalence * (1 - error), (1 - prevalence) * error

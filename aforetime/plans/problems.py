@@ -75,6 +75,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).where(F.col("instant_us").isNotNull())
 
 
+# The columns of a panel row.
 PANEL_COLUMNS = (
     "panel_id", "origin_month", "origin_timestamp", "series_id", "observation_period", "usable_timestamp",
     "transformed_value", "is_missing", "missing_reason", "source_response_sha256",

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DATE = re.compile(r"\d{1,2} [A-Z][a-z]+ \d{4}")
+# Fixed value: how many texts before a title its date may stand.
 LOOK_BACK = 24
 
 
@@ -66,13 +67,12 @@ def release_dates(pages: DataFrame, title: str, *, key: str = "page_id", html: s
             for page, text in zip(batch[key], batch[html], strict=True):
                 parser = _Texts()
                 parser.feed(text or "")
+                latest, seen = None, 0
                 for i, token in enumerate(parser.texts):
-                    if (found := wanted.fullmatch(token)) and (
-                        day := next(
-                            (t for t in reversed(parser.texts[max(0, i - LOOK_BACK) : i]) if _DATE.fullmatch(t)), None
-                        )
-                    ):
-                        out.append((page, found[1], day))
+                    if _DATE.fullmatch(token):
+                        latest, seen = token, i
+                    elif (found := wanted.fullmatch(token)) and latest and i - seen <= LOOK_BACK:
+                        out.append((page, found[1], latest))
             yield pd.DataFrame(out, columns=[key, "period_text", "day_text"])
 
     kind = pages.schema[key].dataType.simpleString()
@@ -117,3 +117,34 @@ def effective_rates(pages: DataFrame, *, key: str = "page_id", html: str = "html
     rate = F.translate("2", "−–", "--").try_cast("decimal(9,4)")
     typed = wide.select(key, effective.cast("date").alias("effective"), rate.alias("rate"))
     return typed.where(F.col("effective").isNotNull() & F.col("rate").isNotNull())
+
+
+def archive_entries(pages: DataFrame, *, key: str = "page_id", html: str = "html") -> DataFrame:
+    """(key, entry_no, release_day, href, title, problem) of dated archive entries `<dt isoDate=…>date</dt> … title link`.
+
+    An entry reaches to the next `<dt`. `problem` is null, or `date` where the
+    attribute is missing, no date, or another one than the text shows, or
+    `title` where no title link follows. Pages without entries give no rows.
+    """
+    entry = F.col("entry")
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
+    parts = pages.select(key, F.posexplode(F.split(html, "(?i)<dt(?=[\\s>])")).alias("entry_no", "entry")).where("entry_no > 0")
+    iso = F.regexp_extract(entry, r"(?is)^[^>]*\bisodate\s*=\s*[\"']([0-9]{4}-[0-9]{2}-[0-9]{2})[\"']", 1)
+    shown = plain(F.regexp_extract(entry, "(?is)^[^>]*>(.*?)</dt>", 1))
+    link = r"(?is)<div\b[^>]*class\s*=\s*[\"'](?:[^\"']*\s)?title(?:\s[^\"']*)?[\"'][^>]*>\s*<a\b[^>]*href\s*=\s*[\"']([^\"']+)[\"'][^>]*>(.*?)</a>"
+    typed = parts.select(
+        key, "entry_no", F.try_to_timestamp(iso, F.lit("yyyy-MM-dd")).cast("date").alias("release_day"),
+        F.try_to_timestamp(shown, F.lit("d MMMM yyyy")).cast("date").alias("_shown"),
+        F.nullif(F.regexp_extract(entry, link, 1), F.lit("")).alias("href"), F.nullif(plain(F.regexp_extract(entry, link, 2)), F.lit("")).alias("title"),
+    )
+    same = F.col("release_day").isNotNull() & F.col("release_day").eqNullSafe(F.col("_shown"))
+    problem = F.when(~same, "date").when(F.col("href").isNull() | F.col("title").isNull(), "title")
+    return typed.withColumn("problem", problem).drop("_shown")
+
+
+def identifier_period(code: Column, release_day: Column) -> Column:
+    """First day of the month that a code YYMM names, if it ended before the release, in its year or the year before."""
+    year, month = F.substring(code, 1, 2).try_cast("int"), F.substring(code, 3, 2).try_cast("int")
+    full = F.when(F.year(release_day) % 100 == year, F.year(release_day)).when((F.year(release_day) - 1) % 100 == year, F.year(release_day) - 1)
+    first = F.when(code.rlike("^[0-9]{2}(0[1-9]|1[0-2])$"), F.make_date(full, month, F.lit(1)))
+    return F.when(F.last_day(first) < release_day, first)

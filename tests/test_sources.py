@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from aforetime import sinks
 from aforetime.functions import clocks
 from aforetime.sources import files, pages
+
 from aforetime.streaming import streams
 
 HEAD = "KEY,FREQ,TIME_PERIOD,OBS_VALUE,UNIT,ACTION,VALID_FROM,VALID_TO\n"
@@ -162,3 +163,19 @@ def test_nested_files_keep_their_paths(spark, tmp_path):
     df = spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string")
     sinks.write_once(df, str(tmp_path / "out"), partition_by=("v",))
     assert {r[0].split("/")[0] for r in sinks.manifest(df, str(tmp_path / "out")).collect()} == {"v=b", "v=c"}
+
+
+def test_archive_entries_and_identifier_periods(spark):
+    good = '<dt isoDate="2004-05-07">7 May 2004</dt><dd><div class="box title"><a href="/r0404.html">Report <b>one</b></a></div></dd>'
+    wrong = '<dt isodate="2004-06-08">9 June 2004</dt><dd><div class="title"><a href="/x">Two</a></div></dd>'
+    bare = '<DT isoDate="2004-07-09"> 9 July 2004 </DT><dd><div class="subtitle"><a href="/y">Three</a></div></dd>'
+    scanned = spark.createDataFrame([("p", f"<dl>{good}{wrong}{bare}<dtx></dl>"), ("q", "<p>none</p>"), ("r", None)], "page_id string, html string")
+    found = [tuple(r) for r in pages.archive_entries(scanned).orderBy("entry_no").collect()]
+    assert found == [
+        ("p", 1, date(2004, 5, 7), "/r0404.html", "Report one", None), ("p", 2, date(2004, 6, 8), "/x", "Two", "date"),
+        ("p", 3, date(2004, 7, 9), None, None, "title"),
+    ]
+    codes = [("0404", date(2004, 5, 7)), ("0405", date(2004, 5, 7)), ("0312", date(2004, 1, 9)), ("0212", date(2004, 1, 9)), ("0413", date(2005, 1, 1)), (None, None)]
+    df = spark.createDataFrame(codes, "c string, d date")
+    periods = [r[0] for r in df.select(pages.identifier_period(F.col("c"), F.col("d"))).collect()]
+    assert periods == [date(2004, 4, 1), None, date(2003, 12, 1), None, None, None]
