@@ -177,6 +177,60 @@ def change_points(value: np.ndarray, limit: float = 4.0, least: int = 12) -> np.
     return segment
 
 
+def _resampled(x: np.ndarray, draws: int, block: int, seed: list[int], circular: bool = True) -> np.ndarray:
+    """Resamples of x, one a row, made of blocks; blocks run on from the end to the start, or end where x does."""
+    last = len(x) if circular else max(1, len(x) - block + 1)
+    starts = np.random.default_rng(seed).integers(0, last, (draws, -(-len(x) // block)))
+    places = (starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, : len(x)]
+    return x[places % len(x)]
+
+
+def _upper_decile(rows: np.ndarray) -> np.ndarray:
+    """The interpolated 0.9 quantile of each row."""
+    at = 0.9 * (rows.shape[1] - 1)
+    low, high = int(at), min(int(at) + 1, rows.shape[1] - 1)
+    ranked = np.partition(rows, (low, high), axis=1)
+    return ranked[:, low] + (ranked[:, high] - ranked[:, low]) * (at - low)
+
+
+def block_intervals(
+    values: DataFrame, keys: Sequence[str], array: str, *, replicates: int, blocks: Sequence[int], seed: int,
+    level: float = 0.95, circular: bool = True,
+) -> DataFrame:
+    """(keys, block, n_draws, mean_low, mean_high, p90_low, p90_high): bootstrap intervals of each group's mean and upper decile.
+
+    `array` holds a group's values in order, a row per group and block length
+    is a unit of work. Only the ends of the intervals leave it, the replicates
+    don't. Empty arrays give no rows; the draws depend on the key alone.
+    """
+    keys = list(keys)
+    ends = [(1 - level) / 2, (1 + level) / 2]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for x, block, mix in zip(batch["_x"], batch["block"], batch["_mix"], strict=True):
+                x = np.asarray(x, dtype=float)
+                means, deciles = np.empty(replicates), np.empty(replicates)
+                for first in range(0, replicates, DRAWS):
+                    last = min(first + DRAWS, replicates)
+                    picked = _resampled(x, last - first, block, [seed + int(block), first, int(mix) & 0x7FFFFFFF], circular)
+                    means[first:last], deciles[first:last] = picked.mean(1), _upper_decile(picked)
+                rows.append((replicates, *np.quantile(means, ends), *np.quantile(deciles, ends)))
+            found = pd.DataFrame(rows, columns=["n_draws", "mean_low", "mean_high", "p90_low", "p90_high"])
+            yield pd.concat([batch[[*keys, "block"]].reset_index(drop=True), found], axis=1)
+
+    plan = values.where(F.size(array) > 0).select(
+        *keys, F.col(array).alias("_x"), F.xxhash64(*keys).alias("_mix"), F.explode(F.array(*map(F.lit, blocks))).alias("block")
+    )
+    # a row costs far more than its bytes suggest
+    cores = values.sparkSession.sparkContext.defaultParallelism
+    types = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in keys)
+    return plan.repartition(4 * cores).mapInPandas(
+        run, f"{types}, block int, n_draws bigint, mean_low double, mean_high double, p90_low double, p90_high double"
+    )
+
+
 def block_means(
     values: DataFrame, keys: Sequence[str], array: str, *, replicates: int, block: int, seed: int
 ) -> DataFrame:
@@ -195,10 +249,7 @@ def block_means(
                 x = np.asarray(x, dtype=float)
                 first = int(batch["_chunk"].iat[row]) * DRAWS
                 draws = min(DRAWS, replicates - first)
-                source = np.random.default_rng([seed, first, int(batch["_mix"].iat[row]) & 0x7FFFFFFF])
-                starts = source.integers(0, len(x), (draws, -(-len(x) // block)))
-                places = (starts[:, :, None] + np.arange(block)).reshape(draws, -1)[:, : len(x)] % len(x)
-                picked = x[places]
+                picked = _resampled(x, draws, block, [seed, first, int(batch["_mix"].iat[row]) & 0x7FFFFFFF])
                 part = pd.DataFrame({k: [batch[k].iat[row]] * draws for k in keys})
                 parts.append(
                     part.assign(

@@ -200,22 +200,7 @@ def block_bootstrap_ci(spark: SparkSession, folder: str) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("month", "value"))).alias("cells")
     )
     listed = listed.select(*SOURCE, F.transform("cells", lambda c: c["value"]).alias("x"))
-    ends = F.array(F.lit(0.025), F.lit(0.975))
-    draws = None
-    for block in BOOTSTRAP_BLOCKS:
-        some = kernels.block_means(listed, SOURCE, "x", replicates=BOOTSTRAP_DRAWS, block=block, seed=20_231 + block).withColumn(
-            "block", F.lit(block)
-        )
-        draws = some if draws is None else draws.unionByName(some)
-    return draws.groupBy(*SOURCE, "block").agg(
-        F.count("*").alias("n_draws"), F.percentile("mean", ends).alias("m"), F.percentile("p90", ends).alias("t")
-    ).select(
-        *SOURCE, "block", "n_draws",
-        *[
-            F.col(c)[i].alias(f"{n}_{e}") for c, n in (("m", "mean"), ("t", "p90")) for i,
-            e in enumerate(("low", "high"))
-        ]
-    )
+    return kernels.block_intervals(listed, SOURCE, "x", replicates=BOOTSTRAP_DRAWS, blocks=BOOTSTRAP_BLOCKS, seed=20_231)
 
 
 @R.query("""WITH s AS (SELECT l_shipmode AS g, x, y, avg(x) OVER w AS mx, avg(y) OVER w AS my, count(*) OVER w AS n FROM (

@@ -511,6 +511,21 @@ def test_block_bootstrap_is_repeatable_and_whole(spark):
     assert abs(np.mean(means) - 19.5) < 2 and np.std(means) > 1
 
 
+@pytest.mark.parametrize("circular", [True, False])
+def test_block_intervals_are_quantiles_of_the_replicates(spark, circular):
+    x = [float(v) for v in np.random.default_rng(2).normal(size=37)]
+    df = spark.createDataFrame([("a", [1.0] * 30), ("b", x), ("c", [])], "k string, x array<double>")
+    found = {(r["k"], r["block"]): r for r in kernels.block_intervals(df, ["k"], "x", replicates=150, blocks=(5, 12), seed=1, circular=circular).collect()}
+    assert set(found) == {("a", 5), ("a", 12), ("b", 5), ("b", 12)}
+    assert found["a", 5]["mean_low"] == found["a", 5]["p90_high"] == 1.0
+    if circular:
+        means = [r["mean"] for r in kernels.block_means(df, ["k"], "x", replicates=150, block=5, seed=6).where("k = 'b'").collect()]
+        assert found["b", 5]["mean_low"] == pytest.approx(np.quantile(means, 0.025))
+    assert found["b", 5]["mean_low"] < np.mean(x) < found["b", 5]["mean_high"]
+    wide = np.random.default_rng(3).normal(size=(5, 23))
+    assert kernels._upper_decile(wide) == pytest.approx(np.quantile(wide, 0.9, axis=1))
+
+
 def test_empty_tables_give_no_rows(spark):
     events = spark.createDataFrame([], "event_id string, k string, cut timestamp, value string")
     changes = spark.createDataFrame([], "row_id long, k string, period date, value double, seen timestamp, cut int")
