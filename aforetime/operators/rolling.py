@@ -84,15 +84,16 @@ def breach_episodes(
         F.count("*").alias("_size"), F.min("_i").alias("_at"), F.max("_i").alias("_end"),
         F.min(order).alias("first"), F.max(order).alias("last"),
     )
+    runs = written(runs, "runs")  # sorting by ranges reads its input twice
     separates = (~F.col("_b") & (F.col("_size") >= recovery)).cast("bigint")
     segments = written(running_sums(runs.withColumn("_sep", separates), keys, ["_at"], {"_segment": "_sep"}, "segments"), "segments")
     opens = (F.col("_b") & (F.col("_size") >= onset)).cast("bigint")
     cut = segments.where("_sep = 0").withColumn("_opens", opens)
     inside = running_sums(cut, [*keys, "_segment"], ["_at"], {"_opened": "_opens"}, "episodes").where("_opened > 0")
-    found = inside.groupBy(*keys, "_segment").agg(
+    found = written(inside.groupBy(*keys, "_segment").agg(
         F.min("first").alias("first"), F.max("last").alias("last"),
         F.sum(F.when(F.col("_b"), F.col("_size")).otherwise(0)).alias("n_breaches"), F.max("_end").alias("_end"),
-    )
+    ), "found")
     counted = running_sums(found.withColumn("_one", one), keys, ["first"], {"episode": "_one"}, "numbers")
     sizes = segments.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max("_end").alias("_n"))
     same = F.lit(True)

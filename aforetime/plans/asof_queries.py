@@ -88,7 +88,9 @@ QUALIFY row_number() OVER (PARTITION BY a.event_id ORDER BY a.observation_period
 
 
 def _yearly(spark: SparkSession, folder: str, log: bool) -> DataFrame:
-    changes = asof.change_versions(vintage_intervals(spark, folder), KEYS, "observation_period", "value", log=log)
+    # written, since sorting by ranges reads its input twice and a join reads it from two sides
+    intervals = written(vintage_intervals(spark, folder), "intervals")
+    changes = written(asof.change_versions(intervals, KEYS, "observation_period", "value", log=log), "changes")
     found = known.as_known(
         table(spark, folder, "event_cutoff"), changes, KEYS, event_id="event_id", event_time="state_cutoff_timestamp",
         change_time="at", period="observation_period", value="change", tie="tie",
