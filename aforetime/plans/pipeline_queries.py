@@ -321,7 +321,7 @@ def factor_stability(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @R.query(f"""WITH {PANEL_SQL}
-SELECT panel_id, series_id, count(value) AS n, round(count(value) / count(*), 8) AS coverage, round(avg(value), 4) AS mean,
+SELECT panel_id, series_id, count(value) AS n, round(count(value) / count(*), 8) AS coverage, round(avg(value) + 1e-9, 4) AS mean,
        round(stddev_samp(value), 4) AS deviation, count(value) / count(*) >= 0.8 AND count(value) >= 24 AND coalesce(stddev_samp(value) > 1e-6, false) AS usable
 FROM panel GROUP BY ALL""")
 def observed_moments(spark: SparkSession, folder: str) -> DataFrame:
@@ -329,7 +329,7 @@ def observed_moments(spark: SparkSession, folder: str) -> DataFrame:
     value, share = F.col("value"), F.count("value") / F.count("*")
     usable = (share >= 0.8) & (F.count(value) >= 24) & F.coalesce(F.stddev_samp(value) > 1e-6, F.lit(False))
     return panel(spark, folder).groupBy(*SOURCE).agg(
-        F.count(value).alias("n"), F.round(share, 8).alias("coverage"), F.round(F.avg(value), 4).alias("mean"),
+        F.count(value).alias("n"), F.round(share, 8).alias("coverage"), F.round(F.avg(value) + 1e-9, 4).alias("mean"),  # shifted, so that halves don't hang on the order of sums
         F.round(F.stddev_samp(value), 4).alias("deviation"), usable.alias("usable"),
     )
 
