@@ -3,7 +3,9 @@
 `delta_store` turns delivered versions into the list of an entity's state
 changes: every `checkpoint_every`-th change holds the whole state, the others
 only the attributes that changed. `fold` rebuilds the validity rows by carrying
-each attribute forward from the nearest checkpoint.
+each attribute forward from the nearest checkpoint. A later delivery is
+`appended`: only the entities it names are compared anew, and their changes
+make a new generation of the store.
 
 Defined results
 ---------------
@@ -22,12 +24,13 @@ Defined results
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aforetime.functions.numbers import bare, twelve_digits
-from aforetime.storage import BLOCK, neighbour, ordered_blocks, written
+from aforetime.storage import BLOCK, neighbour, ordered_blocks, small_side, written
 
 DELETED, MISSING, HELD = "deleted", "missing", "held"
 
@@ -125,6 +128,35 @@ def state_at(store: DataFrame, keys: Sequence[str], when: Column, *, at: str = "
     return folded.where(F.col("state") != DELETED).select(*keys, "value", (F.col("state") == MISSING).alias("is_missing"), "valid_from")
 
 
+def appended(
+    generations: Sequence[DataFrame], versions: DataFrame, delivered: DataFrame, keys: Sequence[str], *,
+    checkpoint_every: int = 16, **columns: str,
+) -> list[DataFrame]:
+    """The generations of a store (the first one a written delta_store) after a delivery.
+
+    `versions` is the log of all versions, those of `delivered` included. An
+    entity lies whole in one generation, so that late versions fall between
+    old ones: the delivery's entities are taken out of the generations so far
+    and stored anew from their part of the log. The others aren't read from
+    the log or compared again. Each delivery adds an anti join per generation
+    to the plan; a new delta_store over the log ends that.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    touched = delivered.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]).distinct()
+    touched = small_side(written(touched, "touched"))
+    same = F.lit(True)
+    for k, n in zip(keys, names, strict=True):
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    own = versions.join(touched, same, "left_semi")
+    newest = written(delta_store(own, keys, checkpoint_every=checkpoint_every, **columns), "deltas")
+    return [*[g.join(touched, same, "left_anti") for g in generations], newest]
+
+
+def fold_all(generations: Sequence[DataFrame], keys: Sequence[str], **options) -> DataFrame:
+    """The validity rows of all generations, each folded alone."""
+    return reduce(DataFrame.unionByName, [fold(g, keys, **options) for g in generations])
+
+
 def history(versions: DataFrame, keys: Sequence[str], *, checkpoint_every: int = 16, **columns: str) -> DataFrame:
     """delta_store, written to the shared folder, and fold."""
     store = written(delta_store(versions, keys, checkpoint_every=checkpoint_every, **columns), "deltas")

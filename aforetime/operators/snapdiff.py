@@ -94,7 +94,8 @@ def snapshot_changes(
 ) -> DataFrame:
     """(snapshot, key columns, change_kind) of every key that differs from the snapshot before.
 
-    `keys` gives each key column's name and its clean form, `value` is a number.
+    `keys` gives each key column's name and its clean form, `value` is a number
+    or a struct of the columns to compare (nulls in it equal each other).
     """
     names = list(keys)
     marked = [

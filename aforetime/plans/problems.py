@@ -327,6 +327,48 @@ UNION ALL
 SELECT 'load', CAST(s AS BIGINT), column_name FROM (SELECT * FROM texts UNION SELECT * FROM empties UNION SELECT * FROM moved)
 """
 
+_CELLS = "\n  UNION ALL ".join(
+    [
+        f"SELECT snapshot_no AS s, '{c}' AS column_name, CASE WHEN trim({c}) <> '' THEN {c} END AS cell, CAST(NULL AS DOUBLE) AS num FROM panel_snapshot"
+        for c in PANEL_COLUMNS
+    ]
+    + [f"SELECT snapshot_no, 'transformed_value#{kind}', NULL, {number} FROM numbers" for kind, number in (("number", "num"), ("magnitude", "abs(num)"))]
+)
+P4_PROFILE_SQL = f"""
+WITH numbers AS (
+  SELECT snapshot_no,
+         CASE WHEN regexp_full_match(trim(transformed_value), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?')
+              THEN CAST(trim(transformed_value) AS DOUBLE) END AS num
+  FROM panel_snapshot),
+cells AS ({_CELLS}),
+filled AS (
+  SELECT s, column_name, count(*) AS n_rows, count(cell) + count(num) AS n_filled,
+         count(DISTINCT cell) + count(DISTINCT num) AS n_distinct,
+         min(cell) AS min_text, max(cell) AS max_text, min(num) AS min_number, max(num) AS max_number
+  FROM cells GROUP BY ALL),
+quartiles AS (SELECT s, column_name, quantile_disc(num, [0.25, 0.5, 0.75]) AS q FROM cells WHERE num IS NOT NULL GROUP BY ALL),
+loads AS (SELECT s, lag(s) OVER (ORDER BY s) AS before FROM (SELECT DISTINCT s FROM cells)),
+shares AS (
+  SELECT c.s, c.column_name, c.cell, c.num, count(*) / any_value(f.n_filled) AS share
+  FROM cells c JOIN filled f USING (s, column_name) WHERE c.cell IS NOT NULL OR c.num IS NOT NULL GROUP BY ALL),
+signed AS (
+  SELECT l.s, x.column_name, x.cell, x.num, x.share AS d FROM loads l JOIN shares x ON x.s = l.s WHERE l.before IS NOT NULL
+  UNION ALL SELECT l.s, x.column_name, x.cell, x.num, -x.share FROM loads l JOIN shares x ON x.s = l.before),
+jumps AS (SELECT s, column_name, cell, num, sum(d) AS d FROM signed GROUP BY ALL),
+curves AS (SELECT *, sum(d) OVER (PARTITION BY s, column_name ORDER BY num, cell) AS gap FROM jumps),
+moves AS (SELECT s, column_name, max(abs(gap)) AS ks, max(abs(d)) AS jump FROM curves GROUP BY ALL)
+SELECT f.s AS snapshot_no, f.column_name, f.n_rows, 1 - f.n_filled / f.n_rows AS empty_share,
+       abs(f.n_filled / f.n_rows - b.n_filled / b.n_rows) AS empty_share_change, f.n_distinct,
+       f.min_text, f.max_text, f.min_number, f.max_number, q.q[1] AS q25, q.q[2] AS q50, q.q[3] AS q75, p.q[3] AS q75_before,
+       CASE WHEN l.before IS NOT NULL THEN coalesce(m.jump, 0) END AS value_share_change,
+       CASE WHEN l.before IS NOT NULL THEN coalesce(m.ks, 0) END AS ks_distance
+FROM filled f JOIN loads l ON l.s = f.s
+LEFT JOIN filled b ON b.s = l.before AND b.column_name = f.column_name
+LEFT JOIN quartiles q ON q.s = f.s AND q.column_name = f.column_name
+LEFT JOIN quartiles p ON p.s = l.before AND p.column_name = f.column_name
+LEFT JOIN moves m ON m.s = f.s AND m.column_name = f.column_name
+"""
+
 QUERIES = {
     "p1_found": p1_found,
     "p2_cases": p2_cases,
@@ -340,4 +382,4 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_grid": p7_grid,
 }
-ORACLES = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p5_as_of": P5_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}
+ORACLES = {"p1_found": P1_SQL, "p4_found": P4_SQL, "p4_profile": P4_PROFILE_SQL, "p5_as_of": P5_SQL, "p6_found": P6_SQL, "p7_found": P7_SQL}

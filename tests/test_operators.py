@@ -146,6 +146,12 @@ def test_snapshot_changes_against_brute_force(spark):
             elif held[old][k] != held[new][k]:
                 wanted.add((new, k, "changed"))
     assert {(r["snapshot_no"], r["k"], r["change_kind"]) for r in found} == wanted
+    # several columns are compared as a struct
+    pairs = [(1, 1, "a", "x", 0), (2, 1, "b", "x", 0), (3, 2, "a", "x", 1), (4, 2, "b", "x", 0)]
+    both = snapdiff.snapshot_changes(
+        spark.createDataFrame(pairs, SNAPSHOT), "snapshot_no", {"k": F.col("k")}, F.struct("v", "extra")
+    )
+    assert [tuple(r) for r in both.collect()] == [(2, "a", "changed")]
     assert snapdiff.snapshot_changes(
         spark.createDataFrame([], SNAPSHOT), "snapshot_no", {"k": F.col("k")}, F.lit(1.0)
     ).count() == 0
@@ -592,6 +598,29 @@ def test_state_at_an_instant_folds_from_the_nearest_checkpoint(spark):
         }
 
 
+def test_appending_deliveries_equals_storing_all_anew(spark):
+    draw = random.Random(11)
+    rows = [
+        (
+            i, draw.choice(["hot", "hot", "a", "b", "c", None]), draw.choice([None, 1.0, 1.0, 2.0]),
+            at(draw.choice([None, *range(120)])), draw.choice(["Delete", "Replace", None]), "x"
+        ) for i in range(500)
+    ]
+    # the deliveries name few keys; late rows, ties and repeated rows among them
+    first = [r for r in rows[:300] if r[1] != "c"]
+    later = [[r for r in rows[300:400] if r[1] in ("hot", None)], [r for r in rows[400:] if r[1] in ("a", "c", None)] + [r for r in first if r[1] == "a"][:5]]
+    keys, log = ["k"], spark.createDataFrame(first, VERSIONS)
+    generations = [storage.written(history.delta_store(log, keys, checkpoint_every=4), "deltas")]
+    for delivery in later:
+        delivered = spark.createDataFrame(delivery, VERSIONS)
+        log = log.unionByName(delivered)
+        generations = history.appended(generations, log, delivered, keys, checkpoint_every=4)
+    held = [{r[0] for r in g.select("k").distinct().collect()} for g in generations]
+    assert held == [{"b"}, {"hot"}, {"a", "c", None}]
+    got = history.fold_all(generations, keys, checkpoint_every=4).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, history.history(log, keys, checkpoint_every=4).collect()), key=str)
+
+
 @pytest.mark.parametrize("inclusive", [False, True])
 def test_steps_are_carried_forward_over_blocks(spark, inclusive):
     draw = random.Random(9)
