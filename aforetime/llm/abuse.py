@@ -13,7 +13,8 @@ gradients reach the segment that decides a document.
 
 The model is fitted on the driver, on a bounded sample: of each of the three
 kinds at most SAMPLE_AT_MOST documents and CHARACTERS_AT_MOST characters, whole
-documents with the lowest hashes. All documents are scored.
+documents of at most DOCUMENT_AT_MOST characters with the lowest hashes. All
+documents are scored.
 
 Defined results
 ---------------
@@ -44,6 +45,8 @@ from aforetime.storage import written
 SAMPLE_AT_MOST = 6_000
 #: Characters of their distinct segments, at most, of each kind.
 CHARACTERS_AT_MOST = 32_000_000
+#: Characters of the distinct segments of one document of the sample; larger ones aren't fitted on.
+DOCUMENT_AT_MOST = 2_000_000
 #: Words and pairs in fewer of those documents are no features.
 FEWEST_DOCUMENTS = 3
 #: Class prior: the share of toxic documents in the unlabelled part that the risk is corrected by.
@@ -52,6 +55,8 @@ EPOCHS = 60
 RATE = 0.5
 DECAY = 1e-5
 WINDOW = 24
+#: Added to a segment's number of features before its evidence is scaled by their root: few words alone are weak evidence.
+SMOOTHING = 3
 #: Score from which a document counts as toxic (a little below one half: better reviewed than missed).
 THRESHOLD = 0.45
 CACHED_SEGMENTS = 200_000
@@ -63,20 +68,22 @@ LOOKALIKES = str.maketrans(
 # Digits and signs written for letters.
 LEET = str.maketrans("@4031$5!7", "aaoeissit")
 
-_RUNS = re.compile(r"[^\n\r\"“”„«»|{}<>;]{5,}")
+_RUNS = re.compile(r"[^\n\r\"“”„«»|{}<>;]{2,}")
 _SENTENCE = re.compile(r"[.!?。！？]+(?=\s|$)|(?<=[。！？])|\s{3,}")
-_HAS_WORDS = re.compile(r"[^\W\d_]+[\W\d_]+[^\W\d_]{2,}|[぀-ヿ一-鿿]{3,}")
+# two letters with at most two other signs between: words, also spelt with blanks or digits
+_HAS_WORDS = re.compile(r"[^\W\d_][\W\d_]{0,2}[^\W\d_]")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?![^\W_])")
 _TOKEN = re.compile(r"[^\W\d_](?:[\w@$!*'’]*[^\W_])?")
 _RUN = re.compile(r"(.)\1+")
 _CJK = re.compile(r"[぀-ヿ一-鿿]")
-_DIGITS = re.compile(r"\d+")
+# numbers; digits beside letters may stand for letters
+_DIGITS = re.compile(r"(?<![^\W_])\d+(?![^\W_])")
 
 
 def cut(text: str) -> list[str]:
-    """Segments of a document that hold words, with digits as 0."""
+    """Segments of a document that hold words, with numbers as 0."""
     out = []
-    for run in _RUNS.findall(plain(text)):
+    for run in dict.fromkeys(_RUNS.findall(plain(text))):
         if _HAS_WORDS.search(run):
             out.extend(_SENTENCE.split(_DIGITS.sub("0", run)))
     return [s for s in out if s]
@@ -108,7 +115,7 @@ def windows(segment: str) -> Iterator[list[str]]:
     """A segment's words in stretches of at most WINDOW words, half overlapping."""
     words = tokens(segment)
     if len(words) <= WINDOW:
-        if len(words) >= 2:
+        if words:
             yield words
         return
     for start in range(0, len(words) - WINDOW // 2, WINDOW // 2):
@@ -131,7 +138,7 @@ class Model:
 
     def logit(self, words: list[str]) -> float:
         names = features(self.clear(words))
-        return sum(map(self.weights.get, names & self.weights.keys())) / len(names) ** 0.5 + self.bias
+        return sum(map(self.weights.get, names & self.weights.keys())) / (len(names) + SMOOTHING) ** 0.5 + self.bias
 
 
 def masks(words: Counter) -> dict[str, str]:
@@ -183,7 +190,7 @@ def fit(positive: list[list[str]], unlabelled: list[list[str]], prior: float = P
     names = [f for f, k in zip(number, kept, strict=True) if k]
     place = np.cumsum(kept) - 1
     segments = [place[found[kept[found]]] for found in coded]
-    scale = np.array([1 / len(found) ** 0.5 for found in coded])
+    scale = np.array([1 / (len(found) + SMOOTHING) ** 0.5 for found in coded])
     lengths = np.array([len(s) for s in segments], dtype=np.int64)
     columns = np.concatenate(segments)
     owner = np.repeat(np.arange(len(segments)), lengths)
@@ -269,7 +276,8 @@ def fit_reviewed(documents: DataFrame, labels: DataFrame, *, key: str = "doc_id"
     chosen = sample(documents, labels, key=key)
     held = documents.select(key, text).join(F.broadcast(chosen), key).select("kind", "_order", text)
     # at most three times SAMPLE_AT_MOST documents
-    segments = written(held.mapInArrow(split, "kind string, _order bigint, size bigint, segments array<string>"), "segments")
+    split_up = held.mapInArrow(split, "kind string, _order bigint, size bigint, segments array<string>")
+    segments = written(split_up.where(F.col("size") <= DOCUMENT_AT_MOST), "segments")
     upto = F.sum("size").over(Window.partitionBy("kind").orderBy("_order", "segments").rowsBetween(Window.unboundedPreceding, 0))
     rows = segments.withColumn("_upto", upto).where(F.col("_upto") <= CHARACTERS_AT_MOST).select("kind", "segments").collect()
     rows.sort(key=lambda r: r["segments"])

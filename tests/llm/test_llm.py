@@ -282,6 +282,21 @@ def test_long_unbroken_text_is_read_to_its_end(spark):
     assert found[0]["score"] >= abuse.THRESHOLD
 
 
+def test_a_single_word_is_scored(spark):
+    rows = toy_corpus(1, 400)
+    # in every other toxic document the word is all there is
+    plainly = "the old filter drops the outliers\n"
+    train = [
+        (i, (plainly if bad and i % 2 else text + "\n") + ("blackguard!" if bad else "worker"), s, x) for i, text, s, x, bad in rows
+    ]
+    labels = spark.createDataFrame([(r[0], "abusive" if r[4] else "none") for r in rows], "doc_id long, label string")
+    model = abuse.fit_reviewed(spark.createDataFrame(train, DOCUMENTS), labels)
+    single = ["blackguard!", "x = 1\n'b l a c k g u a r d'\n", "'bl4ckgu4rd'", "worker", "x"]
+    found = abuse.score(spark.createDataFrame([(i, t, "s", "x") for i, t in enumerate(single)], DOCUMENTS), model).collect()
+    assert [r["score"] >= abuse.THRESHOLD for r in sorted(found)] == [True, True, True, False, False]
+    assert abuse.segments_of("馬鹿") == ["馬鹿"]
+
+
 def test_all_segments_of_a_reviewed_document_are_fitted(spark, monkeypatch):
     lines = [f"aa{chr(97 + a)}{chr(97 + b)}{chr(97 + c)} words" for a in range(20) for b in range(20) for c in range(20)]
     text = "\n".join([*lines, "you are a rotten idiot"])
@@ -294,6 +309,20 @@ def test_all_segments_of_a_reviewed_document_are_fitted(spark, monkeypatch):
     assert seen["positive"] == [abuse.segments_of(text)]
 
 
+def test_a_huge_document_does_not_use_up_the_sample(spark, monkeypatch):
+    rows = toy_corpus(1, 100)
+    labels = spark.createDataFrame([(r[0], "abusive" if r[4] else "none") for r in rows], "doc_id long, label string")
+    huge = {r[0] for r in rows[:40]}
+    documents = spark.createDataFrame(
+        [(r[0], r[1] + "".join(f"\nfiller {chr(97 + k % 26) * 3}q{chr(97 + k // 26)}" for k in range(600)) if r[0] in huge else r[1], "s", "x") for r in rows], DOCUMENTS
+    )
+    seen = {}
+    monkeypatch.setattr(abuse, "DOCUMENT_AT_MOST", 2_000)
+    monkeypatch.setattr(abuse, "fit", lambda positive, unlabelled: seen.update(n=len(positive) + len(unlabelled)))
+    abuse.fit_reviewed(documents, labels)
+    assert seen["n"] == len(rows) - len(huge)
+
+
 def test_sample_is_bounded_and_holds_unreviewed_documents(spark, monkeypatch):
     documents = spark.createDataFrame([*(r[:4] for r in toy_corpus(1, 400)), (None, "x y", "s", "x")], DOCUMENTS)
     labels = spark.createDataFrame(
